@@ -82,13 +82,13 @@ def _uniform(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
-def _split(capacity: Column, rows: Column, seed: int, node: Column) -> Column:
+def _split(capacity: Column, rows: Column, *key: Column) -> Column:
     """Multivariate hypergeometric draw: how many of `rows` rows go to each shard."""
     zero = F.struct(F.aggregate(capacity, F.lit(0.0), lambda a, c: a + c).alias("total"), rows.alias("rows"), F.array().cast("array<double>").alias("out"))
 
     def take(s: Column, at: Column) -> Column:
         good = F.get(capacity, at)
-        k = hypergeometric(s["total"], good, s["rows"], _uniform(F.lit(seed), node, at))
+        k = hypergeometric(s["total"], good, s["rows"], _uniform(*key, at))
         return _let(k, lambda v: F.struct((s["total"] - good).alias("total"), (s["rows"] - v).alias("rows"), F.concat(s["out"], F.array(v)).alias("out")))
 
     return F.aggregate(F.sequence(F.lit(0), F.size(capacity) - 1), zero, take)["out"]
@@ -109,10 +109,11 @@ def communication_matrix(block_rows: DataFrame, shards: int, levels: int, seed:
     total = F.aggregate("n", F.lit(0.0), lambda a, x: a + x)
     share = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.floor(total / shards).cast("double") + F.when(s < F.pmod(total, F.lit(float(shards))), 1.0).otherwise(0.0))
     node = base.select(F.lit(0).alias("at"), "n", share.alias("capacity"))
+    split = _split(F.col("capacity"), F.col("left_rows"), F.lit(seed), F.col("level"), F.col("at"))  # built once: it is a large expression
     for level in range(levels):
         half = width >> (level + 1)
         left_rows = F.aggregate(F.slice("n", 1, half), F.lit(0.0), lambda a, x: a + x)
-        node = node.withColumn("left", _split(F.col("capacity"), left_rows, seed + level, F.col("at")))
+        node = node.withColumns({"left_rows": left_rows, "level": F.lit(level)}).withColumn("left", split)
         node = node.select(
             F.explode(
                 F.array(
