@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm import token_frames
+from foliant.llm.line_rules import assess as assess_lines
 from foliant.llm.preference import format_preferences, mismatched_reply_pairs
-from foliant.llm.scratch import read
+from foliant.llm.scratch import Scratch, read
 from foliant.llm.sharding import uniform_shards
+from foliant.llm.toxic_segments import score as score_toxicity
+from foliant.llm.toxic_segments import train as train_toxicity
 
 
 def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,12 +35,62 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _held_out(spark: SparkSession, docs: DataFrame, modulus: int) -> DataFrame:
+    return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False)))
+
+
+def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _held_out(spark, read(spark, sf_dir, "documents").select("doc_id", "text"), 4)
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where("crc32(cast(cast(doc_id AS string) AS binary)) % 4 != 2")
+    scored = score_toxicity(docs, train_toxicity(docs.where("NOT held_out"), labels))
+    return scored.select("doc_id", "held_out", F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"), F.size("_segments").alias("n_segments"))
+
+
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess_lines(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text_hash", "removed_lines")
+
+
+def op7_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "tokens")
+    folder = f"{scratch.path}/frames"
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    files = scratch.save(token_frames.write(docs, folder, public_tokenizers.path("word_bpe_49k.json")), "files")
+    starts = token_frames.file_starts(files)
+    found = token_frames.read_documents(files.repartition("file"), folder).join(starts, "file")
+    return found.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op1_preference_formatting": op1_preference_formatting,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
+    "op3_line_frequency": op3_line_frequency,
+    "op7_seekable_frames": op7_seekable_frames,
+    "op9_toxic_segments": op9_toxic_segments,
 }
 
 ORACLE = {
+    "op3_line_frequency": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, chr(1)) AS host FROM documents),
+w AS (SELECT r, doc_id, text, host, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+tri AS (SELECT r, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM tri) WHERE c > 1),
+repn AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+ln AS (SELECT r, host, text, i, line FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM w)
+       WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY r),
+nl AS (SELECT r, host, text, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+       array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[^\x20\x09-\x0D]+'), ' ') AS k FROM ln),
+freq AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT text) AS n FROM nl GROUP BY host, k)
+         JOIN (SELECT host, count(DISTINCT text) AS t FROM w GROUP BY host) USING (host) WHERE n > 25 AND n > 0.01 * t),
+gone AS (SELECT r, sum(n) AS n FROM nl JOIN freq USING (host, k) GROUP BY r),
+o AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+  CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repn.n, 0) AS BIGINT) AS n_repeat_words,
+  CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
+  FROM w LEFT JOIN repn USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r))
+SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.3 * n_words AS kept FROM o""",
     "op1_preference_formatting": """
 WITH conv AS (
   SELECT conv_id, list({'turn': turn, 'role': coalesce(role, 'user'), 'text': coalesce(text, '')}
