@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from foliant.llm import token_frames
 from foliant.llm.line_rules import assess as assess_lines
+from foliant.llm.piece_lattice import encode as encode_pieces
+from foliant.llm.piece_lattice import with_decoded
 from foliant.llm.preference import format_preferences, mismatched_reply_pairs
 from foliant.llm.scratch import Scratch, read
 from foliant.llm.sharding import uniform_shards
@@ -60,12 +62,25 @@ def op7_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def piece_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, the pieces of its text, their checksum and whether decoding gives the text back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = with_decoded(encode_pieces(docs.select("doc_id", "text"), model), model)
+    exact = F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")
+    return found.select("doc_id", "n_pieces", "ids_crc32", exact.alias("decoded_exactly"))
+
+
+def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_preference_formatting": op1_preference_formatting,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op3_line_frequency": op3_line_frequency,
     "op7_seekable_frames": op7_seekable_frames,
     "op9_toxic_segments": op9_toxic_segments,
+    "op10_piece_lattice": op10_piece_lattice,
 }
 
 ORACLE = {
