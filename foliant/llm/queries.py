@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import token_frames
+from foliant.llm.hyperminhash import near_duplicates
 from foliant.llm.line_rules import assess as assess_lines
 from foliant.llm.piece_lattice import encode as encode_pieces
 from foliant.llm.piece_lattice import with_decoded
 from foliant.llm.preference import format_preferences, mismatched_reply_pairs
 from foliant.llm.scratch import Scratch, read
 from foliant.llm.sharding import uniform_shards
+from foliant.llm.suffix_dedup import remove_repeats
 from foliant.llm.toxic_segments import score as score_toxicity
 from foliant.llm.toxic_segments import train as train_toxicity
 
@@ -62,6 +64,14 @@ def op7_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def piece_digest(docs: DataFrame) -> DataFrame:
     """doc_id, the pieces of its text, their checksum and whether decoding gives the text back."""
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -78,12 +88,40 @@ QUERIES = {
     "op1_preference_formatting": op1_preference_formatting,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op3_line_frequency": op3_line_frequency,
+    "op5_hyperminhash": op5_hyperminhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_seekable_frames": op7_seekable_frames,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_piece_lattice": op10_piece_lattice,
 }
 
 ORACLE = {
+    "op5_hyperminhash": r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT r, g FROM (
+  SELECT r, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
+                        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w)),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.r != b.r GROUP BY a.r, b.r),
+links AS (SELECT x, y FROM common JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+reach AS (SELECT r, r AS root FROM w UNION SELECT links.y, reach.root FROM reach JOIN links ON links.x = reach.r),
+comp AS (SELECT reach.r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.root GROUP BY reach.r)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w JOIN comp USING (r) LEFT JOIN n USING (r)""",
+    "op6_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS o, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+wn AS (SELECT r, o, i, substr(h, 2 * i + 1, 100) AS k FROM (SELECT r, o, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+hit AS (SELECT r, i FROM (SELECT r, o, i, min(o) OVER (PARTITION BY k) AS least FROM wn) WHERE o > least),
+gap AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS step FROM hit),
+run AS (SELECT r, i, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g FROM gap),
+span AS (SELECT r, g, min(i) AS lo, max(i) + 50 AS hi FROM run GROUP BY r, g),
+edge AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before FROM span),
+kept AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS k
+         FROM edge JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
     "op3_line_frequency": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, chr(1)) AS host FROM documents),
 w AS (SELECT r, doc_id, text, host, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
