@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import token_frames
+from foliant.llm.decontaminate import contaminated
 from foliant.llm.hyperminhash import near_duplicates
 from foliant.llm.line_rules import assess as assess_lines
 from foliant.llm.piece_lattice import encode as encode_pieces
@@ -64,6 +65,10 @@ def op7_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def op4_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -88,6 +93,7 @@ QUERIES = {
     "op1_preference_formatting": op1_preference_formatting,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op3_line_frequency": op3_line_frequency,
+    "op4_rare_seed_alignment": op4_rare_seed_alignment,
     "op5_hyperminhash": op5_hyperminhash,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_seekable_frames": op7_seekable_frames,

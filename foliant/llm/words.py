@@ -39,6 +39,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII letters and digits and all bytes of other characters make words; the rest separates.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -103,14 +105,14 @@ class Words:
     row: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    key: np.ndarray | None
+    key: np.ndarray
 
 
-def words(part: Slice, *, lower: bool, hashed: bool = True) -> Words:
+def words(part: Slice, *, lower: bool, separators: np.ndarray = SPACE) -> Words:
     """The words of a slice in order: row within the slice, byte range and hash."""
     data = LOWER[part.data] if lower else part.data
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~SPACE[data]
+    inside[1:-1] = ~separators[data]
     first = inside[1:-1] & ~inside[:-2]
     last = inside[1:-1] & ~inside[2:]
     cuts = part.offsets[1:-1]
@@ -119,8 +121,7 @@ def words(part: Slice, *, lower: bool, hashed: bool = True) -> Words:
     last[cuts - 1] = inside[1:-1][cuts - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     row = np.searchsorted(part.offsets, start, "right") - 1
-    key = range_hash(prefix_hash(data), start, end) if hashed else None
-    return Words(row, start, end, key)
+    return Words(row, start, end, range_hash(prefix_hash(data), start, end))
 
 
 def grams(found: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
