@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm import token_frames
 from foliant.llm.decontaminate import contaminated
+from foliant.llm.gru_lm import score_documents
 from foliant.llm.hyperminhash import near_duplicates
 from foliant.llm.line_rules import assess as assess_lines
 from foliant.llm.piece_lattice import encode as encode_pieces
@@ -44,6 +45,12 @@ def _held_out(spark: SparkSession, docs: DataFrame, modulus: int) -> DataFrame:
     return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False)))
 
 
+def op8_gated_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _held_out(spark, read(spark, sf_dir, "documents").select("doc_id", "text"), 7)
+    scored, lexicon = score_documents(docs.select("doc_id", "text"), docs.where("NOT held_out"))
+    return _held_out(spark, scored, 7).withColumn("train_tokens", F.lit(lexicon.tokens).cast("long"))
+
+
 def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _held_out(spark, read(spark, sf_dir, "documents").select("doc_id", "text"), 4)
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where("crc32(cast(cast(doc_id AS string) AS binary)) % 4 != 2")
@@ -97,6 +104,7 @@ QUERIES = {
     "op5_hyperminhash": op5_hyperminhash,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_seekable_frames": op7_seekable_frames,
+    "op8_gated_recurrent_lm": op8_gated_recurrent_lm,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_piece_lattice": op10_piece_lattice,
 }
