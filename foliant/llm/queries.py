@@ -77,11 +77,11 @@ def op4_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("key")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(read(spark, sf_dir, "documents")).drop("kept", "text_hash")
 
 
 def piece_digest(docs: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -106,6 +107,10 @@ def runs(flags: np.ndarray) -> np.ndarray:
     return np.column_stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)])
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 # ---- chunks of documents ----------------------------------------------------
 
 
@@ -206,7 +211,7 @@ def _repeated_anchors(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "mask": pa.array(masks, pa.binary())})
 
 
-CANDIDATES = "row long, doc_id long, place long, n_bytes long, sha256 string, packed binary, gone binary, pieces binary"
+CANDIDATES = "row long, doc_id long, text_hash long, place long, n_bytes long, sha256 string, packed binary, gone binary, pieces binary"
 
 
 def _candidates(buckets: int, length: int):
@@ -251,9 +256,9 @@ def _candidates(buckets: int, length: int):
                 left = np.column_stack([at, n[own], anchor[own] - start[own]])[~later[own]]
                 some = own.stop > own.start
                 out.append(
-                    (int(rows[i]), None if null[i] else int(ids[i]), int(order[i]), len(text), None if some else hashlib.sha256(text).hexdigest(), packer.compress(text) if some else None, gone.astype("<i4").tobytes() if some else None, left.astype("<i4").tobytes() if some else None)
+                    (int(rows[i]), None if null[i] else int(ids[i]), _signed(xxhash.xxh64_intdigest(text, seed=42)), int(order[i]), len(text), None if some else hashlib.sha256(text).hexdigest(), packer.compress(text) if some else None, gone.astype("<i4").tobytes() if some else None, left.astype("<i4").tobytes() if some else None)
                 )
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.binary(), pa.binary()]
         names = [c.split()[0] for c in CANDIDATES.split(", ")]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=names)
 
@@ -323,9 +328,9 @@ def _cut_out(with_text: bool):
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc, n, sha, packed, gone, cuts in zip(*(batch[c].to_pylist() for c in ("doc_id", "n_bytes", "sha256", "packed", "gone", "cuts")), strict=True):
+            for doc, own, n, sha, packed, gone, cuts in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_hash", "n_bytes", "sha256", "packed", "gone", "cuts")), strict=True):
                 if packed is None:
-                    out.append((doc, n, 0, 0, sha, None))
+                    out.append((doc, own, n, 0, 0, sha, None))
                     continue
                 text = np.frombuffer(unpacker.decompress(packed), np.uint8)
                 marks = np.zeros(len(text) + 1, np.int64)
@@ -336,22 +341,22 @@ def _cut_out(with_text: bool):
                 np.add.at(marks, both[:, 1], -1)
                 removed = np.cumsum(marks[:-1]) > 0
                 kept = text[~removed].tobytes()
-                out.append((doc, n, int(removed.sum()), len(runs(removed)), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                out.append((doc, own, n, int(removed.sum()), len(runs(removed)), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore").encode() if with_text else None))
+            kinds = (*[pa.int64()] * 5, pa.string(), pa.binary())
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 50, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of `docs`.
+    """(doc_id, text_hash, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of `docs`.
 
     Every byte goes that is covered by a string of `length` bytes which also starts
     in a row with a smaller doc_id.  Rows of equal doc_id don't count as smaller; a
-    null doc_id comes after all others.  Null texts are empty.  `kept` has the bytes
-    left where something may have been cut, if `with_text` is set, and is null where
-    the text stays as it is.
+    null doc_id comes after all others.  Null texts are empty.  `kept` has the text
+    left where something may have been cut, if `with_text` is set, without halves of
+    characters that a cut leaves, and is null where the text stays as it is; text_hash is xxhash64 of the text, '' for null.
     """
     if length < GRAM + 1:
         raise ValueError(f"length must exceed {GRAM}")
@@ -382,4 +387,4 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, with_text: bool = False
     known = settled.where("gone").select("row", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (length - 1)).alias("hi"))
     cuts = known.unionByName(found).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
     out = cand.drop("place", "pieces").join(cuts, "row", "left").drop("row")
-    return out.mapInArrow(_cut_out(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.mapInArrow(_cut_out(with_text), "doc_id long, text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
