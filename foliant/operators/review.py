@@ -116,7 +116,7 @@ def normalize_tags(suggestions: DataFrame, known: DataFrame, limit: int = 4) ->
 
     `known` may be of any size: names meet by an equi-join.
     """
-    clean = F.slice(F.array_distinct(F.filter(F.transform("names", F.trim), lambda t: t != "")), 1, limit)
+    clean = F.slice(F.array_distinct(F.filter(F.transform("names", lambda t: F.trim(t)), lambda t: t != "")), 1, limit)
     rows = suggestions.select("doc_id", F.posexplode_outer(clean).alias("at", "name"))
     keys = known.select(F.lower(F.trim("name")).alias("k")).distinct().withColumn("is_known", F.lit(True))
     found = rows.withColumn("k", F.lower("name")).join(keys, "k", "left")

@@ -586,8 +586,8 @@ def name_resolve(s, d):
 
 
 @query("""WITH x AS (SELECT p_partkey AS doc_id, [p_brand || ' ' || p_type, ' ' || p_brand || ' ' || p_type, '', lower(p_type), p_brand, p_name] AS names FROM part), e AS (SELECT doc_id, list_distinct_ordered AS n FROM (SELECT doc_id, list_filter(list_transform(names, lambda t: trim(t)), lambda t: t != '') AS l,
-  [names[1], names[4], names[5], names[6]] AS list_distinct_ordered FROM x)), r AS (SELECT doc_id, generate_subscripts(n, 1) AS at, unnest(n) AS name FROM e), k AS (SELECT DISTINCT lower(trim(name)) AS k FROM tags)
-SELECT doc_id, coalesce(string_agg(CASE WHEN k IS NOT NULL THEN name END, '|' ORDER BY at), '') AS existing, coalesce(string_agg(CASE WHEN k IS NULL THEN name END, '|' ORDER BY at), '') AS new FROM r LEFT JOIN k ON k.k = lower(r.name) WHERE at <= 4 GROUP BY doc_id""")
+  [names[1], names[4], names[5], names[6]] AS list_distinct_ordered FROM x)), r AS (SELECT doc_id, generate_subscripts(n, 1) AS pos, unnest(n) AS name FROM e), k AS (SELECT DISTINCT lower(trim(name)) AS k FROM tags)
+SELECT doc_id, coalesce(string_agg(CASE WHEN k IS NOT NULL THEN name END, '|' ORDER BY pos), '') AS existing, coalesce(string_agg(CASE WHEN k IS NULL THEN name END, '|' ORDER BY pos), '') AS new FROM r LEFT JOIN k ON k.k = lower(r.name) WHERE pos <= 4 GROUP BY doc_id""")
 def tag_normalize(s, d):
     part = A.table(s, d, "part")
     both = F.concat_ws(" ", "p_brand", "p_type")
@@ -623,7 +623,7 @@ def soft_delete_missing(s, d):
     return merge.mark_missing(docs, docs.where("id % 6 != 0"), "id", "DELETED upstream @ now", incremental=False)
 
 
-@query("""WITH ex AS (SELECT conv_id AS document_id, conv_id * 10 + turn AS id, text AS note FROM conversations), inc AS (SELECT conv_id AS document_id, CASE WHEN turn = 1 AND conv_id % 5 = 0 THEN 'bad' ELSE CAST(conv_id * 10 + turn + CASE WHEN conv_id % 7 = 0 THEN 10 ELSE 0 END AS VARCHAR) END AS raw, upper(text) AS note FROM conversations WHERE turn < 2 AND conv_id % 2 = 0),
+@query("""WITH ex AS (SELECT conv_id AS document_id, conv_id * 10 + turn AS id, text AS note FROM conversations), inc AS (SELECT conv_id AS document_id, CASE WHEN turn = 1 AND conv_id % 5 = 0 THEN 'bad' ELSE CAST(conv_id * 10 + turn + CASE WHEN conv_id % 7 = 0 THEN 10 ELSE 0 END AS VARCHAR) END AS raw, 'x ' || text AS note FROM conversations WHERE turn < 2 AND conv_id % 2 = 0),
 f AS (SELECT document_id, TRY_CAST(raw AS BIGINT) AS id, note FROM inc WHERE TRY_CAST(raw AS BIGINT) IS NOT NULL), g AS (SELECT document_id, bool_or(TRY_CAST(raw AS BIGINT) IS NULL) AS bad FROM inc GROUP BY 1),
 k AS (SELECT ex.* FROM ex LEFT JOIN g USING (document_id) WHERE (bad IS NULL OR bad) AND NOT EXISTS (SELECT 1 FROM f WHERE f.document_id = ex.document_id AND f.id = ex.id)),
 low AS (SELECT least(0, coalesce(min(id), 0)) AS low FROM ex), c AS (SELECT document_id, low - row_number() OVER (ORDER BY k.id, document_id) AS id, note FROM k, low WHERE k.id IN (SELECT id FROM f))
@@ -632,7 +632,7 @@ def note_merge(s, d):
     conv = A.table(s, d, "conversations")
     existing = conv.select(F.col("conv_id").alias("document_id"), (F.col("conv_id") * 10 + F.col("turn")).alias("id"), F.col("text").alias("note"))
     raw = F.when((F.col("turn") == 1) & (F.col("conv_id") % 5 == 0), "bad").otherwise((F.col("conv_id") * 10 + F.col("turn") + F.when(F.col("conv_id") % 7 == 0, 10).otherwise(0)).cast("string"))
-    incoming = conv.where("turn < 2 AND conv_id % 2 = 0").select(F.col("conv_id").alias("document_id"), raw.alias("raw_id"), F.upper("text").alias("note"), F.col("turn").alias("ordinal"))
+    incoming = conv.where("turn < 2 AND conv_id % 2 = 0").select(F.col("conv_id").alias("document_id"), raw.alias("raw_id"), F.concat(F.lit("x "), "text").alias("note"), F.col("turn").alias("ordinal"))
     return merge.merge_notes(existing, incoming)
 
 
@@ -720,3 +720,37 @@ def events_sliding(s, d):
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n FROM r GROUP BY user_id, k""", prelude=False)
 def events_session(s, d):
     return stream.sessions(_events(s, d))
+
+
+# ---- model text ----
+
+
+@query(r"""SELECT conv_id, turn, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n_collapsed FROM conversations""", prelude=False)
+def collapsed_turns(s, d):
+    from foliant.functions.model_text import collapse
+
+    return A.table(s, d, "conversations").select("conv_id", "turn", F.length(collapse(F.col("text"))).cast("long").alias("n_collapsed"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '<\|[^>]+\|>', '', 'g'), '\s+', ' ', 'g')) AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(t) > 120 THEN rtrim(substr(t, 1, 117)) || '...' ELSE t END AS summary FROM t""", prelude=False)
+def summary_lines(s, d):
+    from foliant.functions.model_text import summary_value
+
+    return A.table(s, d, "conversations").select("conv_id", "turn", summary_value(F.col("text"), 120).alias("summary"))
+
+
+@query()
+def page_notes(s, d):
+    from foliant.functions.model_text import parse_notes
+
+    notes = A.table(s, d, "documents").select("doc_id", parse_notes(F.col("text")).alias("n"))
+    return notes.select("doc_id", F.size("n.facts").alias("facts"), F.size("n.key_numbers").alias("numbers"), F.get("n.uncertainties", F.lit(0)).alias("note"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events", prelude=False)
+def json_from_text(s, d):
+    from foliant.functions.model_text import json_object
+
+    noisy = F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n``` done"))
+    return A.table(s, d, "events").select("event_id", F.get_json_object(json_object(noisy), "$.k").alias("k"))
