@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 30_000, max_fea
         return Model({}, 0.1)
     n_c, n_t = float(size[0]), float(size[1])
     alpha = F.lit(prior) * (F.col("c") + F.col("t")) / (n_c + n_t)
-    odds = lambda n, total: F.log((F.col(n) + F.col("alpha")) / (total + prior - F.col(n) - F.col("alpha")))
+    odds = lambda n, total: F.log((F.col(n) + F.col("alpha")) / F.greatest(total + prior - F.col(n) - F.col("alpha"), F.lit(0.5)))
     scored = sums.where("c + t >= 3").withColumn("alpha", alpha).withColumn("delta", odds("t", n_t) - odds("c", n_c))
     scored = scored.withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("t") + F.col("alpha")) + 1 / (F.col("c") + F.col("alpha"))))
     top = scored.where(F.col("z") >= z_limit).orderBy(F.desc("z"), "feature").limit(max_features).select("feature", "z", "delta").collect()
