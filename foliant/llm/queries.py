@@ -67,9 +67,8 @@ def op7_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch.path}/frames"
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     files = scratch.save(token_frames.write(docs, folder, public_tokenizers.path("word_bpe_49k.json")), "files")
-    starts = token_frames.file_starts(files)
-    found = token_frames.read_documents(files.repartition("file"), folder).join(starts, "file")
-    return found.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    found = token_frames.read_documents(token_frames.file_starts(files).repartition("file"), folder)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op4_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

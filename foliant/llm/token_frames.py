@@ -15,6 +15,8 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,58 +32,113 @@ SKIPPABLE_INDEX = 0x184D2A5D
 SKIPPABLE_SEEK = 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
 FRAME_IDS = 1 << 17
-FILE_IDS = 1 << 25
+FILE_IDS = 1 << 24
 END_ID = 1
 FILES = "file string, first_doc long, last_doc long, n_docs long, n_ids long, n_frames int"
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
 class WordCache:
     """Ids of a tokenizer that never joins text across ASCII white space.
 
     White space separates words of such a tokenizer and is dropped, so the ids of a
-    text are those of its words one after another.  What is known is kept by word and
-    forgotten when it grows beyond `limit`; a word longer than 200 bytes isn't kept.
+    text are those of its words one after another.  Known words are kept; beyond
+    `limit` the later half goes, because frequent words are met first.  A mark behind a
+    letter or digit at a word's end is a token of its own, so such a word is put
+    together from its parts.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.clear()
+    MARKS = frozenset(b".,;:!?|")
 
-    def clear(self) -> None:
+    def __init__(self, path: str, limit: int = 700_000) -> None:
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.index: dict[bytes, int] = {}
-        self.lengths: list[int] = []
-        self.ids: list[np.ndarray] = []
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _forget(self) -> None:
+        keep = self.limit // 2
+        self.index = dict(islice(self.index.items(), keep))
+        self.flat, self.starts, self.sizes = self.flat[: self.starts[keep]].copy(), self.starts[:keep].copy(), self.sizes[:keep].copy()
+
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.index)
+        self.index.update(zip(words, range(first, first + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _stem(self, word: bytes) -> bytes | None:
+        """The word without a mark at its end, if what is before it is a letter or digit."""
+        if len(word) > 1 and word[-1] in self.MARKS and (word[-2:-1].isalnum() or (len(word) > 2 and word[-3] == 0xC3 and word[-2] not in (0x97, 0xB7))):
+            return word[:-1]
+        return None
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        """Encode words with the tokenizer; words of letters only go many to a call."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        letters = [k for k, t in enumerate(texts) if t.isalpha()]
+        found: list[np.ndarray | None] = [None] * len(words)
+        for at in range(0, len(letters), 1000):
+            own = letters[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[k] for k in own])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(own):  # else a normal form was no single word: one by one below
+                for k, part in zip(own, np.split(ids, ends[:-1]), strict=True):
+                    found[k] = part
+        rest = [k for k, f in enumerate(found) if f is None]
+        for at in range(0, len(rest), 1000):
+            own = rest[at : at + 1000]
+            for k, e in zip(own, self.tokenizer.encode_batch_fast([texts[k] for k in own], add_special_tokens=False), strict=True):
+                found[k] = np.array(e.ids, np.uint32)
+        if words:
+            self._add(words, np.concatenate(found), np.array([len(f) for f in found], np.int64))
+
+    def _learn(self, new: list[bytes]) -> None:
+        stems = {w: s for w in new if (s := self._stem(w)) is not None}
+        plain = dict.fromkeys([w for w in new if w not in stems])
+        plain |= dict.fromkeys([x for w, s in stems.items() for x in (s, w[-1:]) if x not in self.index])
+        self._encode_words([w for w in plain if w not in self.index])
+        if stems:
+            a = np.array([self.index[s] for s in stems.values()])
+            b = np.array([self.index[w[-1:]] for w in stems])
+            at = np.column_stack([a, b]).ravel()
+            self._add(list(stems), self.flat[_ranges(self.starts[at], self.sizes[at])], self.sizes[a] + self.sizes[b])
+
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END_ID after each text, and the number of ids of each text."""
         if len(self.index) > self.limit:
-            self.clear()
-        split = [(t or b"").split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.index})
-        if new:
-            encoded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            first = len(self.index)
-            self.index.update(zip(new, range(first, first + len(new)), strict=True))
-            parts = [np.array(e.ids, np.uint32) for e in encoded]
-            sizes = np.array([len(p) for p in parts], np.int64)
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, *parts])
-        get = self.index.__getitem__
-        # One more word, which stands for the end of a text.
-        at = np.concatenate([np.fromiter(map(get, words), np.int64, len(words)) for words in split] or [np.zeros(0, np.int64)])
+            self._forget()
+        # The tokenizer lowers letters itself, but only after it has looked for special tokens.
+        split = [(t or b"").split() if b"<|" in (t or b"") else (t or b"").lower().split() for t in texts]
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys([words[i] for i in missing])))
+            at[missing] = [self.index[words[i]] for i in missing]
         sizes = self.sizes[at]
         text_of = np.repeat(np.arange(len(split)), [len(w) for w in split])
         per_text = np.bincount(text_of, weights=sizes, minlength=len(split)).astype(np.int64) + 1
         out = np.full(int(per_text.sum()), END_ID, np.uint32)
         ends = np.zeros(len(out), bool)
         ends[np.cumsum(per_text) - 1] = True
-        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        out[~ends] = self.flat[np.repeat(self.starts[at], sizes) + within]
+        out[~ends] = self.flat[_ranges(self.starts[at], sizes)]
         return out, per_text
 
 
+@lru_cache(maxsize=1)
+def word_cache(path: str) -> WordCache:
+    """The cache of this Python process, kept from task to task."""
+    return WordCache(path)
+
+
 def skippable(magic: int, content: bytes) -> bytes:
     return struct.pack("<II", magic, len(content)) + content
 
@@ -90,7 +147,7 @@ class FrameWriter:
     """Collects documents into the bytes of one file; its size is bounded by FILE_IDS and one document."""
 
     def __init__(self, width: int) -> None:
-        self.width, self.compressor = width, zstandard.ZstdCompressor(level=3)
+        self.width, self.compressor = width, zstandard.ZstdCompressor(level=1)
         self.body, self.seek, self.docs = bytearray(), [], []
         self.open: list[np.ndarray] = []
         self.pending = self.n_ids = 0
@@ -189,7 +246,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, width: int = 2, parti
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        cache, writer, files = WordCache(tokenizer), FrameWriter(width), 0
+        cache, writer, files = word_cache(tokenizer), FrameWriter(width), 0
 
         def close() -> pa.RecordBatch:
             nonlocal writer, files
@@ -215,21 +272,22 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, width: int = 2, parti
 
 
 def read_documents(files: DataFrame, folder: str) -> DataFrame:
-    """(file, position, doc_id, n_tokens, before, ids_crc32) of every document in the files.
+    """(file, position, doc_id, start, n_tokens, ids_crc32) of every document in the files.
 
-    `before` is the number of ids ahead of the document in its file.  Frames are the
+    `files` is what file_starts() gives, and `start` the number of ids ahead of the
+    document in its file and in the files before.  Frames are the
     unit of work: a task reads only the frames dealt to it.
     """
-    frames = files.select("file", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame"))
+    frames = files.select("file", "start", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
-        kind = pa.schema([("file", pa.string()), ("position", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("before", pa.int64()), ("ids_crc32", pa.int64())])
+        kind = pa.schema([("file", pa.string()), ("position", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
-            wanted: dict[str, list[int]] = {}
-            for file, frame in zip(batch["file"].to_pylist(), batch["frame"].to_pylist(), strict=True):
-                wanted.setdefault(file, []).append(frame)
-            for file, own in wanted.items():
+            wanted: dict[tuple[str, int], list[int]] = {}
+            for file, start, frame in zip(*(batch[c].to_pylist() for c in ("file", "start", "frame")), strict=True):
+                wanted.setdefault((file, start), []).append(frame)
+            for (file, start), own in wanted.items():
                 with fs.open_input_file(f"{path}/{file}") as source:
                     reader = FrameReader(source, source.size())
                     ahead = np.concatenate([[0], np.cumsum(reader.docs["n"].astype(np.int64))])
@@ -237,15 +295,15 @@ def read_documents(files: DataFrame, folder: str) -> DataFrame:
                     for k in own:
                         first = int(np.searchsorted(reader.docs["frame"], k))
                         for i, (doc, ids) in enumerate(reader.frame_documents(k), first):
-                            rows.append((file, i, doc, len(ids), int(ahead[i]), zlib.crc32(ids.astype("<u4").tobytes())))
+                            rows.append((file, i, doc, start + int(ahead[i]), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
-    return frames.mapInArrow(decode, "file string, position long, doc_id long, n_tokens long, before long, ids_crc32 long")
+    return frames.mapInArrow(decode, "file string, position long, doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def file_starts(files: DataFrame) -> DataFrame:
-    """(file, start): ids ahead of each file.  One row per file of about FILE_IDS ids."""
+    """`files` plus start, the ids ahead of each file.  One row per file of about FILE_IDS ids."""
     from pyspark.sql import Window
 
     ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return files.select("file", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)).alias("start"))
+    return files.withColumn("start", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)))
