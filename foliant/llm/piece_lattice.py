@@ -31,6 +31,7 @@ from foliant.llm.scratch import Scratch
 UNIT = regex.compile(r" {0,64}\p{L}{1,256}| {0,64}[^\p{L} \n]{1,256}| {1,64}|\n")
 FALLBACK_SCORE = -1e6
 MISSING = 0xFFFF
+PART_UNITS = 16_384
 
 
 @lru_cache(maxsize=2)
@@ -60,20 +61,15 @@ def lattice_encode(units: DataFrame, model: str) -> DataFrame:
     byte_ids = table[table["piece"].isna()].sort_values("score")["id"].tolist()
     # The piece table belongs to the model: its size does not depend on the data.
     lookup = F.broadcast(spark.createDataFrame(normal, "piece string, id int, score double"))
-    as_bytes = F.transform(
-        F.sequence(F.lit(0), F.octet_length("sub") - 1),
-        lambda i: F.get(F.array(*map(F.lit, byte_ids)), F.conv(F.substring(F.hex(F.encode("sub", "UTF-8")), i * 2 + 1, F.lit(2)), 16, 10).cast("int")),
-    )
+    at_byte = lambda c, i: F.conv(F.substring(F.hex(F.encode(c, "UTF-8")), i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    as_bytes = lambda c: F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda i: F.get(F.array(*map(F.lit, byte_ids)), at_byte(c, i)))
     size = F.length("unit")
     starts = units.select("unit", F.posexplode(F.split("unit", "")).alias("start", "_c")).where("start < length(unit)").select("unit", "start")
     spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start")))).alias("len"))
     spans = spans.withColumn("sub", F.substring("unit", F.col("start") + 1, F.col("len")))
     edges = spans.join(lookup, spans["sub"] == lookup["piece"], "left").where("id IS NOT NULL OR len = 1")
-    edge = F.struct(
-        (F.col("start") + F.col("len")).alias("end"), "start",
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes).alias("ids"),
-        F.coalesce("score", F.lit(FALLBACK_SCORE)).alias("score"),
-    )
+    # Without a piece an edge has id -1 and stands for the bytes of its one character.
+    edge = F.struct((F.col("start") + F.col("len")).cast("short").alias("end"), F.col("start").cast("short").alias("start"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(FALLBACK_SCORE)).alias("score"))
     grouped = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
     def viterbi(s: Column, e: Column) -> Column:
@@ -88,10 +84,14 @@ def lattice_encode(units: DataFrame, model: str) -> DataFrame:
             better, F.struct(F.concat(F.slice(s["best"], 1, kept + 1), F.array(total)).alias("best"), F.concat(F.slice(s["back"], 1, kept), F.array(e)).alias("back"))
         ).otherwise(s)
 
-    kind = "array<struct<end:int,start:int,ids:array<int>,score:double>>"
+    kind = "array<struct<end:smallint,start:smallint,id:int,score:double>>"
     zero = F.struct(F.array(F.lit(0.0)).alias("best"), F.array().cast(kind).alias("back"))
     back = F.aggregate("edges", zero, viterbi)["back"]
-    walk = lambda s, _: F.when(s["at"] == 0, s).otherwise(F.struct(F.get(s["back"], s["at"] - 1)["start"].alias("at"), s["back"].alias("back"), F.concat(F.get(s["back"], s["at"] - 1)["ids"], s["ids"]).alias("ids")))
+    def walk(s: Column, _: Column) -> Column:
+        e = F.get(s["back"], s["at"] - 1)
+        ids = F.when(e["id"] >= 0, F.array(e["id"])).otherwise(as_bytes(F.substring("unit", e["start"] + 1, F.lit(1))))
+        return F.when(s["at"] == 0, s).otherwise(F.struct(e["start"].cast("int").alias("at"), s["back"].alias("back"), F.concat(ids, s["ids"]).alias("ids")))
+
     begin = F.struct(F.size("back").alias("at"), F.col("back"), F.array().cast("array<int>").alias("ids"))
     return grouped.select("unit", back.alias("back")).select("unit", F.aggregate(F.sequence(F.lit(1), F.size("back")), begin, walk)["ids"].alias("ids"))
 
@@ -129,7 +129,7 @@ def piece_bytes(model: str) -> list[bytes]:
     return out
 
 
-def encode(docs: DataFrame, model: str, *, head: int = 1 << 17) -> DataFrame:
+def encode(docs: DataFrame, model: str, *, head: int = 1 << 18) -> DataFrame:
     """(doc_id, text_crc32, ids binary) for each row: ids are little-endian uint16.
 
     The encodings of the `head` most frequent units, a bounded table, go to every
@@ -140,44 +140,64 @@ def encode(docs: DataFrame, model: str, *, head: int = 1 << 17) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counted = docs.select("text").mapInArrow(_count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     counted = scratch.save(counted, "units")
-    known = scratch.save(lattice_encode(counted.select("unit").repartition(F.col("unit")), model), "encodings")
+    # So many parts that the edges of one are sorted and folded in memory.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), counted.count() // PART_UNITS)
+    found = lattice_encode(counted.select("unit").repartition(parts, "unit"), model)
+    # Two bytes an id, as hexadecimal digits put together: little-endian uint16.
+    two = lambda i: F.format_string("%02x%02x", i % 256, (i / 256).cast("int"))
+    known = scratch.save(found.select("unit", F.unhex(F.array_join(F.transform("ids", two), "")).alias("ids")), "encodings")
     top = counted.orderBy(F.desc("n"), "unit").limit(head).join(known, "unit").select("unit", "ids").toPandas()
-    shared = spark.sparkContext.broadcast({u: np.asarray(i, "<u2").tobytes() for u, i in top.itertuples(index=False)})
+    shared = spark.sparkContext.broadcast({u: bytes(i) for u, i in top.itertuples(index=False)})
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ids with a mark where a rare unit stands, and the rare units in order."""
+        """Ids with a mark and a number where a rare unit stands, and the rare units by number.
+
+        Numbers take two places, low and high part.
+        """
         frequent = shared.value
-        hole = np.array([MISSING], "<u2").tobytes()
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             packed, rare, crc = [], [], []
             for text in batch["text"].to_pylist():
                 units = units_of(text)
-                packed.append(packer.compress(b"".join([frequent.get(u, hole) for u in units])))
-                rare.append([u for u in units if u not in frequent])
+                own = {u: k for k, u in enumerate(dict.fromkeys(u for u in units if u not in frequent))}
+                holes = {u: np.array([MISSING, k & 0x7FFF, k >> 15], "<u2").tobytes() for u, k in own.items()}
+                packed.append(packer.compress(b"".join([frequent.get(u) or holes[u] for u in units])))
+                rare.append(list(own))
                 crc.append(zlib.crc32(text.encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array(crc, pa.int64()), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=["row", "doc_id", "text_crc32", "packed", "rare"])
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.withColumn("row", F.monotonically_increasing_id())
     partial = scratch.save(rows.mapInArrow(first_pass, f"row long, doc_id {id_kind}, text_crc32 long, packed binary, rare array<string>"), "partial")
-    wanted = partial.select("row", F.explode(F.array_distinct("rare")).alias("unit"))
-    found = wanted.join(known, "unit").groupBy("row").agg(F.collect_list(F.struct("unit", "ids")).alias("found"))
+    wanted = partial.select("row", F.posexplode("rare").alias("k", "unit"))
+    found = wanted.join(known, "unit").groupBy("row").agg(F.collect_list(F.struct("k", "ids")).alias("found"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for packed, rare, own in zip(batch["packed"].to_pylist(), batch["rare"].to_pylist(), batch["found"].to_pylist(), strict=True):
+            lists = batch["found"]
+            ends = lists.offsets.to_numpy()
+            number, filling = lists.values.field("k").to_pylist(), lists.values.field("ids").to_pylist()
+            for i, packed in enumerate(batch["packed"].to_pylist()):
                 ids = np.frombuffer(unpacker.decompress(packed), "<u2")
-                if rare:
-                    by_unit = {x["unit"]: np.asarray(x["ids"], "<u2") for x in own}
-                    parts = np.split(ids, np.flatnonzero(ids == MISSING))
-                    ids = np.concatenate([parts[0], *(y for u, p in zip(rare, parts[1:], strict=True) for y in (by_unit[u], p[1:]))])
-                out.append(ids.tobytes())
+                if ends[i + 1] > ends[i]:
+                    own = dict(zip(number[ends[i] : ends[i + 1]], filling[ends[i] : ends[i + 1]], strict=True))
+                    # A number's parts are below the mark, so a mark is always a hole.
+                    holes = np.flatnonzero(ids == MISSING)
+                    numbers = ids[holes + 1].astype(int) | (ids[holes + 2].astype(int) << 15)
+                    begin = np.concatenate([[0], holes + 3])
+                    parts = [ids[a:b].tobytes() for a, b in zip(begin, np.append(holes, len(ids)), strict=True)]
+                    whole = [parts[0]]
+                    for k, part in zip(numbers.tolist(), parts[1:], strict=True):
+                        whole += (own[k], part)
+                    out.append(b"".join(whole))
+                else:
+                    out.append(ids.tobytes())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_crc32"], pa.array(out, pa.binary())], names=["doc_id", "text_crc32", "ids"])
 
-    joined = partial.join(found, "row", "left").select("doc_id", "text_crc32", "packed", "rare", "found")
+    joined = partial.drop("rare").join(found, "row", "left").select("doc_id", "text_crc32", "packed", "found")
     return joined.mapInArrow(fill, f"doc_id {id_kind}, text_crc32 long, ids binary")
 
 
