@@ -30,6 +30,7 @@ from foliant.llm.scratch import Scratch
 GRAM = 20
 LAST = (1 << 63) - 1
 ARRAY_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 20
 HOT_PIECES = 8192
 _PLACE = 28
 
@@ -48,7 +49,13 @@ def prefix_ranks(s: np.ndarray, depth: int, width: int = 1) -> np.ndarray:
     x[: len(s)] = s
     bits = int(x.max()).bit_length()
     cover = np.concatenate([np.arange(1, n, 3), np.arange(2, n, 3)])
-    _, name = np.unique((x[cover] << (2 * bits)) | (x[cover + 1] << bits) | x[cover + 2], return_inverse=True)
+    key = (x[cover] << (2 * bits)) | (x[cover + 1] << bits) | x[cover + 2]
+    if 3 * bits <= 22:
+        seen = np.zeros(1 << (3 * bits), bool)
+        seen[key] = True
+        name = (np.cumsum(seen, dtype=np.int64) - 1)[key]
+    else:
+        name = np.unique(key, return_inverse=True)[1]
     if width * 3 < depth and int(name.max()) + 1 < len(name):
         name = prefix_ranks(name + 1, depth, width * 3)[: len(cover)]
     rank = np.zeros(n + 3, np.int64)
@@ -62,8 +69,8 @@ def prefix_ranks(s: np.ndarray, depth: int, width: int = 1) -> np.ndarray:
         return (((x[i] << bits) | x[i + 1]) << wide) | rank[i + 2]
 
     zero = np.arange(0, n, 3)
-    zero = zero[np.argsort(pair(zero), kind="stable")]
-    sample = cover[np.argsort(rank[cover], kind="stable")]
+    zero = zero[np.argsort(pair(zero))]
+    sample = cover[np.argsort(rank[cover])]
     one, two = sample[sample % 3 == 1], sample[sample % 3 == 2]
     place = np.empty(n, np.int64)
     place[zero] = np.arange(len(zero)) + np.searchsorted(np.sort(pair(one)), pair(zero)) + np.searchsorted(np.sort(triple(two)), triple(zero))
@@ -71,12 +78,12 @@ def prefix_ranks(s: np.ndarray, depth: int, width: int = 1) -> np.ndarray:
     place[one] += np.searchsorted(pair(zero), pair(one), "right")
     place[two] += np.searchsorted(np.sort(triple(zero)), triple(two), "right")
     out = np.empty(n, np.int64)
-    out[np.argsort(place, kind="stable")] = np.arange(n)
+    out[np.argsort(place)] = np.arange(n)
     return out[: len(s)]
 
 
-def repeated_windows(texts: list[bytes], order: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each text, whether each of its windows also starts in a text of lower order."""
+def repeated_windows(texts: list[bytes], order: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, last window + 1) of the runs of windows that also start in a text of lower order."""
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1
     data = np.frombuffer(b"\0".join(texts) + b"\0" * length, np.uint8)
@@ -84,10 +91,13 @@ def repeated_windows(texts: list[bytes], order: np.ndarray, length: int) -> list
     edge[begin + sizes] = True
     s = data[: int(begin[-1] + sizes[-1]) + 1].astype(np.int64) + 2
     s[edge[: len(s)]] = 1
+    used = np.zeros(258, np.int64)
+    used[s] = 1
+    s = np.cumsum(used)[s]  # a dense alphabet: triples of few symbols are named without a sort
     count = sizes - length + 1
-    start = np.concatenate([np.arange(b, b + c) for b, c in zip(begin, count, strict=True)])
     owner = np.repeat(np.arange(len(texts)), count)
-    sort = np.argsort(prefix_ranks(s, length)[start], kind="stable")
+    start = np.arange(len(owner)) + np.repeat(begin - np.cumsum(count) + count, count)
+    sort = np.argsort(prefix_ranks(s, length)[start])
     window = np.lib.stride_tricks.sliding_window_view(data, length)
     at = start[sort]
     same = np.zeros(len(at), bool)
@@ -98,7 +108,11 @@ def repeated_windows(texts: list[bytes], order: np.ndarray, length: int) -> list
     least = np.minimum.reduceat(order[owner[sort]], head)
     gone = np.empty(len(at), bool)
     gone[sort] = order[owner[sort]] > np.repeat(least, np.diff(np.append(head, len(at))))
-    return np.split(gone, np.cumsum(count)[:-1])
+    fresh = np.concatenate([[True], owner[1:] != owner[:-1]])
+    last = np.append(fresh[1:], True)
+    first = np.flatnonzero(gone & (fresh | ~np.concatenate([[False], gone[:-1]])))
+    final = np.flatnonzero(gone & (last | ~np.append(gone[1:], False)))
+    return owner[first], start[first] - begin[owner[first]], start[final] - begin[owner[first]] + 1
 
 
 def runs(flags: np.ndarray) -> np.ndarray:
@@ -135,7 +149,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch["doc_id"].cast(pa.int64())
         null = ids.is_null().to_numpy(zero_copy_only=False)
         ids = ids.fill_null(LAST).to_numpy()
-        for part in W.slices(batch["text"]):
+        for part in W.slices(batch["text"], CHUNK_BYTES):
             own = slice(part.first_row, part.first_row + part.rows)
             payload = _pack(part, ids[own], ids[own], base + row + np.arange(part.rows), null[own])
             row, chunk = row + part.rows, chunk + 1
@@ -148,10 +162,9 @@ class Minimizers:
     def __init__(self, part: W.Slice, length: int) -> None:
         self.prefix = W.prefix_hash(part.data)
         n = len(part.data)
-        ends = np.repeat(part.offsets[1:], np.diff(part.offsets))
-        spots = np.arange(n)
-        self.window = spots[spots + length <= ends]
-        self.row = np.searchsorted(part.offsets, self.window, "right") - 1
+        sizes = np.maximum(np.diff(part.offsets) - length + 1, 0)
+        self.window = np.arange(int(sizes.sum())) + np.repeat(part.offsets[:-1] - np.cumsum(sizes) + sizes, sizes)
+        self.row = np.repeat(np.arange(part.rows), sizes)
         if not len(self.window):
             self.place = self.window
             return
@@ -291,18 +304,21 @@ def _texts_of_pieces(buckets: int, length: int):
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for row, place, packed, own in zip(*(batch[c].to_pylist() for c in ("row", "place", "packed", "own")), strict=True):
+            lists = batch["own"]
+            cuts = lists.offsets.to_numpy().tolist()
+            at_, n_, gram_, hot_ = (lists.values.field(c).to_pylist() for c in ("at", "n", "gram", "hot"))
+            for i, (row, place, packed) in enumerate(zip(*(batch[c].to_pylist() for c in ("row", "place", "packed")), strict=True)):
                 text = unpacker.decompress(packed)
                 prefix = None
-                for x in own:
-                    at, n = x["at"], x["n"]
-                    if x["hot"]:
+                for k in range(cuts[i], cuts[i + 1]):
+                    at, n = at_[k], n_[k]
+                    if hot_[k]:
                         prefix = W.prefix_hash(np.frombuffer(text, np.uint8)) if prefix is None else prefix
                         spots = np.arange(at, at + n)
                         to = W.range_hash(prefix, spots, spots + length) % np.uint64(buckets)
                         rows += [(int(b), place, row, s, text[s : s + length]) for b, s in zip(to.tolist(), spots.tolist(), strict=True)]
                     else:
-                        rows.append((x["gram"] % buckets, place, row, at, text[at : at + n + length - 1]))
+                        rows.append((gram_[k] % buckets, place, row, at, text[at : at + n + length - 1]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=["bucket", "place", "row", "at", "text"])
 
@@ -313,12 +329,8 @@ def _suffix_arrays(length: int):
     def run(table: pa.Table) -> pa.Table:
         texts, place = table["text"].to_pylist(), table["place"].to_numpy()
         row, at = table["row"].to_numpy(), table["at"].to_numpy()
-        out = []
-        for own, flags in enumerate(repeated_windows(texts, place, length)):
-            for lo, hi in runs(flags):
-                out.append((int(row[own]), int(at[own] + lo), int(at[own] + hi + length - 1)))
-        kinds = (pa.int64(), pa.int32(), pa.int32())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=["row", "lo", "hi"])
+        own, lo, hi = repeated_windows(texts, place, length)
+        return pa.table([pa.array(row[own]), pa.array((at[own] + lo).astype(np.int32)), pa.array((at[own] + hi + length - 1).astype(np.int32))], names=["row", "lo", "hi"])
 
     return run
 
@@ -328,17 +340,17 @@ def _cut_out(with_text: bool):
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc, own, n, sha, packed, gone, cuts in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_hash", "n_bytes", "sha256", "packed", "gone", "cuts")), strict=True):
+            cuts = batch["cuts"]
+            ends = cuts.offsets.to_numpy()
+            lo, hi = cuts.values.field("lo").to_numpy(), cuts.values.field("hi").to_numpy()
+            for i, (doc, own, n, sha, packed, gone) in enumerate(zip(*(batch[c].to_pylist() for c in ("doc_id", "text_hash", "n_bytes", "sha256", "packed", "gone")), strict=True)):
                 if packed is None:
                     out.append((doc, own, n, 0, 0, sha, None))
                     continue
                 text = np.frombuffer(unpacker.decompress(packed), np.uint8)
-                marks = np.zeros(len(text) + 1, np.int64)
                 known = np.frombuffer(gone, "<i4").reshape(-1, 2)
-                more = np.array([(c["lo"], c["hi"]) for c in cuts or []], np.int64).reshape(-1, 2)
-                both = np.concatenate([known, more])
-                np.add.at(marks, both[:, 0], 1)
-                np.add.at(marks, both[:, 1], -1)
+                part = slice(ends[i], ends[i + 1])
+                marks = np.bincount(np.concatenate([known[:, 0], lo[part]]), minlength=len(text) + 1) - np.bincount(np.concatenate([known[:, 1], hi[part]]), minlength=len(text) + 1)
                 removed = np.cumsum(marks[:-1]) > 0
                 kept = text[~removed].tobytes()
                 out.append((doc, own, n, int(removed.sum()), len(runs(removed)), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore").encode() if with_text else None))
