@@ -481,7 +481,7 @@ def chunk_heuristic(s, d):
 @query()
 def chunk_budget(s, d):
     parts = textops.chunks(A.table(s, d, "documents").select("doc_id", "text"), max_tokens=250)
-    return parts.agg(F.count(F.lit(1)).alias("parts"), F.count_if("split_total > 1").alias("from_split"), F.max(textops.estimate_tokens(F.col("text"))).alias("largest"))
+    return parts.agg(F.count(F.lit(1)).alias("parts"), F.count_if(F.col("split_total") > 1).alias("from_split"), F.max(textops.estimate_tokens(F.col("text"))).alias("largest"))
 
 
 @query("""WITH RECURSIVE ln AS (SELECT conv_id AS doc_id, turn AS page, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(floor(length(text) / 3.5) AS INTEGER)) END AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
