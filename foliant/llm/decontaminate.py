@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits in lower case.  The n-grams of the test items
-are counted over all documents; the rare ones are seeds.  Seeds join passages of
-documents to items, and local alignment of the words decides, so that copies with
-replaced, dropped or added words are found too.
+Words are runs of letters and digits in lower case.  All n-grams of the test items
+are seeds, however often documents hold them.  Seeds join passages of documents to
+items, equal passages once, and local alignment of the words decides, so that copies
+with replaced, dropped or added words are found too.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +20,7 @@ from foliant.llm.scratch import Scratch
 
 FILTER_BITS = 1 << 22
 MATCH, MISMATCH, GAP = 2, -1, 1
-PASSAGES = "passage long, doc_id {0}, first_word int, keys array<long>, seeds array<long>"
+PASSAGES = "doc_id {0}, first_word int, keys array<long>, seeds array<long>"
 
 
 def item_grams(items: DataFrame, n: int) -> DataFrame:
@@ -42,44 +40,30 @@ def item_grams(items: DataFrame, n: int) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, keys array<long>, grams array<long>")
 
 
-def _bits(values: np.ndarray) -> np.ndarray:
-    return (values.astype(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _hits(known: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    mask = np.uint64(FILTER_BITS - 1)
+    return known[0][(grams & mask).astype(np.int64)] & known[1][(grams >> np.uint64(32) & mask).astype(np.int64)]
 
 
 def _filter_of(grams: DataFrame) -> np.ndarray:
-    """A bit array of fixed size that holds every gram; others pass by chance only."""
-    spots = grams.select(F.col("gram").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("b"))
-    out = np.zeros(FILTER_BITS, bool)
-    out[spots.distinct().toPandas()["b"].to_numpy(np.int64)] = True  # FILTER_BITS values at most
-    return np.packbits(out)
-
-
-def _document_frequency(shared, n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            for part in W.slices(batch["text"]):
-                found = W.words(part, lower=True, separators=W.NOT_ALNUM)
-                at, gram = W.grams(found, n)
-                hit = known[_bits(gram)]
-                pairs = np.unique(np.column_stack([gram[hit], found.row[at][hit].astype(np.uint64)]), axis=0)
-                gram, count = np.unique(pairs[:, 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(count.astype(np.int64))], names=["gram", "n"])
-
-    return run
+    """Two bit arrays of fixed size that hold every gram; others pass by chance only."""
+    out = np.zeros((2, FILTER_BITS), bool)
+    for row, shift in enumerate((0, 32)):
+        spots = grams.select(F.shiftrightunsigned("gram", shift).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("b"))
+        out[row, spots.distinct().toPandas()["b"].to_numpy(np.int64)] = True  # FILTER_BITS values at most
+    return np.packbits(out, axis=1)
 
 
 def _passages(shared, n: int, margin: int):
     """Word hashes around the seeds of each document; overlapping ranges are one passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).astype(bool)
-        next_id = TaskContext.get().partitionId() << 36
+        known = np.unpackbits(shared.value, axis=1).astype(bool)
         for batch in batches:
             for part in W.slices(batch["text"]):
                 found = W.words(part, lower=True, separators=W.NOT_ALNUM)
                 at, gram = W.grams(found, n)
-                hit = known[_bits(gram)]
+                hit = _hits(known, gram)
                 at, gram = at[hit], gram[hit]
                 if not len(at):
                     continue
@@ -97,12 +81,11 @@ def _passages(shared, n: int, margin: int):
                 ids = batch["doc_id"].slice(part.first_row, part.rows).take(pa.array(row[head]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(next_id + np.arange(len(head))), ids, pa.array((lo - first_of[head]).astype(np.int32)),
+                        ids, pa.array((lo - first_of[head]).astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.key[words_at].view(np.int64))), pa.ListArray.from_arrays(pa.array(seeds), pa.array(gram.view(np.int64))),
                     ],
-                    names=["passage", "doc_id", "first_word", "keys", "seeds"],
+                    names=["doc_id", "first_word", "keys", "seeds"],
                 )
-                next_id += len(head)
 
     return run
 
@@ -131,46 +114,52 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int, int]:
     return score / (MATCH * len(item)), j - back_j, j - 1, back_i
 
 
-def _alignments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [align(np.array(i), np.array(t)) for i, t in zip(batch["item_keys"].to_pylist(), batch["keys"].to_pylist(), strict=True)]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        kinds = (pa.float64(), pa.int32(), pa.int32(), pa.int32())
-        first = pc.add(batch["first_word"], pa.array(columns[1], pa.int32()))
-        last = pc.add(batch["first_word"], pa.array(columns[2], pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["item_id"], pa.array(columns[0], kinds[0]), first, last, pa.array(columns[3], kinds[3])], names=["doc_id", "item_id", "score", "first_word", "last_word", "item_words"])
+def _alignments(threshold: float):
+    """Alignments of pairs, without those whose common words cannot reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, at = [], []
+            for k, (i, t) in enumerate(zip(batch["item_keys"].to_pylist(), batch["keys"].to_pylist(), strict=True)):
+                item, text = np.array(i), np.array(t)
+                if np.isin(item, text).sum() >= threshold * len(item):
+                    rows.append(align(item, text))
+                    at.append(k)
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = (pa.float64(), pa.int32(), pa.int32(), pa.int32())
+            taken = [batch[name].take(pa.array(at, pa.int64())) for name in ("a", "b", "item_id", "size")]
+            yield pa.RecordBatch.from_arrays([*taken, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["a", "b", "item_id", "size", "score", "first", "last", "item_words"])
+
+    return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, n: int = 3, min_seeds: int = 12, rare_share: float = 0.0005, threshold: float = 0.5, min_words: int = 8) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, n: int = 3, threshold: float = 0.5, min_words: int = 8) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) of each document that holds an item.
 
-    Seeds of an item are its n-grams found in at most `rare_share` of the documents,
-    and in any case its `min_seeds` rarest ones.  `score` is the best local alignment
-    over that of the whole item; pairs from `threshold` on that span min_words words,
-    or the whole item, are returned, one row for each doc_id and item.  Null texts and
-    items under n words match nothing.
+    Every n-gram of an item is a seed.  `score` is the best local alignment over that
+    of the whole item; pairs from `threshold` on that span min_words words, or the
+    whole item, are returned, one row for each doc_id and item.  Passages of equal words
+    are aligned once.  Null texts and items under n words match nothing.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "bench")
     known = scratch.save(item_grams(items, n), "items")
-    grams = known.select("item_id", F.explode(F.array_distinct("grams")).alias("gram"))
-    texts = docs.select("doc_id", "text")
-    every = spark.sparkContext.broadcast(_filter_of(grams))
-    frequency = texts.mapInArrow(_document_frequency(every, n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    counted = grams.join(frequency, "gram", "left").select("item_id", "gram", F.coalesce("n", F.lit(0)).alias("n"))
-    per_item = counted.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g"))
-    rare = per_item.select("item_id", F.posexplode("g").alias("at", "x")).where((F.col("at") < min_seeds) | (F.col("x.n") <= rare_share * docs.count()))
-    seeds = scratch.save(rare.select("item_id", F.col("x.gram").alias("gram")), "seeds")
+    seeds = scratch.save(known.select("item_id", F.explode("grams").alias("gram")).distinct(), "seeds")
     longest = known.agg(F.max(F.size("keys"))).first()[0] or 0
 
     chosen = spark.sparkContext.broadcast(_filter_of(seeds))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    passages = scratch.save(texts.mapInArrow(_passages(chosen, n, longest + longest // 4), PASSAGES.format(kind)), "passages")
-    hits = passages.select("passage", F.explode(F.array_distinct("seeds")).alias("gram")).join(seeds, "gram")
-    pairs = hits.groupBy("passage", "item_id").agg(F.count(F.lit(1)).alias("n_seeds"))
-    both = pairs.join(passages.drop("seeds"), "passage").join(known.select("item_id", F.col("keys").alias("item_keys")), "item_id")
-    aligned = both.select("doc_id", "item_id", "first_word", "keys", "item_keys").mapInArrow(_alignments, f"doc_id {kind}, item_id {items.schema['item_id'].dataType.simpleString()}, score double, first_word int, last_word int, item_words int")
-    sized = aligned.join(known.groupBy("item_id").agg(F.max(F.size("keys")).alias("size")), "item_id")
-    hit = sized.where((F.col("score") >= threshold) & (F.col("item_words") >= F.least(F.lit(min_words), F.col("size"))))
-    best = hit.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("first_word")).alias("before"), "last_word")).alias("x"))
+    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    # With m matches and e edits, 2 m - e >= 2 * threshold * words, so an alignment spans m + e words: this many at most.
+    margin = int(np.ceil(longest * (3 - 2 * threshold)))
+    found = docs.select("doc_id", "text").mapInArrow(_passages(chosen, n, margin), PASSAGES.format(kind))
+    found = scratch.save(found.select("*", F.xxhash64("keys").alias("a"), F.xxhash64(F.lit(1), "keys").alias("b")), "passages")
+    # 128 bits stand for a word sequence, which also fixes its seeds.
+    passages = scratch.save(found.select("a", "b", "keys", "seeds").dropDuplicates(["a", "b"]), "distinct")
+    pairs = passages.select("a", "b", F.explode("seeds").alias("gram")).join(seeds, "gram").select("a", "b", "item_id").distinct()
+    item_words = known.select("item_id", F.col("keys").alias("item_keys"), F.size("keys").alias("size"))
+    both = pairs.join(passages.drop("seeds"), ["a", "b"]).join(item_words, "item_id")
+    aligned = both.select("a", "b", "item_id", "size", "keys", "item_keys").mapInArrow(_alignments(threshold), f"a long, b long, item_id {item_kind}, size int, score double, first int, last int, item_words int")
+    hit = aligned.where((F.col("score") >= threshold) & (F.col("item_words") >= F.least(F.lit(min_words), F.col("size"))))
+    placed = found.select("doc_id", "first_word", "a", "b").join(hit, ["a", "b"]).select("doc_id", "item_id", "score", (F.col("first_word") + F.col("first")).alias("first_word"), (F.col("first_word") + F.col("last")).alias("last_word"))
+    best = placed.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("first_word")).alias("before"), "last_word")).alias("x"))
     return best.select("doc_id", "item_id", F.round("x.score", 6).alias("score"), (-F.col("x.before")).alias("first_word"), F.col("x.last_word").alias("last_word"))

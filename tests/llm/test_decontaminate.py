@@ -40,3 +40,29 @@ def test_exact_edited_and_clean(spark):
         text = docs[i][1].lower().replace(",", "").split()
         assert abs(got[i, k].score - brute_force(items[k], text) / 60) < 1e-6
     assert contaminated(d.limit(0), b).count() == 0 and contaminated(d, b.limit(0)).count() == 0
+
+
+def test_many_edits_once_and_a_thousand_times(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    item = [word() for _ in range(40)]
+    edited = list(item)
+    for at in (5, 14, 23, 32):
+        edited[at] = word()
+    noise = [(i, " ".join(word() for _ in range(60))) for i in range(100)]
+    b = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    one = spark.createDataFrame([*noise, (500, " ".join(edited))], "doc_id long, text string")
+    got = contaminated(one, b).collect()
+    assert [(r.doc_id, r.score) for r in got] == [(500, brute_force(item, edited) / 80)]
+    copies = [(1000 + i, " ".join([*edited, *([word()] if i % 2 else [])])) for i in range(1000)]
+    many = spark.createDataFrame(noise + copies, "doc_id long, text string")
+    assert {r.doc_id for r in contaminated(many, b).collect()} == {i for i, _ in copies}
+
+
+def test_spread_copy_is_aligned_whole(spark):
+    item = [f"w{i}" for i in range(20)]
+    spread = item[:3] + [x for i, w in enumerate(item[3:]) for x in (f"extra{i}", w)]
+    docs = spark.createDataFrame([(1, " ".join(["before"] * 50 + spread + ["after"] * 50))], "doc_id long, text string")
+    got = contaminated(docs, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()
+    assert [r.score for r in got] == [brute_force(item, spread) / 40]
+    assert brute_force(item, spread) >= 20
