@@ -337,11 +337,11 @@ def fit(train: DataFrame, lexicon: Lexicon, *, rounds: int = 2, part_bytes: int
     return weights
 
 
-def score_documents(docs: DataFrame, learn: DataFrame, *, share: int = 8) -> tuple[DataFrame, Lexicon]:
+def score_documents(docs: DataFrame, learn: DataFrame, *, share: int = 1) -> tuple[DataFrame, Lexicon]:
     """Base and model log10 probabilities of every row of `docs` (doc_id, text).
 
-    Words are counted over all rows of `learn`; the recurrent weights see the rows
-    whose hash falls into one of `share` parts.  Returns doc_id, n_tokens, n_known,
+    Words are counted over all rows of `learn`, and the recurrent weights see each of
+    them in one round; `share` over 1 trains them on one row in so many.  Returns doc_id, n_tokens, n_known,
     base_score and score.  Null texts are empty: their only token is the end.
     """
     spark = docs.sparkSession

@@ -72,6 +72,19 @@ def test_scores_and_base(spark):
     assert gru_lm.score_documents(docs.limit(0), train.limit(0))[0].count() == 0
 
 
+def test_weights_see_every_learning_row(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha beta {i}") for i in range(200)], "doc_id long, text string")
+    seen, fit = [], gru_lm.fit
+
+    def keep(train, lexicon):
+        seen.extend((r.text, r.turn) for r in train.collect())
+        return fit(train, lexicon)
+
+    monkeypatch.setattr(gru_lm, "fit", keep)
+    gru_lm.score_documents(docs, docs)
+    assert sorted(t for t, _ in seen) == sorted(f"alpha beta {i}" for i in range(200)) and {k for _, k in seen} == {0, 1}
+
+
 def slow_segments(scores):
     """Maximal segments by the definition: the best one, then both sides of it."""
 
