@@ -17,8 +17,13 @@ TOXIC_FROM = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose toxicity score is below TOXIC_FROM; the model learns from the labels table."""
+    """Rows whose toxicity score is below TOXIC_FROM; the model learns from the labels table.
+
+    Where the labels teach it nothing, all rows stay.
+    """
     model = train(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    if not model.learned:
+        return docs
     return score(docs, model).where(F.col("_score") < TOXIC_FROM).select(*docs.columns)
 
 

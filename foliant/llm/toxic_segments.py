@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,7 @@ class Model:
     rate: float = 1.0
     log_k: float = 0.0
     coefficients: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    learned: bool = False  # has weights and was calibrated on both labels
 
 
 class WordScores(dict):
@@ -146,7 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 30_000, max_fea
     `docs` has doc_id and text, `labels` doc_id and toxic (0 or 1); other rows are
     not used.  The documents are the first by a hash of doc_id, and copies of a text
     count once.  Both bounds are parameters of the classifier; scoring has none.
-    Without both labels the model has no weights and scores 0.5 for every text.
+    Where one label is missing among the rows counted or among those held for the
+    calibration, all rows are counted and calibrated by cross-fitting in five parts.
+    Without both labels the model has no weights and scores 0.5 for every text; its
+    `learned` is false, as it is when no feature tells the labels apart.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxic")
@@ -166,32 +171,45 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 30_000, max_fea
             both = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_pydict({"feature": pa.array(both, pa.string()), "clean": pa.array([seen[0][f] for f in both], pa.int64()), "toxic": pa.array([seen[1][f] for f in both], pa.int64())})
 
-    counted = texts.where("fold < 7")
-    sums = counted.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    size = {r["toxic"]: r["n"] for r in counted.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not size.get(0) or not size.get(1):
-        return Model({}, 0.1)
-    n_c, n_t = float(size[0]), float(size[1])
-    alpha = F.lit(prior) * (F.col("c") + F.col("t")) / (n_c + n_t)
-    odds = lambda n, total: F.log((F.col(n) + F.col("alpha")) / F.greatest(total + prior - F.col(n) - F.col("alpha"), F.lit(0.5)))
-    scored = sums.where("c + t >= 3").withColumn("alpha", alpha).withColumn("delta", odds("t", n_t) - odds("c", n_c))
-    scored = scored.withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("t") + F.col("alpha")) + 1 / (F.col("c") + F.col("alpha"))))
-    top = scored.where(F.col("z") >= z_limit).orderBy(F.desc("z"), "feature").limit(max_features).select("feature", "z", "delta").collect()
-    # Two standard errors off: a weight that few documents support counts for less.
-    model = Model({r["feature"]: (r["z"], r["delta"] * (1 - 2 / r["z"])) for r in top}, 0.1)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(model)
-        for batch in batches:
-            rows = []
-            for label, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                n, values, segments = scan(text, scores)
-                growth = (np.exp(np.outer(LAMBDAS, values - model.drift)).sum(1) + (n - len(values)) * np.exp(-LAMBDAS * model.drift)).tolist()
-                rows.append((label, n, [s[2] for s in segments], growth))
-            yield pa.RecordBatch.from_pylist([dict(zip(("toxic", "n", "segments", "growth"), r, strict=True)) for r in rows], schema=pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("segments", pa.list_(pa.float64())), ("growth", pa.list_(pa.float64()))]))
-
-    held = texts.where("fold >= 7").mapInArrow(measure, "toxic int, n long, segments array<double>, growth array<double>").toPandas()
-    held = held[held["n"] > 0]
+    def weights_of(counted: DataFrame) -> Model | None:
+        sums = counted.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+        size = {r["toxic"]: r["n"] for r in counted.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not size.get(0) or not size.get(1):
+            return None
+        n_c, n_t = float(size[0]), float(size[1])
+        alpha = F.lit(prior) * (F.col("c") + F.col("t")) / (n_c + n_t)
+        odds = lambda n, total: F.log((F.col(n) + F.col("alpha")) / F.greatest(total + prior - F.col(n) - F.col("alpha"), F.lit(0.5)))
+        scored = sums.where("c + t >= 3").withColumn("alpha", alpha).withColumn("delta", odds("t", n_t) - odds("c", n_c))
+        scored = scored.withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("t") + F.col("alpha")) + 1 / (F.col("c") + F.col("alpha"))))
+        top = scored.where(F.col("z") >= z_limit).orderBy(F.desc("z"), "feature").limit(max_features).select("feature", "z", "delta").collect()
+        # Two standard errors off: a weight that few documents support counts for less.
+        return Model({r["feature"]: (r["z"], r["delta"] * (1 - 2 / r["z"])) for r in top}, 0.1)
+
+    def measured(model: Model, frame: DataFrame) -> pd.DataFrame:
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scores = WordScores(model)
+            for batch in batches:
+                rows = []
+                for label, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                    n, values, segments = scan(text, scores)
+                    growth = (np.exp(np.outer(LAMBDAS, values - model.drift)).sum(1) + (n - len(values)) * np.exp(-LAMBDAS * model.drift)).tolist()
+                    rows.append((label, n, [s[2] for s in segments], growth))
+                yield pa.RecordBatch.from_pylist([dict(zip(("toxic", "n", "segments", "growth"), r, strict=True)) for r in rows], schema=pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("segments", pa.list_(pa.float64())), ("growth", pa.list_(pa.float64()))]))
+
+        found = frame.mapInArrow(measure, "toxic int, n long, segments array<double>, growth array<double>").toPandas()
+        return found[found["n"] > 0]
+
+    model = weights_of(texts.where("fold < 7"))
+    held = measured(model, texts.where("fold >= 7")) if model else None
+    if held is None or held["toxic"].nunique() < 2:
+        model = weights_of(texts)
+        if not model:
+            return Model({}, 0.1)
+        parts = []
+        for k in range(5):
+            own = F.col("fold") % 5 == k
+            parts.append(measured(weights_of(texts.where(~own)) or Model({}, 0.1), texts.where(own)))
+        held = pd.concat(parts, ignore_index=True)
     clean = held[held["toxic"] == 0]
     if len(clean) and len(clean) < len(held):
         mean = np.sum(clean["growth"].tolist(), axis=0) / clean["n"].sum()
@@ -200,6 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 30_000, max_fea
         best = np.array([max(s) if len(s) else 0.0 for s in clean["segments"]])
         model.log_k = float(np.mean((model.rate * best - np.log(clean["n"]))[best > 0]) - 0.5772) if (best > 0).any() else -3.0
         x = np.array([evidence(n, [(0, 0, v) for v in s], model)[:3] for n, s in zip(held["n"], held["segments"], strict=True)])
+        model.learned = bool(model.weights)
         model.coefficients = tuple(float(b) for b in _fit_logistic(x, held["toxic"].to_numpy(float)))
     return model
 

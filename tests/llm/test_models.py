@@ -135,3 +135,16 @@ def test_toxicity_learns_stems_and_handles_edges(spark):
     assert got[9000]._score < 0.3 and got[9001]._segments == [] and 0 <= got[None]._score <= 1
     empty = toxic_segments.train(docs, known.limit(0))
     assert toxic_segments.score(docs.limit(2), empty).select(F.max("_score")).first()[0] == 0.5
+
+
+def test_one_label_in_the_calibration_fold(spark):
+    rng = random.Random(6)
+    rows = spark.range(700).withColumn("fold", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(10))).collect()
+    toxic = {r.id for r in rows if r.fold < 7 and r.id % 6 == 0}
+    text = lambda i: " ".join([f"word{rng.randrange(200)}" for _ in range(40)] + ["scum", "grobian"] * 2 * (i in toxic))
+    docs = spark.createDataFrame([(r.id, text(r.id)) for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r.id, int(r.id in toxic)) for r in rows], "doc_id long, toxic int")
+    model = toxic_segments.train(docs, labels)
+    assert model.learned
+    assert {r.doc_id for r in toxic_segments.score(docs, model).where("_score >= 0.3").collect()} == toxic
+    assert not toxic_segments.train(docs, labels.where("toxic = 0")).learned
