@@ -97,8 +97,8 @@ def _split(capacity: Column, rows: Column, *key: Column) -> Column:
 def communication_matrix(block_rows: DataFrame, shards: int, levels: int, seed: int) -> DataFrame:
     """(_matrix_block, _shard, _first, _last): positions of a block that go to a shard.
 
-    `block_rows` has (block, n) for up to 2**levels blocks.  The tree has one node
-    for each range of blocks; its rows number is bounded by the block count, which
+    `block_rows` has (block, n) for up to 2**levels blocks.  The tree has one node for
+    each range of blocks; its rows number is bounded by the block count, which
     is a parameter and not a size of the data.
     """
     width = 1 << levels
@@ -127,23 +127,28 @@ def communication_matrix(block_rows: DataFrame, shards: int, levels: int, seed:
     return cells.where("rows > 0").select(F.col("block").alias("_matrix_block"), F.col("shard").alias("_shard"), before.cast("long").alias("_first"), (before + F.col("rows")).cast("long").alias("_last"))
 
 
-def uniform_shards(docs: DataFrame, shards: int = 16, *, seed: int = 20240229, levels: int = 6, cells: int = 64) -> DataFrame:
+def uniform_shards(docs: DataFrame, shards: int = 16, *, seed: int = 20240229, block_rows: int = 1 << 16, cell_rows: int = 1 << 16, least: int = 64) -> DataFrame:
     """All columns of `docs` plus `_shard` int and `_slot` long: a uniform shuffle.
 
     Shard sizes differ by one row at most and slots of a shard are gapless from 0.
-    Blocks depend on a row's place in the input, not on its values, so nulls,
-    repeated rows and equal keys cannot make one block large.  `docs` has to give
-    the same rows in the same order when read again (files or a checkpoint do).
-    2**levels blocks and `cells` parts of each shard bound the rows of one task;
-    raise both with the data.  An empty input gives no rows.
+    Rows are numbered once, in a saved table, and everything is drawn from that table:
+    no later reading of the input can number them anew.  Blocks depend on these numbers
+    and not on values, so nulls, repeated rows and equal keys cannot make one block
+    large.  The number of blocks and of the parts of a shard follows the row count, so
+    a task sorts about block_rows or cell_rows rows; there are `least` blocks at least.
+    Columns of `docs` named _shard or _slot are replaced; an empty input gives no rows.
     """
-    blocks = 1 << levels
-    placed = docs.withColumn("_place", F.monotonically_increasing_id())
-    placed = placed.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_place"), F.lit(blocks)).cast("int"))
-    counts = placed.groupBy(F.col("_block").alias("block")).agg(F.count(F.lit(1)).alias("n"))
     scratch = Scratch(docs.sparkSession, "shards")
-    # At most 2**levels * shards rows: a bound set by parameters.
-    matrix = F.broadcast(scratch.save(communication_matrix(counts, shards, levels, seed), "matrix"))
+    given = [c for c in docs.columns if c not in ("_shard", "_slot")]
+    placed = scratch.save(docs.select(F.struct(*[docs[c] for c in given]).alias("_row"), F.monotonically_increasing_id().alias("_place")), "placed")
+    n = placed.count()
+    levels = max(0, math.ceil(math.log2(max(least, n / block_rows))))
+    cells = max(least, math.ceil(n / shards / cell_rows))
+    placed = placed.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_place"), F.lit(1 << levels)).cast("int"))
+    counts = placed.groupBy(F.col("_block").alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    matrix = scratch.save(communication_matrix(counts, shards, levels, seed), "matrix")
+    if (matrix.agg(F.sum(F.col("_last") - F.col("_first"))).first()[0] or 0) != n:
+        raise RuntimeError("the communication matrix does not add up to the rows")
 
     def dealt(rows: DataFrame) -> DataFrame:
         local = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed + 101), "_place"), "_place")
@@ -154,7 +159,7 @@ def uniform_shards(docs: DataFrame, shards: int = 16, *, seed: int = 20240229, l
 
     thin = dealt(placed.select("_place", "_block")).groupBy("_shard", "_cell").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("_shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = F.broadcast(thin.select("_shard", "_cell", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("_before")))
+    offsets = thin.select("_shard", "_cell", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_shard", "_cell").orderBy(F.xxhash64(F.lit(seed + 303), "_place"), "_place")
     final = dealt(placed).withColumn("_rank", F.row_number().over(inside) - 1).join(offsets, ["_shard", "_cell"])
-    return final.select(*[final[c] for c in docs.columns], F.col("_shard").cast("int").alias("_shard"), (F.col("_before") + F.col("_rank")).alias("_slot"))
+    return final.select("_row.*", F.col("_shard").cast("int").alias("_shard"), (F.col("_before") + F.col("_rank")).alias("_slot"))
