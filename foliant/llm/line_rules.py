@@ -1,9 +1,9 @@
 """Quality rules from how often a line occurs across the documents of a host.
 
 Lines are normalised (A-Z to lower case, digits to 0, white space collapsed) and
-hashed; a line is frequent when more distinct texts of its host hold it than both
-an absolute limit and a share of the host's texts.  Frequent lines are removed, and
-documents that lose most of their words are rejected.
+hashed; a line is frequent when more documents of its host hold it than a limit that
+is the same for small and large hosts.  Frequent lines are removed, and documents that
+lose most of their words are rejected.
 """
 
 from __future__ import annotations
@@ -69,15 +69,16 @@ def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(keep + arrays, names=[*labels, *names, "lines"])
 
 
-def assess(docs: DataFrame, *, host: str = "source", min_documents: int = 25, max_share: float = 0.01, min_left: float = 0.3) -> DataFrame:
+def assess(docs: DataFrame, *, host: str = "source", max_documents: int = 3, min_left: float = 0.3) -> DataFrame:
     """One row per row of `docs` (doc_id, text and a host column).
 
     Gives doc_id, text_hash, the base figures, base_failed, n_removed_words,
-    removed_lines (hashes) and kept.  A line is frequent when its distinct texts in
-    the host exceed min_documents and max_share of the host's texts: copies of a text
-    count once, so a document is not rejected for having been copied.  A document is
-    depleted when less than `min_left` of its words remain.  A null host is a host of
-    its own; null and empty texts have no words and fail the base rule.
+    removed_lines (hashes) and kept.  A line is frequent when more than max_documents
+    documents of the host hold it; every row is a document of its own, copies too, and
+    counts once however often it repeats the line.  A document is depleted when less
+    than `min_left` of its words remain.  A null host is a host of its own; null and
+    empty texts have no words and fail the base rule; an empty table gives no rows.
+    Other columns of `docs` are not looked at, so their names cannot clash.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(
@@ -88,11 +89,9 @@ def assess(docs: DataFrame, *, host: str = "source", min_documents: int = 25, ma
     measured = rows.mapInArrow(_measures, f"doc_id {kinds['doc_id']}, _host string, text_hash long, _row long, {MEASURES}")
     measured = scratch.save(measured, "measured")
 
-    lines = measured.select("_row", "_host", "text_hash", F.explode("lines").alias("x")).select("_row", "_host", "text_hash", "x.hash", "x.words")
-    texts = lines.select("_host", "hash", "text_hash").distinct()
-    per_line = texts.groupBy("_host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_documents)
-    per_host = measured.select("_host", "text_hash").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("texts"))
-    frequent = per_line.join(per_host, "_host").where(F.col("n") > max_share * F.col("texts")).select("_host", "hash")
+    # A row lists each of its lines once, so rows count documents, with partial sums before the shuffle.
+    lines = measured.select("_row", "_host", F.explode("lines").alias("x")).select("_row", "_host", "x.hash", "x.words")
+    frequent = lines.groupBy("_host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents).select("_host", "hash")
     hits = lines.join(frequent, ["_host", "hash"]).groupBy("_row").agg(F.sum("words").alias("gone"), F.collect_list("hash").alias("removed_lines"))
 
     out = measured.drop("lines", "_host").join(hits, "_row", "left")
@@ -109,22 +108,22 @@ def without_lines(docs: DataFrame, assessed: DataFrame) -> DataFrame:
     """The kept rows of `docs` with their frequent lines cut out of `text`.
 
     Rows meet by doc_id and text, so rows that repeat both are given back once for
-    each of them.
+    each of them.  All columns of `docs` come back, whatever their names.
     """
-    verdict = assessed.where("kept").groupBy("doc_id", "text_hash").agg(F.first("removed_lines").alias("_removed"))
-    joined = docs.withColumn("_text_hash", F.xxhash64("text")).alias("d").join(verdict.alias("v"), F.col("d.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("_text_hash") == F.col("text_hash")))
-    joined = joined.select(*[F.col(f"d.{c}") for c in docs.columns], "_removed")
-    at = docs.columns.index("text")
+    verdict = assessed.where("kept").groupBy("doc_id", "text_hash").agg(F.first("removed_lines").alias("removed")).select(F.struct("doc_id", "text_hash", "removed").alias("v"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"), docs["doc_id"].alias("own_id"), F.xxhash64(docs["text"]).alias("own_hash"))
+    joined = rows.join(verdict, F.col("own_id").eqNullSafe(F.col("v.doc_id")) & (F.col("own_hash") == F.col("v.text_hash")))
+    names, at = docs.columns, docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = lambda line: xxhash.xxh3_64_intdigest(b" ".join(line.translate(NORMAL).split())) - (1 << 63)
         for batch in batches:
             texts = []
-            for text, removed in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(docs_names)).to_pylist(), strict=True):
-                gone = {h for h in removed}
-                key = lambda line: xxhash.xxh3_64_intdigest(b" ".join(line.translate(NORMAL).split())) - (1 << 63)
+            own = batch["d"].flatten()
+            for text, removed in zip(own[at].cast(pa.binary()).to_pylist(), batch["removed"].to_pylist(), strict=True):
+                gone = set(removed)
                 texts.append(text if not gone or text is None else b"\n".join(x for x in text.split(b"\n") if key(x) not in gone))
-            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(len(docs_names))]
-            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else own[i] for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    docs_names = docs.columns
-    return joined.mapInArrow(cut, docs.schema)
+    return joined.select("d", "v.removed").mapInArrow(cut, docs.schema)

@@ -68,7 +68,7 @@ def op7_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch.path}/frames"
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     files = scratch.save(token_frames.write(docs, folder, public_tokenizers.path("word_bpe_49k.json")), "files")
-    found = token_frames.read_documents(token_frames.file_starts(files).repartition("file"), folder)
+    found = token_frames.read_documents(token_frames.file_starts(files), folder)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -142,13 +142,12 @@ w AS (SELECT r, doc_id, text, host, regexp_extract_all(text, '[^\x20\x09-\x0D]+'
 tri AS (SELECT r, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM tri) WHERE c > 1),
 repn AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
-ln AS (SELECT r, host, text, i, line FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM w)
+ln AS (SELECT r, host, i, line FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM w)
        WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY r),
-nl AS (SELECT r, host, text, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+nl AS (SELECT r, host, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
        array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[^\x20\x09-\x0D]+'), ' ') AS k FROM ln),
-freq AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT text) AS n FROM nl GROUP BY host, k)
-         JOIN (SELECT host, count(DISTINCT text) AS t FROM w GROUP BY host) USING (host) WHERE n > 25 AND n > 0.01 * t),
+freq AS (SELECT host, k FROM nl GROUP BY host, k HAVING count(DISTINCT r) > 3),
 gone AS (SELECT r, sum(n) AS n FROM nl JOIN freq USING (host, k) GROUP BY r),
 o AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,

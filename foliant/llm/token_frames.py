@@ -235,7 +235,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, width: int = 2, parti
 
     Files hold documents in ascending doc_id order (nulls first, then by text) and
     are named in that order.  `width` is the bytes of an id.  A null text has only
-    the end id.  `folder` is a URI that every executor reaches.
+    the end id, repeated rows are written each, and an empty table writes no file.
+    `folder` is a URI that every executor reaches.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -276,9 +277,11 @@ def read_documents(files: DataFrame, folder: str) -> DataFrame:
 
     `files` is what file_starts() gives, and `start` the number of ids ahead of the
     document in its file and in the files before.  Frames are the
-    unit of work: a task reads only the frames dealt to it.
+    unit of work: a task reads only the frames dealt to it, 16 of a file together.  No
+    files give no rows.
     """
     frames = files.select("file", "start", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame"))
+    frames = frames.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file", F.expr("frame div 16"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
