@@ -2,211 +2,450 @@
 
 Each distinct unit of text becomes a lattice: its bounded-length substrings are
 exploded and equi-joined to the piece table, the edges are grouped by unit, and a
-higher-order aggregate folds them into the segmentation with the highest sum of
-piece scores.  A unit is a run of spaces with the letters, or the other characters,
-that follow it; no piece crosses the border of two units (checked when a model is
-loaded), so the best segmentation of a text is that of its units in order.  Units of
-more than 256 characters, or 64 spaces, are cut there.  A character without a piece
-is written as its UTF-8 bytes, which makes decoding exact for every text.
+higher-order aggregate folds them into the best segmentation.  The piece file is a
+merge model: scores are ranks, and the model's segmentation is not the one with the
+best sum of them.  It is the best one under another order: compare two segmentations
+by the merges that build their pieces, best rank first, and the first merge that only
+one of them has decides.  Under that order the best path can be folded edge by edge in
+rank order: an edge enters where it joins exactly two pieces of the path so far.  The
+state is the path itself, a bit for each border.
+
+A unit is a run of spaces with the letters, or the other characters, that follow it; no
+piece crosses the border of two units (checked when a model is loaded), so the
+segmentation of a text is that of its units in order.  Units of more than 62 characters
+are first cut between characters that are neighbours in no piece, which changes nothing;
+what is still longer (rows of one sign, long identifiers) is merged whole by `merge_run`
+in the same order.  A character without a piece is written as its UTF-8 bytes, which
+makes decoding exact for every text; U+2581, the model's mark for a space, is such a
+character.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import sentencepiece
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm import words as W
 from foliant.llm.scratch import Scratch
 
-UNIT = regex.compile(r" {0,64}\p{L}{1,256}| {0,64}[^\p{L} \n]{1,256}| {1,64}|\n")
-FALLBACK_SCORE = -1e6
+LIMIT = 62
 MISSING = 0xFFFF
-PART_UNITS = 16_384
+SLICE_CHARS = 1 << 20
+DISTINCT = 400_000
+SPACE, LETTER, NEWLINE = 1, 2, 3
+
+
+# ---- the model --------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Model:
+    """Pieces with spaces as spaces: text -> (rank, id); ranks start at 1, one character has 0."""
+
+    known: dict[str, tuple[int, int]]
+    byte_ids: tuple[int, ...]
+    longest: int
+    pairs: np.ndarray  # sorted codes of characters that are neighbours in a piece
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of every code point."""
+    letter = regex.compile(r"\p{L}")
+    out = np.array([letter.match(chr(c)) is not None for c in range(0x110000)], np.uint8) * np.uint8(LETTER)
+    out[32], out[10] = SPACE, NEWLINE
+    return out
+
+
+@lru_cache(maxsize=1)
+def _values() -> np.ndarray:
+    return W.mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _borders(points: np.ndarray) -> np.ndarray:
+    """Whether a unit starts at each code point, from the classes alone."""
+    kind = _classes()[points]
+    start = np.ones(len(points), bool)
+    before, now = kind[:-1], kind[1:]
+    start[1:] = (now == NEWLINE) | (before == NEWLINE) | ((now != before) & (before != SPACE))
+    return start
+
+
+def _pair_codes(points: np.ndarray) -> np.ndarray:
+    return (points[:-1].astype(np.uint64) << np.uint64(21)) | points[1:]
 
 
 @lru_cache(maxsize=2)
-def pieces(model: str) -> pd.DataFrame:
-    """(piece, id, score) with spaces as spaces, bytes pieces as piece None."""
-    library = sentencepiece.SentencePieceProcessor(model_file=model)
-    rows = []
+def load(path: str) -> Model:
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    found, in_bytes = [], [0] * 256
     for i in range(library.get_piece_size()):
         name = library.id_to_piece(i)
         if library.is_byte(i):
-            rows.append((None, i, int(name[3:5], 16)))
+            in_bytes[int(name[3:5], 16)] = i
         elif not (library.is_control(i) or library.is_unknown(i) or library.is_unused(i)):
-            rows.append((name.replace("▁", " "), i, library.get_score(i)))
-    table = pd.DataFrame(rows, columns=["piece", "id", "score"])
-    crossing = [p for p in table["piece"].dropna() if len(UNIT.findall(p)) != 1]
-    if crossing or table["id"].max() >= MISSING:
+            found.append((name.replace("▁", " "), library.get_score(i), i))
+    order = {s: k + 1 for k, s in enumerate(sorted({s for _, s, _ in found}, reverse=True))}
+    known = {p: (order[s] if len(p) > 1 else 0, i) for p, s, i in found}
+    crossing = [p for p in known if _borders(code_points(p)).sum() != 1]
+    if crossing or library.get_piece_size() >= MISSING or len(order) >= 1 << 17:
         raise ValueError(f"pieces cross the units of text: {crossing[:5]}")
-    return table
+    pairs = np.unique(np.concatenate([_pair_codes(code_points(p)) for p in known]))
+    return Model(known, tuple(in_bytes), max(map(len, known)), pairs)
+
+
+def merge_run(run: str, model: Model) -> list[int]:
+    """Ids of a run of any length: neighbours are merged in rank order, from the left where ranks are equal."""
+    end, prev = list(range(1, len(run) + 1)), list(range(-1, len(run) - 1))
+    alive, queue = [True] * len(run), []
+
+    def offer(a: int, b: int) -> None:
+        if 0 <= a and b < len(run) and end[b] - a <= model.longest and (hit := model.known.get(run[a : end[b]])):
+            heapq.heappush(queue, (hit[0], a, b, end[b]))
+
+    for i in range(len(run) - 1):
+        offer(i, i + 1)
+    while queue:
+        _, a, b, to = heapq.heappop(queue)
+        if not (alive[a] and alive[b] and end[a] == b and end[b] == to):
+            continue
+        alive[b], end[a] = False, to
+        if to < len(run):
+            prev[to] = a
+            offer(a, to)
+        offer(prev[a], a)
+    out = []
+    at = 0
+    while at < len(run):
+        piece = run[at : end[at]]
+        out += [model.known[piece][1]] if piece in model.known else [model.byte_ids[x] for x in piece.encode("utf-8", "surrogatepass")]
+        at = end[at]
+    return out
+
+
+# ---- units ------------------------------------------------------------------
+
+
+@dataclass
+class Units:
+    """Units of some texts, each text behind the space that encoding puts in front of it."""
+
+    text: str
+    start: np.ndarray
+    end: np.ndarray
+    owner: np.ndarray  # number of the text
+    key: np.ndarray  # 64-bit hash
+
+    def __getitem__(self, k: int) -> str:
+        return self.text[self.start[k] : self.end[k]]
+
+
+def units_of(texts: list[str], model: Model) -> Units:
+    text = "".join([" " + t for t in texts])
+    points = code_points(text)
+    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    border = _borders(points)
+    border[begin[:-1]] = True
+    start = np.flatnonzero(border)
+    end = np.append(start[1:], len(points))
+    long = np.flatnonzero(end - start > LIMIT)
+    if len(long):
+        for k in long.tolist():
+            codes = _pair_codes(points[start[k] : end[k]])
+            at = np.minimum(np.searchsorted(model.pairs, codes), len(model.pairs) - 1)
+            border[start[k] + 1 + np.flatnonzero(model.pairs[at] != codes)] = True
+        start = np.flatnonzero(border)
+        end = np.append(start[1:], len(points))
+    return Units(text, start, end, np.searchsorted(begin, start, "right") - 1, _range_keys(points, start, end))
+
+
+def _range_keys(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    forward, back = W.powers(len(points) + 1)
+    prefix = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(_values()[points] * forward[: len(points)], out=prefix[1:])
+    return W.mix((prefix[end] - prefix[start]) * back[start])
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of whole texts of about SLICE_CHARS characters, with the number of the first."""
+    first = size = 0
+    for k, text in enumerate(texts):
+        if size and size + len(text) > SLICE_CHARS:
+            yield first, texts[first:k]
+            first, size = k, 0
+        size += len(text) + 1
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def _count(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(unit, n): a row for each distinct unit of a part of the input of bounded variety."""
+        model = load(path)
+        keys, counts, names = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, object)]
+
+        def merge() -> None:
+            key, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            counts[:] = [np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)]
+            names[:] = [np.concatenate(names)[first]]
+            keys[:] = [key]
+
+        def out() -> pa.RecordBatch:
+            merge()
+            batch = pa.RecordBatch.from_arrays([pa.array(names[0], pa.string()), pa.array(counts[0])], names=["unit", "n"])
+            keys[:], counts[:], names[:] = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, object)]
+            return batch
+
+        for batch in batches:
+            for _, texts in _slices(batch["text"].to_pylist()):
+                units = units_of(texts, model)
+                short = np.flatnonzero(units.end - units.start <= LIMIT)
+                key, first, n = np.unique(units.key[short], return_index=True, return_counts=True)
+                own = np.empty(len(key), object)
+                own[:] = [units[k] for k in short[first].tolist()]
+                keys.append(key)
+                counts.append(n)
+                names.append(own)
+                if sum(map(len, keys)) > 2 * DISTINCT:
+                    merge()
+                    if len(keys[0]) > DISTINCT:
+                        yield out()
+        yield out()
+
+    return run
+
+
+# ---- the lattice ------------------------------------------------------------
+
+
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+
 
+def _field(e: Column, at: int, bits: int) -> Column:
+    return F.shiftright(e, at).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
-def lattice_encode(units: DataFrame, model: str) -> DataFrame:
-    """`units` (unit string, distinct and partitioned by unit) plus ids array<int>."""
-    spark: SparkSession = units.sparkSession
-    table = pieces(model)
-    normal = table[table["piece"].notna()]
-    longest = int(normal["piece"].str.len().max())
-    byte_ids = table[table["piece"].isna()].sort_values("score")["id"].tolist()
+
+def lattice_encode(units: DataFrame, path: str) -> DataFrame:
+    """`units` (unit of at most 62 characters, distinct and partitioned by unit; n) plus ids array<int>.
+
+    An edge is one number: rank (upper bits), end (6), 63 - start (6), id (16), so sorting
+    edges puts them in the order of merging.
+    """
+    model = load(path)
     # The piece table belongs to the model: its size does not depend on the data.
-    lookup = F.broadcast(spark.createDataFrame(normal, "piece string, id int, score double"))
-    at_byte = lambda c, i: F.conv(F.substring(F.hex(F.encode(c, "UTF-8")), i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    as_bytes = lambda c: F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda i: F.get(F.array(*map(F.lit, byte_ids)), at_byte(c, i)))
+    lookup = F.broadcast(units.sparkSession.createDataFrame([(p, (rank << 28) | i) for p, (rank, i) in model.known.items()], "piece string, code long"))
     size = F.length("unit")
-    starts = units.select("unit", F.posexplode(F.split("unit", "")).alias("start", "_c")).where("start < length(unit)").select("unit", "start")
-    spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start")))).alias("len"))
-    spans = spans.withColumn("sub", F.substring("unit", F.col("start") + 1, F.col("len")))
-    edges = spans.join(lookup, spans["sub"] == lookup["piece"], "left").where("id IS NOT NULL OR len = 1")
-    # Without a piece an edge has id -1 and stands for the bytes of its one character.
-    edge = F.struct((F.col("start") + F.col("len")).cast("short").alias("end"), F.col("start").cast("short").alias("start"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(FALLBACK_SCORE)).alias("score"))
-    grouped = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-
-    def viterbi(s: Column, e: Column) -> Column:
-        """Best score of each position; an edge that ends at a new position opens it."""
-        total = F.get(s["best"], e["start"]) + e["score"]
-        new = e["end"] == F.size(s["best"])
-        better = ~new & (total > F.element_at(s["best"], -1))
-        kept = F.size(s["back"]) - 1
-        return F.when(
-            new, F.struct(F.concat(s["best"], F.array(total)).alias("best"), F.concat(s["back"], F.array(e)).alias("back"))
-        ).when(
-            better, F.struct(F.concat(F.slice(s["best"], 1, kept + 1), F.array(total)).alias("best"), F.concat(F.slice(s["back"], 1, kept), F.array(e)).alias("back"))
-        ).otherwise(s)
-
-    kind = "array<struct<end:smallint,start:smallint,id:int,score:double>>"
-    zero = F.struct(F.array(F.lit(0.0)).alias("best"), F.array().cast(kind).alias("back"))
-    back = F.aggregate("edges", zero, viterbi)["back"]
-    def walk(s: Column, _: Column) -> Column:
-        e = F.get(s["back"], s["at"] - 1)
-        ids = F.when(e["id"] >= 0, F.array(e["id"])).otherwise(as_bytes(F.substring("unit", e["start"] + 1, F.lit(1))))
-        return F.when(s["at"] == 0, s).otherwise(F.struct(e["start"].cast("int").alias("at"), s["back"].alias("back"), F.concat(ids, s["ids"]).alias("ids")))
-
-    begin = F.struct(F.size("back").alias("at"), F.col("back"), F.array().cast("array<int>").alias("ids"))
-    return grouped.select("unit", back.alias("back")).select("unit", F.aggregate(F.sequence(F.lit(1), F.size("back")), begin, walk)["ids"].alias("ids"))
-
-
-def units_of(text: str) -> list[str]:
-    """Units of a text behind the space that encoding puts in front of it."""
-    return UNIT.findall(" " + text)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[str] = Counter()
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
-
+    tails = units.sortWithinPartitions("unit").select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    tails = tails.select("unit", "n", "start", F.substring("unit", F.col("start") + 1, F.lit(model.longest)).alias("tail"))
+    spans = tails.select("unit", "n", "start", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("len"))
+    spans = spans.select("unit", "n", "start", "len", F.substring("tail", F.lit(1), F.col("len")).alias("piece"))
+    # A character without a piece keeps an edge that stands for its bytes.
+    edges = spans.join(lookup, "piece", "left").where("code IS NOT NULL OR len = 1")
+    place = ((F.col("start") + F.col("len")) * (1 << 22) + (63 - F.col("start")) * (1 << 16)).cast("long")
+    edge = F.coalesce("code", F.lit(MISSING).cast("long")).bitwiseOR(place)
+    grouped = edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    start = lambda e: 63 - _field(e, 16, 6)
+    end = lambda e: _field(e, 22, 6)
+    ends = lambda e: _bit(start(e)).bitwiseOR(_bit(end(e)))
+    inner = lambda e: _bit(end(e)) - _bit(start(e) + 1)
+
+    def fold(path: Column, e: Column) -> Column:
+        """Let an edge into the path where it joins two pieces of it."""
+        inside = path.bitwiseAND(inner(e))
+        return F.when((F.bit_count(inside) == 1) & (path.bitwiseAND(ends(e)) == ends(e)), path - inside).otherwise(path)
+
+    every = _bit(size + 1) - 1
+    best = grouped.select("unit", "n", "edges", F.aggregate("edges", every, fold).alias("path"))
+    taken = F.filter("edges", lambda e: F.col("path").bitwiseAND(ends(e).bitwiseOR(inner(e))) == ends(e))
+    # Of a token: start from bit 20, number of a byte from bit 16, id.
+    tokens = best.select("unit", "n", F.array_sort(F.transform(taken, lambda e: F.shiftleft(start(e), 20).bitwiseOR(_field(e, 0, 16)))).alias("tokens"))
+    table = F.array(*map(F.lit, model.byte_ids))
+    at_byte = lambda c, j: F.conv(F.substring(F.hex(F.encode(c, "UTF-8")), j * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    as_bytes = lambda c: F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda j: F.get(table, at_byte(c, j)))
+    number = lambda t: _field(t, 0, 16).cast("int")
+    ids = F.when(
+        F.exists("tokens", lambda t: number(t) == MISSING),
+        F.flatten(F.transform("tokens", lambda t: F.when(number(t) == MISSING, as_bytes(F.substring(F.col("unit"), F.shiftright(t, 20).cast("int") + 1, F.lit(1)))).otherwise(F.array(number(t))))),
+    ).otherwise(F.transform("tokens", number))
+    return tokens.select("unit", "n", ids.alias("ids"))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash and uint16 ids of each unit."""
     for batch in batches:
-        for text in batch["text"].to_pylist():
-            seen.update(units_of(text or ""))
-            if len(seen) > 300_000:
-                yield out()
-                seen.clear()
-    yield out()
+        if not batch.num_rows:
+            continue
+        names = batch["unit"].to_pylist()
+        points = code_points("".join(names))
+        cut = np.concatenate([[0], np.cumsum([len(x) for x in names])])
+        key = _range_keys(points, cut[:-1], cut[1:])
+        lists = batch["ids"]
+        offsets = lists.offsets.to_numpy()
+        blob = lists.values.to_numpy()[offsets[0] : offsets[-1]].astype("<u2").tobytes()
+        ids = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(((offsets - offsets[0]) * 2).astype(np.int32).tobytes()), pa.py_buffer(blob)])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch["n"], ids], names=["key", "n", "ids"])
 
 
-def decode(ids: np.ndarray, table: list[bytes]) -> bytes:
-    """Bytes of a text from its ids; the space put in front is taken off."""
-    return b"".join(map(table.__getitem__, ids.tolist()))[1:]
+# ---- texts ------------------------------------------------------------------
 
 
-def piece_bytes(model: str) -> list[bytes]:
-    rows = pieces(model)
-    out = [b""] * (int(rows["id"].max()) + 1)
-    for piece, i, score in rows.itertuples(index=False):
-        out[i] = bytes([int(score)]) if piece is None else piece.encode()
-    return out
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+@dataclass
+class Known:
+    """Units by hash, in order, with their ids."""
+
+    key: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, key: np.ndarray, ids: list[bytes]) -> Known:
+        order = np.argsort(key)
+        size = np.array([len(x) // 2 for x in ids], np.int64)
+        begin = np.cumsum(size) - size
+        if (np.diff(key[order]) == 0).any():
+            raise RuntimeError("two units share a hash")
+        return cls(key[order], begin[order], size[order], np.frombuffer(b"".join(ids), "<u2"))
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 where it is not known."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, at, -1)
 
 
-def encode(docs: DataFrame, model: str, *, head: int = 1 << 18) -> DataFrame:
-    """(doc_id, text_crc32, ids binary) for each row: ids are little-endian uint16.
+PARTS = "part long, ids binary, sizes binary, crc binary, rare array<long>"
+
+
+def _first_pass(path: str, frequent, id_kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each slice of texts: ids with a mark at each rare unit, and the hashes of the rare units in order."""
+        model, known, packer = load(path), Known(*frequent.value), zstandard.ZstdCompressor(level=3)
+        part = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for first, texts in _slices(batch["text"].to_pylist()):
+                units = units_of(texts, model)
+                at = known.place(units.key)
+                begin, size = known.begin[at] if len(known.key) else at, known.size[at] if len(known.key) else at
+                runs = np.flatnonzero(units.end - units.start > LIMIT).tolist()
+                own = [np.array(merge_run(units[k], model), "<u2") for k in runs]
+                pool = np.concatenate([known.ids, [MISSING], *own]).astype("<u2")
+                rare = at < 0
+                begin, size = np.where(rare, len(known.ids), begin), np.where(rare, 1, size)
+                n = np.array([len(x) for x in own], np.int64)
+                begin[runs], size[runs], rare[runs] = len(known.ids) + 1 + np.cumsum(n) - n, n, False
+                ids = pool[_ranges(begin, size)]
+                per_text = np.bincount(units.owner, size, len(texts)).astype("<i8")
+                crc = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], "<i8")
+                wanted = units.key[rare].view(np.int64)
+                row = [pa.array([part]), pa.array([packer.compress(ids.tobytes())]), pa.array([packer.compress(per_text.tobytes())]), pa.array([packer.compress(crc.tobytes())]), pa.array([wanted], pa.list_(pa.int64()))]
+                docs = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch["doc_id"].slice(first, len(texts)).cast(id_kind))
+                yield pa.RecordBatch.from_arrays([*row, docs], names=["part", "ids", "sizes", "crc", "rare", "docs"])
+                part += 1
+
+    return run
+
+
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text, with the rare units' ids in their places."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {c: batch[c][k] for c in ("ids", "sizes", "crc", "rare", "docs", "found")}
+            ids, sizes, crc = (np.frombuffer(unpack(row[c].as_py()), kind) for c, kind in (("ids", "<u2"), ("sizes", "<i8"), ("crc", "<i8")))
+            wanted = np.asarray(row["rare"].values, np.int64) if row["rare"].values is not None else np.zeros(0, np.int64)
+            if len(wanted):
+                found = row["found"].values
+                known = Known.of(found.field("key").to_numpy(), found.field("ids").to_pylist())
+                at = known.place(wanted)
+                holes = np.flatnonzero(ids == MISSING)
+                length = np.ones(len(ids), np.int64)
+                length[holes] = known.size[at]
+                begin = np.arange(len(ids)) + len(known.ids)
+                begin[holes] = known.begin[at]
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                sizes = np.bincount(owner, length, len(sizes)).astype(np.int64)
+                ids = np.concatenate([known.ids, ids])[_ranges(begin, length)]
+            ends = np.concatenate([[0], np.cumsum(sizes)]) * 2
+            raw = ids.astype("<u2").tobytes()
+            out = pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([row["docs"].values, pa.array(crc), out], names=["doc_id", "text_crc32", "ids"])
+
+
+def encode(docs: DataFrame, path: str, *, head: int = 1 << 18) -> DataFrame:
+    """(doc_id, text_crc32, ids binary) for each row: ids are little-endian uint16, those of the model's own encoding.
 
     The encodings of the `head` most frequent units, a bounded table, go to every
-    executor; all other units are joined by value.  A null text is encoded as ''.
+    executor; all other units are joined by hash, to slices of texts that a table
+    bucketed by slice keeps in place.  A null text is encoded as ''; an empty text has no
+    ids but those of the space in front of it; repeated rows are encoded each; an empty
+    table gives no rows.  Columns other than doc_id and text are not looked at.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pieces")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    counted = docs.select("text").mapInArrow(_count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    counted = scratch.save(counted, "units")
-    # So many parts that the edges of one are sorted and folded in memory.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), counted.count() // PART_UNITS)
-    found = lattice_encode(counted.select("unit").repartition(parts, "unit"), model)
-    # Two bytes an id, as hexadecimal digits put together: little-endian uint16.
-    two = lambda i: F.format_string("%02x%02x", i % 256, (i / 256).cast("int"))
-    known = scratch.save(found.select("unit", F.unhex(F.array_join(F.transform("ids", two), "")).alias("ids")), "encodings")
-    top = counted.orderBy(F.desc("n"), "unit").limit(head).join(known, "unit").select("unit", "ids").toPandas()
-    shared = spark.sparkContext.broadcast({u: bytes(i) for u, i in top.itertuples(index=False)})
-
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ids with a mark and a number where a rare unit stands, and the rare units by number.
-
-        Numbers take two places, low and high part.
-        """
-        frequent = shared.value
-        packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            packed, rare, crc = [], [], []
-            for text in batch["text"].to_pylist():
-                units = units_of(text)
-                own = {u: k for k, u in enumerate(dict.fromkeys(u for u in units if u not in frequent))}
-                holes = {u: np.array([MISSING, k & 0x7FFF, k >> 15], "<u2").tobytes() for u, k in own.items()}
-                packed.append(packer.compress(b"".join([frequent.get(u) or holes[u] for u in units])))
-                rare.append(list(own))
-                crc.append(zlib.crc32(text.encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array(crc, pa.int64()), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=["row", "doc_id", "text_crc32", "packed", "rare"])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Several parts a task: the edges of one are sorted and folded in memory.
+    counted = docs.select("text").mapInArrow(_count(path), "unit string, n long").repartition(4 * tasks, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
+    known = scratch.save(lattice_encode(counted, path).mapInArrow(_packed, "key long, n long, ids binary"), "known")
+    top = known.orderBy(F.desc("n"), "key").limit(head).select("key", "ids").toPandas()
+    own = Known.of(top["key"].to_numpy(np.int64).view(np.uint64), [bytes(x) for x in top["ids"]])
+    frequent = spark.sparkContext.broadcast((own.key, own.begin, own.size, own.ids))
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    partial = scratch.save(rows.mapInArrow(first_pass, f"row long, doc_id {id_kind}, text_crc32 long, packed binary, rare array<string>"), "partial")
-    wanted = partial.select("row", F.posexplode("rare").alias("k", "unit"))
-    found = wanted.join(known, "unit").groupBy("row").agg(F.collect_list(F.struct("k", "ids")).alias("found"))
+    arrow_kind = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
+    partial = scratch.bucketed(docs.mapInArrow(_first_pass(path, frequent, arrow_kind), f"{PARTS}, docs array<{id_kind}>"), "partial", "part", tasks)
+    wanted = partial.select("part", F.explode(F.array_distinct("rare")).alias("key"))
+    found = wanted.join(known.select("key", "ids"), "key").groupBy("part").agg(F.collect_list(F.struct("key", "ids")).alias("found"))
+    joined = partial.join(found, "part", "left").select("ids", "sizes", "crc", "rare", "docs", "found")
+    return joined.mapInArrow(_fill, f"doc_id {id_kind}, text_crc32 long, ids binary")
+
+
+def piece_bytes(path: str) -> list[bytes]:
+    """The bytes that each id stands for."""
+    model = load(path)
+    out = [b""] * (max(max(model.byte_ids), max(i for _, i in model.known.values())) + 1)
+    for byte, i in enumerate(model.byte_ids):
+        out[i] = bytes([byte])
+    for piece, (_, i) in model.known.items():
+        out[i] = piece.encode()
+    return out
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
-        for batch in batches:
-            out = []
-            lists = batch["found"]
-            ends = lists.offsets.to_numpy()
-            number, filling = lists.values.field("k").to_pylist(), lists.values.field("ids").to_pylist()
-            for i, packed in enumerate(batch["packed"].to_pylist()):
-                ids = np.frombuffer(unpacker.decompress(packed), "<u2")
-                if ends[i + 1] > ends[i]:
-                    own = dict(zip(number[ends[i] : ends[i + 1]], filling[ends[i] : ends[i + 1]], strict=True))
-                    # A number's parts are below the mark, so a mark is always a hole.
-                    holes = np.flatnonzero(ids == MISSING)
-                    numbers = ids[holes + 1].astype(int) | (ids[holes + 2].astype(int) << 15)
-                    begin = np.concatenate([[0], holes + 3])
-                    parts = [ids[a:b].tobytes() for a, b in zip(begin, np.append(holes, len(ids)), strict=True)]
-                    whole = [parts[0]]
-                    for k, part in zip(numbers.tolist(), parts[1:], strict=True):
-                        whole += (own[k], part)
-                    out.append(b"".join(whole))
-                else:
-                    out.append(ids.tobytes())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_crc32"], pa.array(out, pa.binary())], names=["doc_id", "text_crc32", "ids"])
-
-    joined = partial.drop("rare").join(found, "row", "left").select("doc_id", "text_crc32", "packed", "found")
-    return joined.mapInArrow(fill, f"doc_id {id_kind}, text_crc32 long, ids binary")
-
-
-def with_decoded(encoded: DataFrame, model: str) -> DataFrame:
-    """`encoded` plus n_pieces, ids_crc32 (of uint32 ids) and the decoded text."""
+
+def decode(ids: np.ndarray, table: list[bytes]) -> bytes:
+    """Bytes of a text from its ids; the space put in front is taken off."""
+    return b"".join(map(table.__getitem__, ids.tolist()))[1:]
+
+
+def with_decoded(encoded: DataFrame, path: str) -> DataFrame:
+    """`encoded` plus n_pieces, ids_crc32 (of uint32 ids) and the decoded text; an empty table gives no rows."""
     names = encoded.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = piece_bytes(model)
+        table = piece_bytes(path)
         for batch in batches:
             ids = [np.frombuffer(b, "<u2") for b in batch["ids"].to_pylist()]
             texts = [decode(i, table) for i in ids]

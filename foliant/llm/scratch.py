@@ -12,10 +12,12 @@ _roots: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and there is one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _roots:
         _roots[app] = "file://" + tempfile.mkdtemp(prefix="foliant-")
@@ -48,6 +50,12 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """Save `df` in buckets of `key`: a join by that key leaves it where it is."""
+        table = f"foliant_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(buckets, key).saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self, name: str) -> None:
         _delete(self.spark, f"{self.path}/{name}")
 
