@@ -81,7 +81,7 @@ def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read(spark, sf_dir, "documents")).drop("kept", "text_hash")
+    return remove_repeats(read(spark, sf_dir, "documents"))
 
 
 def piece_digest(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,11 @@ instead of rows.  Neighbouring strings with one minimizer form a piece; equal pi
 are settled by their least document.  Where a minimizer stands in different pieces,
 the pieces go to suffix arrays: triples at two of three positions are sorted and
 named, the names are ranked by recursion, the remaining suffixes are merged in, and
-prefixes of adjacent suffixes are compared.
+prefixes of adjacent suffixes are compared.  The strings of a minimizer with very many
+pieces are first grouped by their bytes, with partial minima before the shuffle.
+
+Texts stay in one table of chunks, bucketed by chunk, so that nothing but hashes,
+places and the bytes of unsettled pieces is shuffled.
 """
 
 from __future__ import annotations
@@ -18,21 +22,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from foliant.llm import words as W
 from foliant.llm.scratch import Scratch
 
 GRAM = 20
 LAST = (1 << 63) - 1
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 19
 CHUNK_BYTES = 1 << 20
-HOT_PIECES = 8192
-_PLACE = 28
+HOT_PIECES = 4096
+#: Bits of a row's number within its chunk.
+ROW_BITS = 20
+_BLOCK = 1 << 16
 
 
 # ---- difference cover -------------------------------------------------------
@@ -45,6 +51,8 @@ def prefix_ranks(s: np.ndarray, depth: int, width: int = 1) -> np.ndarray:
     Values are positive and below 2**21.
     """
     n = len(s) + -len(s) % 3
+    if n >= 3 << 20:
+        raise ValueError("too many bytes in one suffix array: lower ARRAY_BYTES")
     x = np.zeros(n + 3, np.int64)
     x[: len(s)] = s
     bits = int(x.max()).bit_length()
@@ -121,39 +129,60 @@ def runs(flags: np.ndarray) -> np.ndarray:
     return np.column_stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)])
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 # ---- chunks of documents ----------------------------------------------------
 
 
-def _pack(part: W.Slice, order: np.ndarray, ids: np.ndarray, rows: np.ndarray, null: np.ndarray) -> bytes:
-    head = struct.pack("<I", part.rows) + b"".join(np.asarray(x, "<i8").tobytes() for x in (order, ids, rows, null, part.offsets))
+def _pack(part: W.Slice, order: np.ndarray, null: np.ndarray) -> bytes:
+    head = struct.pack("<I", part.rows) + b"".join(np.asarray(x, "<i8").tobytes() for x in (order, null, part.offsets))
     return zstandard.ZstdCompressor(level=1).compress(head + part.data.tobytes())
 
 
-def _unpack(payload: bytes) -> tuple[W.Slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(payload: bytes) -> tuple[W.Slice, np.ndarray, np.ndarray]:
+    """The texts of a chunk, their doc_ids (LAST for null) and whether doc_id, and text, are null (1, 2)."""
     raw = zstandard.ZstdDecompressor().decompress(payload)
     (n,) = struct.unpack_from("<I", raw)
     columns, at = [], 4
-    for size in (n, n, n, n, n + 1):
+    for size in (n, n, n + 1):
         columns.append(np.frombuffer(raw, "<i8", size, at))
         at += 8 * size
-    return W.Slice(0, np.frombuffer(raw, np.uint8, offset=at), columns[4]), *columns[:4]
+    return W.Slice(0, np.frombuffer(raw, np.uint8, offset=at), columns[2]), columns[0], columns[1]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    base, row, chunk = TaskContext.get().partitionId() << 36, 0, 0
+    """A row for each chunk of whole texts; the caller's other columns travel as an Arrow stream."""
+    chunk = TaskContext.get().partitionId() << ROW_BITS
     for batch in batches:
         ids = batch["doc_id"].cast(pa.int64())
-        null = ids.is_null().to_numpy(zero_copy_only=False)
+        null = ids.is_null().to_numpy(zero_copy_only=False) + 2 * batch["text"].is_null().to_numpy(zero_copy_only=False)
         ids = ids.fill_null(LAST).to_numpy()
+        rest = batch["rest"] if "rest" in batch.schema.names else None
         for part in W.slices(batch["text"], CHUNK_BYTES):
             own = slice(part.first_row, part.first_row + part.rows)
-            payload = _pack(part, ids[own], ids[own], base + row + np.arange(part.rows), null[own])
-            row, chunk = row + part.rows, chunk + 1
-            yield pa.RecordBatch.from_arrays([pa.array([base + chunk], pa.int64()), pa.array([len(part.data)], pa.int64()), pa.array([payload], pa.binary())], names=["chunk", "n_bytes", "payload"])
+            others = None
+            if rest is not None:
+                others = pa.BufferOutputStream()
+                table = pa.record_batch([rest.slice(part.first_row, part.rows)], names=["rest"])
+                with pa.ipc.new_stream(others, table.schema) as out:
+                    out.write_batch(table)
+                others = others.getvalue().to_pybytes()
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([len(part.data)], pa.int64()), pa.array([_pack(part, ids[own], null[own])], pa.binary()), pa.array([others], pa.binary())], names=["chunk", "n_bytes", "payload", "rest"])
+            chunk += 1
+
+
+def least_places(gram: np.ndarray, span: int) -> np.ndarray:
+    """Place of the least of each `span` neighbours, the first of equal ones; in blocks, so any length will do."""
+    total = len(gram) - span + 1
+    out = np.empty(max(total, 0), np.int64)
+    bits = np.uint64((_BLOCK + span).bit_length())
+    for at in range(0, total, _BLOCK):
+        own = gram[at : min(at + _BLOCK, total) + span - 1]
+        least, size = ((own >> bits) << bits) | np.arange(len(own), dtype=np.uint64), 1
+        while size * 2 <= span:
+            least, size = np.minimum(least[:-size], least[size:]), size * 2
+        if size < span:
+            least = np.minimum(least[: len(least) - (span - size)], least[span - size :])
+        out[at : at + len(least)] = at + (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return out
 
 
 class Minimizers:
@@ -170,13 +199,7 @@ class Minimizers:
             return
         gram = np.arange(n - GRAM + 1)
         self.gram = W.range_hash(self.prefix, gram, gram + GRAM)
-        least = ((self.gram >> np.uint64(_PLACE)) << np.uint64(_PLACE)) | gram.astype(np.uint64)
-        span, size = length - GRAM + 1, 1
-        while size * 2 <= span:
-            least, size = np.minimum(least[:-size], least[size:]), size * 2
-        if size < span:
-            least = np.minimum(least[: len(least) - (span - size)], least[span - size :])
-        self.place = (least[self.window] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+        self.place = least_places(self.gram, length - GRAM + 1)[self.window]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct 48-bit hashes of the minimizers, whether two rows hold each, and all places."""
@@ -224,103 +247,105 @@ def _repeated_anchors(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "mask": pa.array(masks, pa.binary())})
 
 
-CANDIDATES = "row long, doc_id long, text_hash long, place long, n_bytes long, sha256 string, packed binary, gone binary, pieces binary"
-
-
 def _candidates(buckets: int, length: int):
-    """Texts with pieces that may repeat; of equal pieces in a chunk only the least document's stay open."""
-
-    def run(chunk: pa.Table, masks: pa.Table) -> pa.Table:
-        out = []
-        for payload in chunk["payload"].to_pylist():
-            part, order, ids, rows, null = _unpack(payload)
-            found = Minimizers(part, length)
-            key, _, first = found.anchors()
-            cut = np.searchsorted(key, (np.arange(1, buckets).astype(object) * (1 << 48) // buckets).astype(np.uint64))
-            bounds = np.concatenate([[0], cut, [len(key)]])
-            hit = np.zeros(len(key), bool)
-            for b, mask in zip(masks["bucket"].to_pylist(), masks["mask"].to_pylist(), strict=True):
-                lo, hi = bounds[b], bounds[b + 1]
-                hit[lo:hi] = np.unpackbits(np.frombuffer(mask, np.uint8), count=hi - lo)
-            if len(first):
+    """Pieces that may repeat, as packed numbers; of equal pieces in a chunk only the least document's stay open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, payload, masks in zip(*(batch[c].to_pylist() for c in ("chunk", "payload", "masks")), strict=True):
+                part, order, _ = _unpack(payload)
+                found = Minimizers(part, length)
+                key, _, first = found.anchors()
+                if not len(first):
+                    continue
+                cut = np.searchsorted(key, (np.arange(1, buckets).astype(object) * (1 << 48) // buckets).astype(np.uint64))
+                bounds = np.concatenate([[0], cut, [len(key)]])
+                hit = np.zeros(len(key), bool)
+                for mask in masks or []:
+                    lo, hi = bounds[mask["bucket"]], bounds[mask["bucket"] + 1]
+                    hit[lo:hi] = np.unpackbits(np.frombuffer(mask["mask"], np.uint8), count=hi - lo)
                 # A piece is a run of windows of one row with one minimizer.
                 ends = np.append(first[1:], len(found.window))
-                start, row = found.window[first], found.row[first]
-                n = ends - first
-                anchor = found.place[first]
+                start, row, n, anchor = found.window[first], found.row[first], ends - first, found.place[first]
                 open_ = hit[np.searchsorted(key, found.gram[anchor] >> np.uint64(16))]
+                if not open_.any():
+                    continue
                 start, row, n, anchor = start[open_], row[open_], n[open_], anchor[open_]
                 piece = W.range_hash(found.prefix, start, start + n + length - 1)
                 sort = np.lexsort((order[row], piece))
-                head = np.concatenate([[True], piece[sort][1:] != piece[sort][:-1]]) if len(sort) else np.zeros(0, bool)
-                least = order[row][sort][head][np.cumsum(head) - 1] if len(sort) else np.zeros(0, np.int64)
+                head = np.concatenate([[True], piece[sort][1:] != piece[sort][:-1]])
+                least = order[row][sort][head][np.cumsum(head) - 1]
                 later = np.zeros(len(sort), bool)
                 later[sort] = order[row][sort] > least
-            else:
-                start = row = n = anchor = np.zeros(0, np.int64)
-                later = np.zeros(0, bool)
-            cuts = np.searchsorted(row, np.arange(part.rows + 1))
-            packer = zstandard.ZstdCompressor(level=1)
-            for i in range(part.rows):
-                own = slice(cuts[i], cuts[i + 1])
-                text = part.text(i)
-                at = start[own] - part.offsets[i]
-                gone = np.column_stack([at, at + n[own] + length - 1])[later[own]]
-                left = np.column_stack([at, n[own], anchor[own] - start[own]])[~later[own]]
-                some = own.stop > own.start
-                out.append(
-                    (int(rows[i]), None if null[i] else int(ids[i]), _signed(xxhash.xxh64_intdigest(text, seed=42)), int(order[i]), len(text), None if some else hashlib.sha256(text).hexdigest(), packer.compress(text) if some else None, gone.astype("<i4").tobytes() if some else None, left.astype("<i4").tobytes() if some else None)
-                )
-        kinds = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.binary(), pa.binary()]
-        names = [c.split()[0] for c in CANDIDATES.split(", ")]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=names)
+                at = start - part.offsets[row]
+                numbers = np.column_stack([row, at, n, anchor - start, later]).astype("<i4")
+                packed = zstandard.ZstdCompressor(level=1).compress(numbers.T.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([packed], pa.binary())], names=["chunk", "pieces"])
 
     return run
 
 
+def _numbers(packed: bytes) -> np.ndarray:
+    """row, at, n, anchor and later of the pieces of a chunk."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<i4").reshape(5, -1).astype(np.int64)
+
+
 def _open_pieces(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            for row, place, packed, pieces in zip(*(batch[c].to_pylist() for c in ("row", "place", "packed", "pieces")), strict=True):
-                at, n, offset = np.frombuffer(pieces, "<i4").reshape(-1, 3).astype(np.int64).T
-                data = np.frombuffer(unpacker.decompress(packed), np.uint8)
-                prefix = W.prefix_hash(data)
-                key = W.range_hash(prefix, at + offset, at + offset + GRAM).view(np.int64)
-                piece = W.range_hash(prefix, at, at + n + length - 1).view(np.int64)
-                size = len(at)
+            for chunk, payload, pieces in zip(*(batch[c].to_pylist() for c in ("chunk", "payload", "pieces")), strict=True):
+                part, order, _ = _unpack(payload)
+                row, at, n, offset, later = _numbers(pieces)
+                row, at, n, offset = (x[later == 0] for x in (row, at, n, offset))
+                start = part.offsets[row] + at
+                prefix = W.prefix_hash(part.data)
+                key = W.range_hash(prefix, start + offset, start + offset + GRAM).view(np.int64)
+                piece = W.range_hash(prefix, start, start + n + length - 1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(piece), pa.array(np.full(size, place)), pa.array(np.full(size, row)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
+                    [pa.array(key), pa.array(piece), pa.array(order[row]), pa.array((chunk << ROW_BITS) | row), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
                     names=["gram", "piece", "place", "row", "at", "n"],
                 )
 
     return run
 
 
-def _texts_of_pieces(buckets: int, length: int):
-    """The bytes of open pieces; windows of a hot minimizer go their own ways."""
+def _gone_pieces(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, pieces in zip(*(batch[c].to_pylist() for c in ("chunk", "pieces")), strict=True):
+                row, at, n, _, later = _numbers(pieces)
+                gone = later == 1
+                # Runs of pieces that touch are one span.
+                row, lo, hi = row[gone], at[gone], (at + n + length - 1)[gone]
+                head = np.ones(len(row), bool)
+                head[1:] = (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])
+                first, last = np.flatnonzero(head), np.append(np.flatnonzero(head)[1:], len(row)) - 1
+                yield pa.RecordBatch.from_arrays([pa.array((chunk << ROW_BITS) | row[first]), pa.array(lo[first].astype(np.int32)), pa.array(hi[last].astype(np.int32))] if len(row) else [pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], names=["row", "lo", "hi"])
+
+    return run
+
+
+def _bytes_of_pieces(buckets: int, length: int, windows: bool):
+    """The bytes of open pieces, or with `windows` the single strings of hot ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = []
             lists = batch["own"]
-            cuts = lists.offsets.to_numpy().tolist()
-            at_, n_, gram_, hot_ = (lists.values.field(c).to_pylist() for c in ("at", "n", "gram", "hot"))
-            for i, (row, place, packed) in enumerate(zip(*(batch[c].to_pylist() for c in ("row", "place", "packed")), strict=True)):
-                text = unpacker.decompress(packed)
-                prefix = None
-                for k in range(cuts[i], cuts[i + 1]):
-                    at, n = at_[k], n_[k]
-                    if hot_[k]:
-                        prefix = W.prefix_hash(np.frombuffer(text, np.uint8)) if prefix is None else prefix
-                        spots = np.arange(at, at + n)
-                        to = W.range_hash(prefix, spots, spots + length) % np.uint64(buckets)
-                        rows += [(int(b), place, row, s, text[s : s + length]) for b, s in zip(to.tolist(), spots.tolist(), strict=True)]
-                    else:
-                        rows.append((gram_[k] % buckets, place, row, at, text[at : at + n + length - 1]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=["bucket", "place", "row", "at", "text"])
+            cuts = lists.offsets.to_numpy()
+            fields = {c: lists.values.field(c).to_numpy() for c in ("row", "at", "n", "gram")}
+            for i, payload in enumerate(batch["payload"].to_pylist()):
+                part, order, _ = _unpack(payload)
+                row, at, n, gram = (fields[c][cuts[i] : cuts[i + 1]] for c in ("row", "at", "n", "gram"))
+                local = row & ((1 << ROW_BITS) - 1)
+                at, n = at.astype(np.int64), n.astype(np.int64)
+                if windows:
+                    at = np.arange(int(n.sum())) + np.repeat(at - np.cumsum(n) + n, n)
+                    row, local, gram = (np.repeat(x, n) for x in (row, local, gram))
+                    n = np.ones(len(at), np.int64)
+                start = part.offsets[local] + at
+                data = part.data.tobytes()
+                texts = [data[a:b] for a, b in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(gram % buckets), pa.array(order[local]), pa.array(row), pa.array(at.astype(np.int32)), pa.array(texts, pa.binary())], names=["bucket", "place", "row", "at", "text"])
 
     return run
 
@@ -335,54 +360,70 @@ def _suffix_arrays(length: int):
     return run
 
 
-def _cut_out(with_text: bool):
+def _cut_out(text_at: int | None, kind: pa.DataType | None):
+    """Figures of every text of a chunk after its cuts, and the caller's rows with the text that is left."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
             cuts = batch["cuts"]
             ends = cuts.offsets.to_numpy()
-            lo, hi = cuts.values.field("lo").to_numpy(), cuts.values.field("hi").to_numpy()
-            for i, (doc, own, n, sha, packed, gone) in enumerate(zip(*(batch[c].to_pylist() for c in ("doc_id", "text_hash", "n_bytes", "sha256", "packed", "gone")), strict=True)):
-                if packed is None:
-                    out.append((doc, own, n, 0, 0, sha, None))
-                    continue
-                text = np.frombuffer(unpacker.decompress(packed), np.uint8)
-                known = np.frombuffer(gone, "<i4").reshape(-1, 2)
-                part = slice(ends[i], ends[i + 1])
-                marks = np.bincount(np.concatenate([known[:, 0], lo[part]]), minlength=len(text) + 1) - np.bincount(np.concatenate([known[:, 1], hi[part]]), minlength=len(text) + 1)
+            lists = {c: cuts.values.field(c).to_numpy() for c in ("row", "lo", "hi")}
+            for i, (payload, rest) in enumerate(zip(batch["payload"].to_pylist(), batch["rest"].to_pylist(), strict=True)):
+                part, order, null = _unpack(payload)
+                row, lo, hi = (lists[c][ends[i] : ends[i + 1]] for c in ("row", "lo", "hi"))
+                base = part.offsets[row & ((1 << ROW_BITS) - 1)]
+                marks = np.bincount(base + lo, minlength=len(part.data) + 1) - np.bincount(base + hi, minlength=len(part.data) + 1)
                 removed = np.cumsum(marks[:-1]) > 0
-                kept = text[~removed].tobytes()
-                out.append((doc, own, n, int(removed.sum()), len(runs(removed)), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore").encode() if with_text else None))
-            kinds = (*[pa.int64()] * 5, pa.string(), pa.binary())
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                figures, texts = [], []
+                for k in range(part.rows):
+                    own = slice(part.offsets[k], part.offsets[k + 1])
+                    gone, whole = removed[own], part.data[own]
+                    n = int(gone.sum())
+                    left = whole[~gone].tobytes() if n else whole.tobytes()
+                    figures.append((None if null[k] & 1 else int(order[k]), len(whole), n, len(runs(gone)) if n else 0, hashlib.sha256(left).hexdigest()))
+                    if rest is not None:
+                        texts.append(None if null[k] & 2 else left.decode("utf-8", "ignore").encode() if n else left)
+                columns = [pa.array(c, t) for c, t in zip(zip(*figures, strict=True), (*[pa.int64()] * 4, pa.string()), strict=True)]
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                if rest is not None:
+                    with pa.ipc.open_stream(rest) as source:
+                        others = source.read_next_batch()["rest"].flatten()[1:]
+                    others.insert(text_at, pa.array(texts, pa.binary()).cast(pa.string()))
+                    columns.append(pa.StructArray.from_arrays([x.cast(f.type) for x, f in zip(others, kind, strict=True)], fields=list(kind)))
+                    names.append("document")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, with_text: bool = False) -> DataFrame:
-    """(doc_id, text_hash, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of `docs`.
+def remove_repeats(docs: DataFrame, *, length: int = 50, with_rows: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of `docs`.
 
     Every byte goes that is covered by a string of `length` bytes which also starts
     in a row with a smaller doc_id.  Rows of equal doc_id don't count as smaller; a
-    null doc_id comes after all others.  Null texts are empty.  `kept` has the text
-    left where something may have been cut, if `with_text` is set, without halves of
-    characters that a cut leaves, and is null where the text stays as it is; text_hash is xxhash64 of the text, '' for null.
+    null doc_id comes after all others.  Null texts are empty, texts of any length are
+    taken whole, repeated rows are handled each, and an empty table gives no rows.
+    With `with_rows` a struct `document` has all columns of the row, whatever their
+    names, with the text that is left, without halves of characters that a cut leaves;
+    a null text stays null there.
     """
     if length < GRAM + 1:
         raise ValueError(f"length must exceed {GRAM}")
-    scratch = Scratch(docs.sparkSession, "suffix")
-    chunks = scratch.save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunks, "chunk long, n_bytes long, payload binary"), "chunks")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "suffix")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rest = [F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c != "text"]).alias("rest")] if with_rows else []
+    chunks = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), *rest).mapInArrow(_chunks, "chunk long, n_bytes long, payload binary, rest binary")
+    chunks = scratch.bucketed(chunks, "chunks", "chunk", tasks)
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(16, total // (8 << 20))
     anchors = chunks.select("chunk", "payload").mapInArrow(_anchor_rows(buckets, length), "chunk long, bucket int, keys binary, several binary")
-    masks = scratch.save(anchors.groupBy("bucket").applyInArrow(_repeated_anchors, "chunk long, bucket int, mask binary"), "masks")
-    cand = chunks.select("chunk", "payload").groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInArrow(_candidates(buckets, length), CANDIDATES)
-    cand = scratch.save(cand, "candidates")
-    scratch.drop("chunks")
+    masks = anchors.groupBy("bucket").applyInArrow(_repeated_anchors, "chunk long, bucket int, mask binary")
+    masks = masks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
+    cand = chunks.select("chunk", "payload").join(masks, "chunk").mapInArrow(_candidates(buckets, length), "chunk long, pieces binary")
+    cand = scratch.bucketed(cand, "candidates", "chunk", tasks)
 
-    open_ = cand.where("length(pieces) > 0").select("row", "place", "packed", "pieces").mapInArrow(_open_pieces(length), "gram long, piece long, place long, row long, at int, n int")
+    open_ = chunks.select("chunk", "payload").join(cand, "chunk").mapInArrow(_open_pieces(length), "gram long, piece long, place long, row long, at int, n int")
     # Chunks hand over one open piece each, so a group holds a row for each chunk at most.
     same, near = Window.partitionBy("gram", "piece"), Window.partitionBy("gram")
     settled = open_.repartition("gram").select(
@@ -391,12 +432,30 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, with_text: bool = False
     settled = settled.where("place > least OR mixed").select("row", "at", "n", (F.col("place") > F.col("least")).alias("gone"), F.when(F.col("place") == F.col("least"), F.col("gram")).alias("gram"), (F.col("size") > HOT_PIECES).alias("hot"))
     settled = scratch.save(settled, "settled")
 
+    chunk_of = F.shiftright("row", ROW_BITS).alias("chunk")
     owners = settled.where("NOT gone")
-    arrays = max(16, owners.agg(F.sum(F.col("n") + length)).first()[0] or 0) // ARRAY_BYTES + 16
-    wanted = owners.groupBy("row").agg(F.collect_list(F.struct("at", "n", "gram", "hot")).alias("own"))
-    texts = cand.select("row", "place", "packed").join(wanted, "row").mapInArrow(_texts_of_pieces(arrays, length), "bucket long, place long, row long, at int, text binary")
-    found = texts.groupBy("bucket").applyInArrow(_suffix_arrays(length), "row long, lo int, hi int")
+    counted = owners.agg(F.sum(F.when(~F.col("hot"), F.col("n") + length)), F.max("hot")).first()
+    arrays = max(16, (counted[0] or 0) // ARRAY_BYTES)
+
+    def bytes_of(hot: bool) -> DataFrame:
+        wanted = owners.where(F.col("hot") == hot).groupBy(chunk_of).agg(F.collect_list(F.struct("row", "at", "n", "gram")).alias("own"))
+        return chunks.select("chunk", "payload").join(wanted, "chunk").mapInArrow(_bytes_of_pieces(arrays, length, hot), "bucket long, place long, row long, at int, text binary")
+
+    found = bytes_of(False).groupBy("bucket").applyInArrow(_suffix_arrays(length), "row long, lo int, hi int")
+    if counted[1]:
+        strings = bytes_of(True)
+        least = strings.groupBy("text").agg(F.min("place").alias("least"))
+        later = strings.join(least, "text").where("place > least")
+        found = found.unionByName(later.select("row", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
     known = settled.where("gone").select("row", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (length - 1)).alias("hi"))
-    cuts = known.unionByName(found).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
-    out = cand.drop("place", "pieces").join(cuts, "row", "left").drop("row")
-    return out.mapInArrow(_cut_out(with_text), "doc_id long, text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    inside = cand.mapInArrow(_gone_pieces(length), "row long, lo int, hi int")
+    spans = scratch.save(inside.unionByName(known).unionByName(found), "spans")
+    scratch.drop("settled")
+    scratch.drop("candidates")
+    cuts = spans.groupBy(chunk_of).agg(F.collect_list(F.struct("row", "lo", "hi")).alias("cuts"))
+    joined = chunks.select("chunk", "payload", "rest").join(cuts, "chunk", "left").select("payload", "rest", F.coalesce("cuts", F.array().cast("array<struct<row:bigint,lo:int,hi:int>>")).alias("cuts"))
+    figures = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    if not with_rows:
+        return joined.mapInArrow(_cut_out(None, None), figures)
+    kind = docs.select("*").limit(0).toArrow().schema
+    return joined.mapInArrow(_cut_out(docs.columns.index("text"), pa.struct(list(kind))), StructType([*figures.fields, StructField("document", docs.schema)]))

@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foliant.llm.scratch import Scratch
 
@@ -224,13 +225,13 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 30_000, max_fea
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of `docs` plus `_score` and `_segments`.
+    """All columns of `docs` plus `_score` and `_segments`, which replace columns of these names.
 
     Null and empty texts have no segment and get the score of a text without
     evidence.  Segments are token ranges with score and p-value, in text order.
     """
-    names = docs.columns
-    at = names.index("text")
+    docs = docs.drop("_score", "_segments")
+    at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # max_features entries at most
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,5 +247,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 found.append([{"start": s, "end": e, "score": v, "p_value": p} for (s, e, v), p in zip(segments, x[3], strict=True)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(result, pa.float64()), pa.array(found, kind)], names=[*batch.schema.names, "_score", "_segments"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(apply, f"{fields}, _score double, _segments array<{SEGMENT}>")
+    return docs.mapInArrow(apply, StructType([*docs.schema.fields, *StructType.fromDDL(f"_score double, _segments array<{SEGMENT}>").fields]))

@@ -14,15 +14,16 @@ SF = "/root/testdata/sf0.001"
 def test_stages_keep_columns_and_take_effect(spark):
     docs = read(spark, SF, "documents")
     extra = docs.limit(3).unionByName(docs.limit(3).selectExpr("doc_id", "CAST(NULL AS STRING) AS text", "lang", "source", "n_chars"))
-    docs = docs.unionByName(extra).selectExpr("*", "'x' AS _key", "1 AS kept")
-    for name, stage in corpus_pipeline.STAGES[1:4]:
+    docs = docs.unionByName(extra).selectExpr("*", "'x' AS _key", "1 AS kept", "2 AS row", "3 AS key", "4 AS _score", "5 AS n", "6 AS document", "7 AS _hash")
+    for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
         n = out.count()
         assert 0 < n <= docs.count()
     near = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     assert near.where("text IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
-    assert corpus_pipeline.drop_contaminated(spark, docs.limit(0), SF).count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
 
 
 def slow_pipeline(docs, items):

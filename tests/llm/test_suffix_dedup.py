@@ -56,9 +56,25 @@ def test_against_brute_force(spark, monkeypatch):
             text = text[:at] + cut[rng.randint(0, 30) : rng.randint(60, 200)] + text[at:]
         rows.append((rng.randint(0, 50), text))
     rows += [(None, passages[0]), (None, passages[0]), (70, None), (71, ""), (72, "ab" * 400), (73, "x" + "ab" * 300), (74, passages[1]), (74, passages[1]), (75, "z" * 49), (76, "z" * 49)]
-    docs = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, packed string, row int")
+    rows.append((77, "start " + "long words without end " * 60_000 + passages[2]))
+    docs = spark.createDataFrame([(*r, "k", i) for i, r in enumerate(rows)], "doc_id long, text string, document string, row int")
     for hot in (suffix_dedup.HOT_PIECES, 1):
         monkeypatch.setattr(suffix_dedup, "HOT_PIECES", hot)
-        got = remove_repeats(docs, with_text=True).collect()
+        got = remove_repeats(docs, with_rows=True).collect()
         assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_force(rows, 50)
-    assert remove_repeats(docs.limit(0)).count() == 0
+        assert sorted((r.document.row, r.document.doc_id) for r in got) == [(i, r[0]) for i, r in enumerate(rows)]
+        for r in got:
+            assert list(r.document.asDict()) == docs.columns and r.document.document == "k"
+            if r.n_removed == 0:
+                assert r.document.text == rows[r.document.row][1]
+                assert r.kept_sha256 == hashlib.sha256((r.document.text or "").encode()).hexdigest()
+    assert remove_repeats(docs.limit(0), with_rows=True).count() == 0
+    assert remove_repeats(docs.select("doc_id", "text"), with_rows=True).select("document.*").columns == ["doc_id", "text"]
+
+
+def test_least_places_of_any_length():
+    rng = np.random.default_rng(1)
+    gram = rng.integers(0, 1 << 63, 200_000, dtype=np.uint64) << np.uint64(1)
+    view = np.lib.stride_tricks.sliding_window_view(gram, 31)
+    assert (suffix_dedup.least_places(gram, 31) == np.arange(len(view)) + view.argmin(1)).mean() > 0.9999
+    assert len(suffix_dedup.least_places(gram[:30], 31)) == 0
