@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import words as W
-from foliant.llm.scratch import Scratch
+from foliant.llm.scratch import Scratch, most_frequent
 
 LIMIT = 62
 MISSING = 0xFFFF
@@ -242,65 +242,78 @@ def _field(e: Column, at: int, bits: int) -> Column:
     return F.shiftright(e, at).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
-def lattice_encode(units: DataFrame, path: str) -> DataFrame:
-    """`units` (unit of at most 62 characters, distinct and partitioned by unit; n) plus ids array<int>.
+def lattice_fold(units: DataFrame, path: str) -> DataFrame:
+    """`units` (unit of at most 62 characters, distinct and partitioned by unit; n) plus its lattice and best path.
 
-    An edge is one number: rank (upper bits), end (6), 63 - start (6), id (16), so sorting
-    edges puts them in the order of merging.
+    An edge is one number: rank (upper bits), end (6), 63 - start (6), id (16), so
+    sorting edges puts them in the order of merging.  `edges` are those of several
+    characters, `single` those of one, and bit k of `path` tells whether the path has a
+    border at character k.
     """
     model = load(path)
     # The piece table belongs to the model: its size does not depend on the data.
-    lookup = F.broadcast(units.sparkSession.createDataFrame([(p, (rank << 28) | i) for p, (rank, i) in model.known.items()], "piece string, code long"))
+    lookup = units.sparkSession.createDataFrame([(p, (rank << 28) | i) for p, (rank, i) in model.known.items()], "known string, code long")
+    lookup = F.broadcast(lookup.select(F.xxhash64("known").alias("known_key"), "known", "code"))
     size = F.length("unit")
     tails = units.sortWithinPartitions("unit").select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
     tails = tails.select("unit", "n", "start", F.substring("unit", F.col("start") + 1, F.lit(model.longest)).alias("tail"))
     spans = tails.select("unit", "n", "start", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("len"))
     spans = spans.select("unit", "n", "start", "len", F.substring("tail", F.lit(1), F.col("len")).alias("piece"))
+    # Equal strings have equal hashes: joined by the number, compared as strings.
+    joined = spans.join(lookup, (F.xxhash64("piece") == F.col("known_key")) & (F.col("piece") == F.col("known")), "left")
     # A character without a piece keeps an edge that stands for its bytes.
-    edges = spans.join(lookup, "piece", "left").where("code IS NOT NULL OR len = 1")
+    edges = joined.where("code IS NOT NULL OR len = 1")
     place = ((F.col("start") + F.col("len")) * (1 << 22) + (63 - F.col("start")) * (1 << 16)).cast("long")
     edge = F.coalesce("code", F.lit(MISSING).cast("long")).bitwiseOR(place)
-    grouped = edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    start = lambda e: 63 - _field(e, 16, 6)
-    end = lambda e: _field(e, 22, 6)
-    ends = lambda e: _bit(start(e)).bitwiseOR(_bit(end(e)))
-    inner = lambda e: _bit(end(e)) - _bit(start(e) + 1)
+    long = F.sort_array(F.collect_list(F.when(F.col("len") > 1, edge)))
+    grouped = edges.groupBy("unit", "n").agg(long.alias("edges"), F.collect_list(F.when(F.col("len") == 1, edge)).alias("single"))
 
     def fold(path: Column, e: Column) -> Column:
         """Let an edge into the path where it joins two pieces of it."""
-        inside = path.bitwiseAND(inner(e))
-        return F.when((F.bit_count(inside) == 1) & (path.bitwiseAND(ends(e)) == ends(e)), path - inside).otherwise(path)
-
-    every = _bit(size + 1) - 1
-    best = grouped.select("unit", "n", "edges", F.aggregate("edges", every, fold).alias("path"))
-    taken = F.filter("edges", lambda e: F.col("path").bitwiseAND(ends(e).bitwiseOR(inner(e))) == ends(e))
-    # Of a token: start from bit 20, number of a byte from bit 16, id.
-    tokens = best.select("unit", "n", F.array_sort(F.transform(taken, lambda e: F.shiftleft(start(e), 20).bitwiseOR(_field(e, 0, 16)))).alias("tokens"))
-    table = F.array(*map(F.lit, model.byte_ids))
-    at_byte = lambda c, j: F.conv(F.substring(F.hex(F.encode(c, "UTF-8")), j * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    as_bytes = lambda c: F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda j: F.get(table, at_byte(c, j)))
-    number = lambda t: _field(t, 0, 16).cast("int")
-    ids = F.when(
-        F.exists("tokens", lambda t: number(t) == MISSING),
-        F.flatten(F.transform("tokens", lambda t: F.when(number(t) == MISSING, as_bytes(F.substring(F.col("unit"), F.shiftright(t, 20).cast("int") + 1, F.lit(1)))).otherwise(F.array(number(t))))),
-    ).otherwise(F.transform("tokens", number))
-    return tokens.select("unit", "n", ids.alias("ids"))
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash and uint16 ids of each unit."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        names = batch["unit"].to_pylist()
-        points = code_points("".join(names))
-        cut = np.concatenate([[0], np.cumsum([len(x) for x in names])])
-        key = _range_keys(points, cut[:-1], cut[1:])
-        lists = batch["ids"]
-        offsets = lists.offsets.to_numpy()
-        blob = lists.values.to_numpy()[offsets[0] : offsets[-1]].astype("<u2").tobytes()
-        ids = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(((offsets - offsets[0]) * 2).astype(np.int32).tobytes()), pa.py_buffer(blob)])
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch["n"], ids], names=["key", "n", "ids"])
+        start, end = 63 - _field(e, 16, 6), _field(e, 22, 6)
+        inside = path.bitwiseAND(_bit(end) - _bit(start + 1))
+        ends = _bit(start).bitwiseOR(_bit(end))
+        return F.when((F.bit_count(inside) == 1) & (path.bitwiseAND(ends) == ends), path - inside).otherwise(path)
+
+    return grouped.select("unit", "n", "edges", "single", F.aggregate("edges", _bit(size + 1) - 1, fold).alias("path"))
+
+
+def _packed(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hash and uint16 ids of each unit: the edges that the best path takes, in order."""
+        in_bytes = load(path).byte_ids
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch["unit"].to_pylist()
+            points = code_points("".join(names))
+            cut = np.concatenate([[0], np.cumsum([len(x) for x in names])])
+            key = _range_keys(points, cut[:-1], cut[1:])
+            owner, edge = [], []
+            for column in ("edges", "single"):
+                lists = batch[column]
+                offsets = lists.offsets.to_numpy()
+                owner.append(np.repeat(np.arange(len(names)), np.diff(offsets)))
+                edge.append(lists.values.to_numpy()[offsets[0] : offsets[-1]])
+            owner, edge = np.concatenate(owner), np.concatenate(edge)
+            start, end, best = 63 - ((edge >> 16) & 63), (edge >> 22) & 63, batch["path"].to_numpy()[owner]
+            one = np.int64(1)
+            taken = (best & ((one << (end + 1)) - (one << start))) == (one << start) | (one << end)
+            owner, start, ids = owner[taken], start[taken], edge[taken] & MISSING
+            order = np.argsort(owner * 64 + start, kind="stable")
+            owner, start, ids = owner[order], start[order], ids[order]
+            bare = np.flatnonzero(ids == MISSING)
+            if len(bare):
+                spelled = [[in_bytes[x] for x in names[o][k].encode("utf-8", "surrogatepass")] for o, k in zip(owner[bare].tolist(), start[bare].tolist(), strict=True)]
+                times = np.ones(len(ids), np.int64)
+                times[bare] = [len(x) for x in spelled]
+                ids, owner = np.repeat(ids, times), np.repeat(owner, times)
+                ids[ids == MISSING] = [x for own in spelled for x in own]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(names)))]) * 2
+            packed = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u2").tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch["n"], packed], names=["key", "n", "ids"])
+
+    return run
 
 
 # ---- texts ------------------------------------------------------------------
@@ -410,8 +423,8 @@ def encode(docs: DataFrame, path: str, *, head: int = 1 << 18) -> DataFrame:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Several parts a task: the edges of one are sorted and folded in memory.
     counted = docs.select("text").mapInArrow(_count(path), "unit string, n long").repartition(4 * tasks, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
-    known = scratch.save(lattice_encode(counted, path).mapInArrow(_packed, "key long, n long, ids binary"), "known")
-    top = known.orderBy(F.desc("n"), "key").limit(head).select("key", "ids").toPandas()
+    known = scratch.save(lattice_fold(counted, path).mapInArrow(_packed(path), "key long, n long, ids binary"), "known")
+    top = most_frequent(known, "n", head).select("key", "ids").toPandas()
     own = Known.of(top["key"].to_numpy(np.int64).view(np.uint64), [bytes(x) for x in top["ids"]])
     frequent = spark.sparkContext.broadcast((own.key, own.begin, own.size, own.ids))
 
