@@ -34,7 +34,7 @@ CLASSES = HEAD_CLASSES + TAIL_CLASSES
 WINDOW = 32
 KEPT_WORDS = 1 << 16
 BLOCK = 1024
-SLICE_BYTES, POOL_BYTES = 1 << 20, 24 << 20
+SLICE_BYTES, POOL_BYTES = 1 << 18, 16 << 20
 #: Hash that stands for the end of a document.
 END_KEY = np.uint64(1)
 #: Lanes side by side in training, documents in scoring.

@@ -42,8 +42,9 @@ from foliant.llm.scratch import Scratch, most_frequent
 
 LIMIT = 62
 MISSING = 0xFFFF
-SLICE_CHARS = 1 << 20
-DISTINCT = 400_000
+SLICE_CHARS = 1 << 18
+DISTINCT = 200_000
+ROWS = 1024
 SPACE, LETTER, NEWLINE = 1, 2, 3
 
 
@@ -182,16 +183,17 @@ def _range_keys(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return W.mix((prefix[end] - prefix[start]) * back[start])
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of whole texts of about SLICE_CHARS characters, with the number of the first."""
-    first = size = 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > SLICE_CHARS:
-            yield first, texts[first:k]
-            first, size = k, 0
-        size += len(text) + 1
-    if first < len(texts):
-        yield first, texts[first:]
+def _slices(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Runs of whole texts of about SLICE_CHARS characters, ROWS at most, with the number of the first."""
+    for begin in range(0, len(column), ROWS):
+        texts = column.slice(begin, ROWS).to_pylist()
+        first = size = 0
+        for k, text in enumerate(texts):
+            if size and size + len(text) > SLICE_CHARS:
+                yield begin + first, texts[first:k]
+                first, size = k, 0
+            size += len(text) + 1
+        yield begin + first, texts[first:]
 
 
 def _count(path: str):
@@ -213,7 +215,7 @@ def _count(path: str):
             return batch
 
         for batch in batches:
-            for _, texts in _slices(batch["text"].to_pylist()):
+            for _, texts in _slices(batch["text"]):
                 units = units_of(texts, model)
                 short = np.flatnonzero(units.end - units.start <= LIMIT)
                 key, first, n = np.unique(units.key[short], return_index=True, return_counts=True)
@@ -359,7 +361,7 @@ def _first_pass(path: str, frequent, id_kind: pa.DataType):
         model, known, packer = load(path), Known(*frequent.value), zstandard.ZstdCompressor(level=3)
         part = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for first, texts in _slices(batch["text"].to_pylist()):
+            for first, texts in _slices(batch["text"]):
                 units = units_of(texts, model)
                 at = known.place(units.key)
                 begin, size = known.begin[at] if len(known.key) else at, known.size[at] if len(known.key) else at
