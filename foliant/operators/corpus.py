@@ -96,10 +96,9 @@ def shares_with_other(groups: DataFrame, n: int = 10) -> DataFrame:
 
 def detail_status(docs: DataFrame, page_texts: DataFrame, suggested: DataFrame, embedded: DataFrame, vision: str) -> DataFrame:
     """Per document: pages of either layer, newest stamps and sources, from pre-aggregated children."""
-    pages = page_texts.groupBy(F.col("doc_id").alias("id")).agg(
-        F.count_distinct(F.when(F.col("source") == vision, F.col("page"))).alias("vision_pages"), F.count_distinct(F.when(F.col("source") != vision, F.col("page"))).alias("baseline_pages"),
-        F.max(F.when(F.col("source") == vision, F.col("created_at"))).alias("vision_at"),
-    )
+    # Distinct pages first: two distinct counts in one aggregate would multiply its rows.
+    once = page_texts.groupBy(F.col("doc_id").alias("id"), (F.col("source") == vision).alias("seen"), "page").agg(F.max("created_at").alias("at"))
+    pages = once.groupBy("id").agg(F.count_if("seen").alias("vision_pages"), F.count_if(~F.col("seen")).alias("baseline_pages"), F.max(F.when(F.col("seen"), F.col("at"))).alias("vision_at"))
     given = suggested.groupBy(F.col("doc_id").alias("id")).agg(F.max("processed_at").alias("suggested_at"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("suggestion_sources"))
     vectors = embedded.select(F.col("doc_id").alias("id"), "embedded_at", "embedding_source", "chunk_count")
     out = docs.select("id", "page_count").join(pages, "id", "left").join(given, "id", "left").join(vectors, "id", "left")
@@ -110,6 +109,14 @@ def detail_status(docs: DataFrame, page_texts: DataFrame, suggested: DataFrame,
     )
 
 
+def analysed(docs: DataFrame, which: str = "all", model: str = "") -> DataFrame:
+    """Documents with any of has_embedding, has_suggestion and has_vision ("analyzed"), without ("open"), or all; and of a model's name."""
+    some = F.col("has_embedding") | F.col("has_suggestion") | F.col("has_vision")
+    out = docs if which == "all" else docs.where(some if which == "analyzed" else ~some)
+    needle = model.strip().lower()
+    return out.where(F.lower(F.coalesce("model_name", F.lit(""))).contains(needle)) if needle else out
+
+
 def visible_documents(docs: DataFrame, *, query: str = "", only_lang: str | None = None) -> DataFrame:
     """Case-insensitive contains over id, source and content; a blank query keeps all."""
     text = F.lower(F.concat_ws(" ", F.col("doc_id").cast("string"), "source", "text"))

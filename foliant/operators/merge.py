@@ -48,11 +48,25 @@ def merge_notes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     kept = own.where("malformed IS NULL OR malformed").select("document_id", "id", "note")
     clash = kept.join(fresh.select("id").distinct(), "id", "left_semi")
     lowest = existing.agg(F.least(F.lit(0), F.coalesce(F.min("id"), F.lit(0))).alias("low"))
-    # Colliding ids are rare: only they are numbered in one order.
-    moved = clash.withColumn("_k", F.row_number().over(Window.orderBy("id", "document_id"))).crossJoin(lowest).select("document_id", (F.col("low") - F.col("_k")).alias("id"), "note")
+    moved = numbered(clash, "id", ["document_id"]).crossJoin(F.broadcast(lowest)).select("document_id", (F.col("low") - F.col("n")).alias("id"), "note")
     return kept.join(fresh.select("id").distinct(), "id", "left_anti").select("document_id", "id", "note").unionByName(moved).unionByName(fresh)
 
 
+def numbered(rows: DataFrame, key: str, ties: list[str], bins: int = 1024) -> DataFrame:
+    """`rows` plus `n` from 1 in the order of a whole-number key, then of `ties`.
+
+    Rows are numbered within `bins` equal parts of the key's range, and a part starts
+    after the rows of those before it, so no window holds all rows.
+    """
+    ends = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    part = F.floor((F.col(key) - F.col("lo")).cast("double") * bins / (F.col("hi") - F.col("lo") + 1)).cast("int")
+    dealt = rows.crossJoin(F.broadcast(ends)).withColumn("part", part).drop("lo", "hi")  # one row of ends
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("size")).withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")  # `bins` rows
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(key, *ties))
+    return dealt.withColumn("k", inside).join(F.broadcast(starts), "part").withColumn("n", F.col("start") + F.col("k")).drop("part", "start", "k")
+
+
 def next_local_id(notes: DataFrame) -> DataFrame:
     low = F.min("id")
     return notes.agg(F.when(low.isNull() | (low >= 0), -1).otherwise(low - 1).cast("long").alias("next_id"))

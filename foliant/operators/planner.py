@@ -59,6 +59,14 @@ def followup_tasks(o: PlanOptions) -> list[tuple[str, str | None]]:
     return tasks
 
 
+def task_sequence(*, vision: bool, sync: bool = False, force: bool = False) -> list[dict]:
+    """All tasks of one document in order, for a request that asks for everything anew."""
+    source, layer = ("vision_ocr", "vision") if vision else ("text_layer", "baseline")
+    names = ["sync"] * sync + ["evidence_index"] + ["vision_ocr"] * vision + [f"embeddings_{layer}", "similarity_index", f"page_notes_{layer}", "summary_hierarchical", "suggestions_baseline"] + ["suggestions_vision"] * vision
+    extra = {"vision_ocr": {"force": force}, "summary_hierarchical": {"source": source}}
+    return [{"task": n, **extra.get(n, {})} for n in names]
+
+
 def _reached(count: str, expected: Column) -> Column:
     """All expected pages are there; with an unknown number any page will do."""
     n = F.coalesce(count, F.lit(0))
@@ -66,18 +74,24 @@ def _reached(count: str, expected: Column) -> Column:
 
 
 def document_facts(docs: DataFrame, *, embedded: DataFrame, page_texts: DataFrame, suggested: DataFrame, anchors: DataFrame, notes: DataFrame, summaries: DataFrame, similarity: DataFrame, options: PlanOptions) -> DataFrame:
-    """One wide row per document from children that are reduced by key first."""
+    """One wide row per document from children that are reduced by key first.
+
+    Pages count where they are expected: from 1 to page_count, or all positive ones
+    where that is unknown.
+    """
     o = options
     key = F.col("doc_id").alias("id")
-    vision = page_texts.where("source = 'vision_ocr'").groupBy(key).agg(F.count_distinct("page").alias("vision_pages"), F.max("created_at").alias("vision_at"))
+    vision = page_texts.where("source = 'vision_ocr'").groupBy(key).agg(F.collect_set("page").alias("vision_pages"), F.max("created_at").alias("vision_at"))
     given = suggested.groupBy(key).agg(F.bool_or(F.col("source") == "text_layer").alias("has_sugg_baseline"), F.bool_or(F.col("source") == "vision_ocr").alias("has_sugg_vision"))
-    index = anchors.groupBy(key).agg(F.count_distinct(F.when(F.col("status").isin("ok", "no_text_layer"), F.col("page"))).alias("anchor_pages"), F.bool_or((F.col("status") == "ok") & (F.col("token_count") > 0)).alias("text_layer"), F.bool_or(F.col("status") == "error").alias("anchor_error"))
-    noted = notes.where((F.col("source") == o.notes_source) & (F.col("status") == "ok")).groupBy(key).agg(F.count_distinct(F.when(F.col("page") > 0, F.col("page"))).alias("note_pages"), F.max("processed_at").alias("notes_at"))
+    index = anchors.groupBy(key).agg(F.collect_set(F.when(F.col("status").isin("ok", "no_text_layer"), F.col("page"))).alias("anchor_pages"), F.bool_or((F.col("status") == "ok") & (F.col("token_count") > 0)).alias("text_layer"), F.bool_or(F.col("status") == "error").alias("anchor_error"))
+    noted = notes.where((F.col("source") == o.notes_source) & (F.col("status") == "ok")).groupBy(key).agg(F.collect_set("page").alias("note_pages"), F.max("processed_at").alias("notes_at"))
     vectors = embedded.select(key, "embedded_at", "embedding_source")
     out = docs
     for child in (vision, given, index, noted, vectors, summaries.select(key, "summary_at"), similarity.select(key, "similarity_at")):
         out = out.join(child, "id", "left")
-    return out
+    expected = F.coalesce("page_count", F.lit(0))
+    inside = lambda c: F.when(F.col(c).isNotNull(), F.size(F.filter(c, lambda p: (p >= 1) & ((expected <= 0) | (p <= expected)))))
+    return out.withColumns({c: inside(c) for c in ("vision_pages", "anchor_pages", "note_pages")})
 
 
 def evaluate(facts: DataFrame, options: PlanOptions) -> DataFrame:
@@ -149,6 +163,11 @@ def preview_priority(plan: DataFrame, limit: int = 20) -> DataFrame:
     return ranked.withColumn("is_high", F.col("priority") >= 3).orderBy(F.desc("priority"), F.desc("n_tasks"), "id").limit(limit)
 
 
+def continued(plan: DataFrame) -> DataFrame:
+    """(doc_id, position, task): what a document's pipeline goes on with, in order."""
+    return plan.select(F.col("id").alias("doc_id"), F.posexplode("tasks").alias("position", "task"))
+
+
 def pipeline_status(plan: DataFrame) -> DataFrame:
     """(id, step, required, done) of the six steps of each document."""
     rows = (

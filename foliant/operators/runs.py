@@ -41,13 +41,15 @@ def fanout(planned: DataFrame, runs: DataFrame, missing: DataFrame) -> DataFrame
     return out.select(*keys, "run_id", fanout_status(F.col("status"), F.coalesce("missing", F.lit(False))).alias("state"))
 
 
-def latest_checkpoint(runs: DataFrame) -> DataFrame:
-    """The newest checkpoint of each (doc_id, task); one that is no JSON object gives nulls."""
-    newest = runs.where(F.trim(F.coalesce("checkpoint_json", F.lit(""))) != "").groupBy("doc_id", "task").agg(F.max_by("checkpoint_json", "id").alias("raw"), F.max("id").alias("run_id"))
+def latest_checkpoint(runs: DataFrame, *, by_source: bool = False) -> DataFrame:
+    """The newest checkpoint of each (doc_id, task) or (doc_id, task, source); one that is no JSON object gives nulls."""
+    keys = ["doc_id", "task"] + ["source"] * by_source
+    runs = runs.withColumn("source", source_key()) if by_source else runs
+    newest = runs.where(F.trim(F.coalesce("checkpoint_json", F.lit(""))) != "").groupBy(*keys).agg(F.max_by("checkpoint_json", "id").alias("raw"), F.max("id").alias("run_id"))
     parsed = F.when(F.col("raw").startswith("{"), F.from_json("raw", "stage string, current int, total int"))
-    out = newest.select("doc_id", "task", "run_id", parsed.alias("c"))
+    out = newest.select(*keys, "run_id", parsed.alias("c"))
     resume = F.greatest(F.lit(0), F.least(F.col("c.current"), F.col("c.total")))
-    return out.select("doc_id", "task", "run_id", F.col("c.stage").alias("stage"), F.col("c.current").alias("current"), F.col("c.total").alias("total"), F.coalesce(resume, F.lit(0)).alias("resume_from"))
+    return out.select(*keys, "run_id", F.col("c.stage").alias("stage"), F.col("c.current").alias("current"), F.col("c.total").alias("total"), F.coalesce(resume, F.lit(0)).alias("resume_from"))
 
 
 def classify_error(message: Column, class_name: Column | None = None) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import difflib
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.pages import hull
 from foliant.operators.vectors import hashed_embedding
 
 
@@ -18,32 +22,45 @@ def pages_of(docs: DataFrame, size: int = 1500) -> DataFrame:
 
 
 def lexical_scores(chunks: DataFrame, query: str, width: int = 64) -> DataFrame:
-    """`chunks` plus `score`: cosine with the query under the hashed-token embedder.
+    """`chunks` plus `score`: cosine with the query under the hashed-token embedder; chunks without a token go.
 
-    Only built-in functions: each token's bucket and sign come from its md5 digest,
-    and only the buckets that the query uses enter the dot product.
+    Only built-in functions inside the row: each token's bucket and sign come from its
+    md5 digest, and one fold over the sorted buckets adds up norm and product.
     """
-    vector = hashed_embedding(query, width)
-    token = lambda t: F.struct((F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % width).alias("b"), (1 - 2 * (F.conv(F.substring(F.md5(t), 5, 1), 16, 10).cast("int") % 2)).cast("double").alias("s"))
-    tokens = F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), token)
-    counted = chunks.withColumn("_t", tokens)
-    keys = [c for c in ("doc_id", "page") if c in chunks.columns]
-    per = counted.select(*keys, F.explode("_t").alias("t")).groupBy(*keys, F.col("t.b").alias("b")).agg(F.sum("t.s").alias("s"))
-    weight = F.get(F.array(*[F.lit(x) for x in vector]), F.col("b"))
-    scored = per.groupBy(*keys).agg(F.sum(F.col("s") * weight).alias("dot"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    return chunks.join(scored.select(*keys, F.round(F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(0.0), 6).alias("score")), keys)
-
-
-def hybrid_search(hits: DataFrame, query: str, *, top_k: int = 10, min_quality: int | None = None, source: str | None = None, rerank: bool = True, dedupe: bool = True) -> DataFrame:
+    weights = F.array(*[F.lit(x) for x in hashed_embedding(query, width)])
+    digits = F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.conv(F.substring(F.md5(t), 1, 5), 16, 10).cast("int"))
+    # Twice the bucket, plus one for a negative sign.
+    coded = F.array_sort(F.transform(digits, lambda n: F.shiftright(n, 4) % width * 2 + n.bitwiseAND(1)))
+    zero = F.struct(F.lit(-1).alias("at"), F.lit(0.0).alias("run"), F.lit(0.0).alias("dot"), F.lit(0.0).alias("norm"))
+
+    def closed(s: Column) -> tuple[Column, Column]:
+        return s["dot"] + s["run"] * F.coalesce(F.get(weights, s["at"]), F.lit(0.0)), s["norm"] + s["run"] * s["run"]
+
+    def add(s: Column, code: Column) -> Column:
+        at, sign = F.shiftright(code, 1), (1 - 2 * code.bitwiseAND(1)).cast("double")
+        dot, norm = closed(s)
+        same = F.struct(s["at"].alias("at"), (s["run"] + sign).alias("run"), s["dot"].alias("dot"), s["norm"].alias("norm"))
+        return F.when(at == s["at"], same).otherwise(F.struct(at.alias("at"), sign.alias("run"), dot.alias("dot"), norm.alias("norm")))
+
+    def score(s: Column) -> Column:
+        dot, norm = closed(s)
+        return F.when(norm > 0, F.round(dot / F.sqrt(norm), 6)).otherwise(0.0)
+
+    scored = chunks.withColumn("score", F.when(F.size(coded) > 0, F.aggregate(coded, zero, add, score)))
+    return scored.where("score IS NOT NULL")
+
+
+def hybrid_search(hits: DataFrame, query: str, *, quality: DataFrame | None = None, top_k: int = 10, min_quality: int | None = None, source: str | None = None, rerank: bool = True, dedupe: bool = True) -> DataFrame:
     """Re-ranked hits of a query.
 
-    `hits` has doc_id, page, source, quality, text and score.  The best 6 * top_k by
-    score are taken first; filters on source and quality come after that cut and must
-    not be moved before it.
+    `hits` has doc_id, page, source, text, score and quality, unless a frame (doc_id,
+    quality) gives that.  The best 6 * top_k by score are taken first; quality is joined
+    and filters on it and on source come after that cut, and must not be moved before it.
     """
     q = query.strip().lower()
     tokens = sorted({t for t in re.findall(r"[a-z0-9]+", q) if len(t) >= 2})
     cut = hits.orderBy(F.desc("score"), "doc_id", "page").limit(max(top_k * 6, top_k))
+    cut = cut if quality is None else cut.join(quality, "doc_id", "left")
     cut = cut.withColumn("quality", F.coalesce("quality", F.lit(100)))
     if source:
         cut = cut.where(F.col("source") == source)
@@ -127,16 +144,65 @@ def norm_tokens(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda t: F.regexp_replace(t, r"(?U)[^\w]+", "")), lambda t: t != "")
 
 
-def locate_snippets(snippets: DataFrame, pages: DataFrame, *, anchor: int = 3) -> DataFrame:
+def locate_snippets(snippets: DataFrame, pages: DataFrame, *, anchor: int = 2) -> DataFrame:
     """(item_id, doc_id, page, start): first exact place of a snippet's tokens on a page.
 
-    Windows of `anchor` tokens of the pages equi-join the first ones of the snippets,
-    and only those places are compared in full, so no page meets every snippet.
+    Of the windows of `anchor` tokens of a snippet the one that the pages hold least
+    often is its anchor; only places of anchors are compared in full, so no page meets
+    every snippet and a common window meets few of them.
     """
+    windows = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - anchor + 1), lambda i: F.array_join(F.slice(c, i, anchor), " "))
     wanted = snippets.select("item_id", norm_tokens(F.col("text")).alias("want")).where(F.size("want") >= anchor)
-    wanted = wanted.withColumn("key", F.array_join(F.slice("want", 1, anchor), " "))
+    own = wanted.select("item_id", F.posexplode(windows("want")).alias("at", "key"))
     words = pages.select("doc_id", "page", norm_tokens(F.col("text")).alias("have")).where(F.size("have") >= anchor)
-    spots = words.select("doc_id", "page", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("have") - anchor + 1), lambda i: F.array_join(F.slice("have", i, anchor), " "))).alias("start", "key"))
-    keyed = spots.join(wanted.select("item_id", "key", F.col("want")), "key")
-    hit = keyed.join(words, ["doc_id", "page"]).where(F.slice("have", F.col("start") + 1, F.size("want")) == F.col("want"))
+    spots = words.select("doc_id", "page", F.posexplode(windows("have")).alias("start", "key")).join(own.select("key").distinct(), "key", "left_semi")
+    times = spots.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # A snippet with a window that no page holds is nowhere.
+    rarest = own.join(times, "key", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "key")).alias("x")).where("x.n > 0")
+    places = spots.join(rarest.select("item_id", "x.at", "x.key"), "key").select("item_id", "doc_id", "page", (F.col("start") - F.col("at")).alias("start")).where("start >= 0")
+    hit = places.join(wanted, "item_id").join(words, ["doc_id", "page"]).where(F.slice("have", F.col("start") + 1, F.size("want")) == F.col("want"))
     return hit.groupBy("item_id", "doc_id", "page").agg(F.min("start").alias("start"))
+
+
+def best_window(words: list[str], want: list[str], *, exact_from: float = 0.6, accept: float = 0.72) -> tuple[int, float]:
+    """(first word, score) of the window of `words` that is most like `want`, or (-1, 0).
+
+    The score is the share of equal tokens in place; from `exact_from` on a window that
+    does not beat the best so far may do so by the likeness of its letters.  The first
+    exact window wins; windows with a blank token do not count.
+    """
+    n, best, found = len(want), 0.0, -1
+    if n < 2 or len(words) < n:
+        return -1, 0.0
+    same = np.array([[w == x for w in words] for x in want])
+    blank = np.convolve([not w for w in words], np.ones(n), "valid") > 0
+    shares = np.add.reduce([same[k, k : len(words) - n + 1 + k] for k in range(n)]) / n
+    phrase = " ".join(want)
+    for at in np.flatnonzero(~blank).tolist():
+        share = float(shares[at])
+        if share <= best and share >= exact_from:
+            share = difflib.SequenceMatcher(None, phrase, " ".join(words[at : at + n])).ratio()
+        if share > best:
+            best, found = share, at
+            if best >= 1:
+                break
+    return (found, best) if best >= accept else (-1, 0.0)
+
+
+def match_citations(citations: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(ordinal, doc_id, page, bbox, score) of citations (ordinal, doc_id, page, snippet) on their pages.
+
+    `anchors` has doc_id, page and words (text and bbox).  The box is the hull of the
+    matched words that have a real box; without a match both are null and 0.
+    """
+
+    @F.pandas_udf("first int, score double")
+    def match(words: pd.Series, want: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([best_window(list(w), list(x)) if w is not None else (-1, 0.0) for w, x in zip(words, want, strict=True)], columns=["first", "score"])
+
+    plain = lambda c: F.lower(F.regexp_replace(c, r"(?U)[^\w]+", ""))
+    j = citations.join(anchors.select("doc_id", "page", "words"), ["doc_id", "page"], "left").withColumn("want", norm_tokens(F.coalesce("snippet", F.lit(""))))
+    j = j.withColumn("m", match(F.transform("words", lambda w: plain(w["text"])), F.col("want")))
+    boxes = F.filter(F.transform(F.slice("words", F.col("m.first") + 1, F.size("want")), lambda w: w["bbox"]), valid_bbox)
+    box = F.when(F.col("m.first") >= 0, hull(boxes))
+    return j.select("ordinal", "doc_id", "page", box.alias("bbox"), F.when(box.isNull(), 0.0).otherwise(F.col("m.score")).alias("score"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,36 +46,46 @@ def knn(points: DataFrame, query: list[float], k: int, *, least: float | None =
     return scored.drop("embedding").orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, *, least: float | None = None, blocks: int = 8) -> DataFrame:
+def _unit_rows(lists: pa.ChunkedArray) -> np.ndarray:
+    values = lists.combine_chunks()
+    x = values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(values), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, *, least: float | None = None, block_rows: int = 2048) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest points of every query row.
 
-    Both sides are dealt into blocks and each pair of blocks is one task of matrix
-    products that keeps k rows a query, so a task holds two blocks at most and no side
-    is broadcast.  A query's own row is left out.
+    Both sides are dealt into blocks of about block_rows rows, as many as their row
+    counts ask for, and each pair of blocks is one task of matrix products that keeps k
+    rows a query: a task holds two blocks at most and no side is broadcast.  Ties go to
+    the lesser vec_id, and a query's own row is left out.  All vectors have one width.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("pb"))
-    p = points.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
-        if len(left) and len(right):
-            y = np.array(right["embedding"].tolist(), float)
-            y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
-            ids = right["vec_id"].to_numpy()
-            for at in range(0, len(left), 1024):
-                part = left.iloc[at : at + 1024]
-                x = np.array(part["query"].tolist(), float)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                score = np.round(x @ y.T, 6)
-                for i, own in enumerate(part["query_id"].tolist()):
-                    order = np.lexsort((ids, -score[i]))[: k + 1]
-                    order = order[ids[order] != own][:k]
-                    if least is not None:
-                        order = order[score[i][order] >= least]
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[order], "score": score[i][order]}))
-        return pd.concat(out, ignore_index=True)
-
-    pairs = q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(best, "query_id long, vec_id long, score double")
+    sides = [f.where(F.size("embedding") > 0).select("vec_id", "embedding") for f in (queries, points)]
+    q_blocks, p_blocks = (max(1, -(-f.count() // block_rows)) for f in sides)
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = sides[0].select("vec_id", "embedding", deal(q_blocks).alias("qb"), every(p_blocks).alias("pb"))
+    p = sides[1].select("vec_id", "embedding", deal(p_blocks).alias("pb"), every(q_blocks).alias("qb"))
+    kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            y, ids, owners = _unit_rows(right["embedding"]).T, right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
+            x = _unit_rows(left["embedding"])
+            for at in range(0, len(x), 512):
+                scores = np.round(x[at : at + 512] @ y, 6)
+                scores[owners[at : at + 512, None] == ids[None, :]] = -np.inf
+                # All points from the k-th best score on: ties are settled by vec_id below.
+                cut = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+                for own, row, low in zip(owners[at : at + 512].tolist(), scores, cut.tolist(), strict=True):
+                    some = np.flatnonzero((row >= low) & (row > -np.inf) & (row >= (-np.inf if least is None else least)))
+                    some = some[np.lexsort((ids[some], -row[some]))][:k]
+                    out.append((np.full(len(some), own), ids[some], row[some]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
+
+    pairs = q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInArrow(best, "query_id long, vec_id long, score double")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k)
 
@@ -103,6 +114,11 @@ def centroids(chunks: DataFrame) -> DataFrame:
     return sums.groupBy("doc_id", "n_chunks").agg(F.transform(ordered, lambda e: e["v"]).alias("centroid"))
 
 
+def integrity_totals(found: DataFrame) -> DataFrame:
+    """One row over integrity() rows: documents by state and missing vectors."""
+    return found.agg(F.count_if(F.col("state") == "fully_missing").alias("fully_missing"), F.count_if(F.col("state") == "partially_missing").alias("partially_missing"), F.coalesce(F.sum(F.col("expected") - F.col("found")), F.lit(0)).alias("missing_vectors"))
+
+
 def integrity(expected: DataFrame, stored: DataFrame) -> DataFrame:
     """Documents whose expected chunks (doc_id, chunk_count) are not all stored.
 
@@ -114,6 +130,16 @@ def integrity(expected: DataFrame, stored: DataFrame) -> DataFrame:
     return per.where("found < expected").select("doc_id", "expected", "found", F.when(F.col("found") == 0, "fully_missing").otherwise("partially_missing").alias("state"))
 
 
+#: The place of each layer in a point id.
+SOURCE_OFFSETS = {"text_layer": 1, "baseline": 1, "vision_ocr": 2, "vision": 2}
+
+
+def source_offset(source: Column) -> Column:
+    """The place of a layer in a point id, 0 for an unknown one."""
+    known = F.create_map(*[F.lit(x) for item in SOURCE_OFFSETS.items() for x in item])
+    return F.coalesce(F.try_element_at(known, source), F.lit(0))
+
+
 def point_id(doc_id: Column, offset: Column, chunk: Column) -> Column:
     return doc_id * F.lit(1_000_000_000) + offset * F.lit(1_000_000) + chunk
 
@@ -131,6 +157,34 @@ def hashed_embedding(text: str, width: int = 64) -> list[float]:
     return [x / norm for x in out] if norm else out
 
 
+def embed_or_split(chunks: DataFrame, embed, limit: int) -> DataFrame:
+    """`chunks` plus `embedding`; a text over `limit` characters is embedded in parts, and their mean is taken.
+
+    `embed` gives the vector of one text and may be any provider; a part that it refuses
+    with an error is halved and tried again, down to single characters.
+    """
+
+    def vector(text: str) -> list[float]:
+        parts = [text[k : k + limit] for k in range(0, len(text), limit)] or [""]
+        found = []
+        while parts:
+            part = parts.pop(0)
+            try:
+                found.append(embed(part))
+            except ValueError:
+                if len(part) < 2:
+                    raise
+                parts[:0] = [part[: len(part) // 2], part[len(part) // 2 :]]
+        return np.mean(found, axis=0).tolist()
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: vector(t or ""))
+
+    return chunks.withColumn("embedding", run("text"))
+
+
 def embed_texts(chunks: DataFrame, width: int = 64) -> DataFrame:
     """`chunks` plus `embedding` by the default embedder, in Arrow batches."""
 

@@ -174,14 +174,14 @@ def latest_run_per_task(s, d):
     return runs.latest_runs(A.task_runs(s, d))
 
 
-@query("""WITH plan AS (SELECT DISTINCT doc_id, task, coalesce(trim(source), '') AS source FROM runs WHERE id % 2 = 0 UNION SELECT DISTINCT doc_id, 'similarity', '' FROM runs),
-last AS (SELECT doc_id, task, coalesce(trim(source), '') AS source, max(id) AS run_id, arg_max(status, id) AS status FROM runs WHERE id % 3 != 0 GROUP BY 1, 2, 3)
+@query("""WITH plan AS (SELECT DISTINCT doc_id, task, coalesce(trim(source), '') AS source FROM runs UNION SELECT DISTINCT doc_id, 'similarity', '' FROM runs),
+last AS (SELECT doc_id, task, coalesce(trim(source), '') AS source, max(id) AS run_id, arg_max(status, id) AS status FROM runs GROUP BY 1, 2, 3)
 SELECT p.doc_id, p.task, p.source, run_id, CASE WHEN status IN ('running', 'retrying') THEN status WHEN status = 'failed' THEN 'failed' WHEN p.doc_id % 2 = 0 AND p.task IN ('similarity', 'view') THEN 'missing' ELSE 'done' END AS state
 FROM plan p LEFT JOIN last USING (doc_id, task, source)""")
 def fanout_status(s, d):
     log = A.task_runs(s, d)
-    plan = log.where("id % 2 = 0").select("doc_id", "task", runs.source_key().alias("source")).union(log.select("doc_id", F.lit("similarity"), F.lit(""))).distinct()
-    return runs.fanout(plan, log.where("id % 3 != 0"), plan.where("doc_id % 2 = 0 AND task IN ('similarity', 'view')"))
+    plan = log.select("doc_id", "task", runs.source_key().alias("source")).union(log.select("doc_id", F.lit("similarity"), F.lit(""))).distinct()
+    return runs.fanout(plan, log, plan.where("doc_id % 2 = 0 AND task IN ('similarity', 'view')"))
 
 
 @query("SELECT id, task, status, created_at FROM runs ORDER BY created_at DESC, id DESC LIMIT 6")
@@ -189,9 +189,9 @@ def recent_runs(s, d):
     return runs.recent(A.task_runs(s, d)).select("id", "task", "status", "created_at")
 
 
-@query("SELECT id, doc_id, error_message FROM runs WHERE status = 'failed' AND doc_id % 2 = 1")
+@query("SELECT id, doc_id, error_message FROM runs WHERE status = 'failed'")
 def failed_runs(s, d):
-    return A.task_runs(s, d).where("status = 'failed' AND doc_id % 2 = 1").select("id", "doc_id", "error_message")
+    return A.task_runs(s, d).where("status = 'failed'").select("id", "doc_id", "error_message")
 
 
 @query("SELECT id, task, status FROM runs WHERE task ILIKE '%time%' OR source ILIKE '%time%' OR status ILIKE '%time%' OR error_message ILIKE '%time%' OR checkpoint_json ILIKE '%time%'")
@@ -348,8 +348,11 @@ hits AS (SELECT pg.*, sc.score, CASE WHEN l.quality IS NULL THEN 100 ELSE 30 + 6
 def _hits(s: SparkSession, d: str) -> DataFrame:
     pages = search.pages_of(A.table(s, d, "documents"))
     scored = search.lexical_scores(pages, QUERY)
-    quality = A.table(s, d, "labels").select("doc_id", (30 + 60 * F.col("quality")).alias("quality"))
-    return scored.join(quality, "doc_id", "left").withColumn("quality", F.coalesce("quality", F.lit(100)))
+    return scored
+
+
+def _quality(s: SparkSession, d: str) -> DataFrame:
+    return A.table(s, d, "labels").select("doc_id", (30 + 60 * F.col("quality")).alias("quality"))
 
 
 @query(f"""WITH {LEX}, cut AS (SELECT * FROM hits ORDER BY score DESC, doc_id, page LIMIT 60),
@@ -357,14 +360,14 @@ r AS (SELECT *, round(score * quality / 100.0 + (CAST(contains(lower(text), 'lic
   + CASE WHEN contains(lower(text), '{QUERY}') THEN 0.5 ELSE 0 END, 6) AS combined_score FROM cut WHERE quality >= 50)
 SELECT doc_id, page, source, score, CAST(quality AS INTEGER) AS quality, combined_score, substr(text, 1, 240) AS snippet FROM r ORDER BY combined_score DESC, score DESC, doc_id, page LIMIT 10""", prelude=False)
 def hybrid_search(s, d):
-    return search.hybrid_search(_hits(s, d), QUERY, top_k=10, min_quality=50)
+    return search.hybrid_search(_hits(s, d), QUERY, quality=_quality(s, d), top_k=10, min_quality=50)
 
 
 @query(f"""WITH {LEX}, cut AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id, page) AS hit_rank FROM hits), t AS (SELECT * FROM cut WHERE hit_rank <= 18),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, source ORDER BY round(score * CASE WHEN quality = 0 THEN 100 ELSE quality END / 100.0, 6) DESC, hit_rank) AS n, min(hit_rank) OVER (PARTITION BY doc_id, page, source) AS f FROM t WHERE quality >= 40)
 SELECT CAST(row_number() OVER (ORDER BY f) AS INTEGER) AS id, doc_id, page, source, score FROM k WHERE n = 1 ORDER BY f LIMIT 6""", prelude=False)
 def rag_sources(s, d):
-    top = _hits(s, d).orderBy(F.desc("score"), "doc_id", "page").limit(18)
+    top = _hits(s, d).orderBy(F.desc("score"), "doc_id", "page").limit(18).join(_quality(s, d), "doc_id", "left")
     ranked = top.withColumn("hit_rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id", "page"))).withColumn("doc_date", F.lit(None).cast("string"))
     return search.select_sources(ranked, min_quality=40).select("id", "doc_id", "page", "source", "score")
 
@@ -378,12 +381,14 @@ def chat_history_window(s, d):
     return search.chat_history(A.table(s, d, "conversations"))
 
 
-@query()
+@query(r"""WITH n AS (SELECT doc_id, ' ' || array_to_string(list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda t: regexp_replace(t, '[^\p{L}\p{M}\p{Nd}\p{Pc}]+', '', 'g')), lambda t: t != ''), ' ') || ' ' AS h FROM documents),
+w AS (SELECT item_id, ' ' || array_to_string(list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda t: regexp_replace(t, '[^\p{L}\p{M}\p{Nd}\p{Pc}]+', '', 'g')), lambda t: t != ''), ' ') || ' ' AS k FROM benchmark)
+SELECT item_id, doc_id, 1 AS page, CAST(length(substr(h, 1, strpos(h, k) - 1)) - length(replace(substr(h, 1, strpos(h, k) - 1), ' ', '')) AS INTEGER) AS start FROM n JOIN w ON contains(h, k) WHERE length(k) - length(replace(k, ' ', '')) >= 3""", prelude=False)
 def evidence_places(s, d):
-    return search.locate_snippets(A.table(s, d, "benchmark"), search.pages_of(A.table(s, d, "documents"), 100_000))
+    return search.locate_snippets(A.table(s, d, "benchmark"), A.table(s, d, "documents").select("doc_id", F.lit(1).alias("page"), "text"))
 
 
-@query("""WITH c AS (SELECT event_id AS ordinal, user_id AS doc_id, event_id % 4 AS page, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS snippet, event_id % 3 AS k FROM events WHERE user_id % 50 = 1),
+@query("""WITH c AS (SELECT event_id AS ordinal, user_id AS doc_id, event_id % 4 AS page, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS snippet, event_id % 3 AS k FROM events),
 pg AS (SELECT doc_id, page, min(ordinal) AS f FROM c GROUP BY 1, 2 ORDER BY f LIMIT 5)
 SELECT ordinal, greatest(doc_id, 0) AS doc_id, greatest(page, 0) AS page,
   CASE WHEN doc_id <= 0 OR page <= 0 THEN 'error' WHEN k = 0 THEN 'ok' WHEN k = 1 THEN 'error' WHEN snippet = '' THEN 'error' ELSE 'no_match' END AS status,
@@ -391,7 +396,7 @@ SELECT ordinal, greatest(doc_id, 0) AS doc_id, greatest(page, 0) AS page,
   CASE WHEN doc_id > 0 AND page > 0 AND k = 0 THEN 1.0 ELSE 0.0 END AS confidence FROM c JOIN pg USING (doc_id, page)""", prelude=False)
 def evidence_status(s, d):
     box = F.when(F.col("event_id") % 3 == 0, F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0))).when(F.col("event_id") % 3 == 1, F.array(F.lit(9.0), F.lit(2.0), F.lit(3.0), F.lit(4.0)))
-    cited = A.table(s, d, "events").where("user_id % 50 = 1").select(F.col("event_id").alias("ordinal"), F.col("user_id").alias("doc_id"), (F.col("event_id") % 4).alias("page"), F.when(F.col("event_id") % 5 == 0, "").otherwise(F.col("event_type")).alias("snippet"), box.alias("bbox"))
+    cited = A.table(s, d, "events").select(F.col("event_id").alias("ordinal"), F.col("user_id").alias("doc_id"), (F.col("event_id") % 4).alias("page"), F.when(F.col("event_id") % 5 == 0, "").otherwise(F.col("event_type")).alias("snippet"), box.alias("bbox"))
     return search.evidence_status(cited, max_pages=9)
 
 
@@ -435,11 +440,11 @@ def low_quality_pages(s, d):
     return textops.score_quality(A.table(s, d, "documents").select("doc_id", "text")).where("quality.score < 60").select("doc_id")
 
 
-@query(r"""WITH x AS (SELECT doc_id, text, length(text) AS n, regexp_extract_all(text, '\pL{2,}') AS ws, string_split_regex(text, '\r\n|\r|\n') AS ls FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))
-SELECT doc_id, round((n - length(regexp_replace(text, '[0-9]', '', 'g'))) / n, 6) AS digit_ratio, round((n - length(regexp_replace(text, '[!-/:-@\[-`{-~]', '', 'g'))) / n, 6) AS punct_ratio,
+@query(r"""WITH x AS (SELECT doc_id, text, length(text) AS n, regexp_extract_all(text, '\pL{2,}') AS ws, string_split_regex(text, '\r\n|\r|\n') AS ls FROM documents)
+SELECT doc_id, round((n - length(regexp_replace(text, '\p{Nd}', '', 'g'))) / n, 6) AS digit_ratio, round((n - length(regexp_replace(text, '[!-/:-@\[-`{-~]', '', 'g'))) / n, 6) AS punct_ratio,
   CAST(len(ls) AS DOUBLE) AS line_count, round(list_sum(list_transform(ls, lambda l: length(l))) / len(ls), 6) AS avg_line_len, round(len(regexp_extract_all(text, '[ \t]{3,}')) / greatest(1.0, n / 200.0), 6) AS multispace_ratio FROM x WHERE n > 0""", prelude=False)
 def ocr_noise(s, d):
-    m = A.table(s, d, "documents").where("length(text) > 0 AND NOT text RLIKE '[^\\\\x00-\\\\x7F]'").select("doc_id", textops.noise(F.col("text")).alias("m"))
+    m = A.table(s, d, "documents").where("length(text) > 0").select("doc_id", textops.noise(F.col("text")).alias("m"))
     return m.select("doc_id", *[F.round(f"m.{k}", 6).alias(k) for k in ("digit_ratio", "punct_ratio", "line_count", "avg_line_len", "multispace_ratio")])
 
 
@@ -570,8 +575,8 @@ def local_overrides(s, d):
     return local.alias("l").join(remote.alias("r"), "doc_id").where(review.has_overrides()).select("doc_id")
 
 
-@query("""WITH a AS (SELECT user_id AS doc_id, max(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS at, 0 AS kind FROM events WHERE event_type = 'purchase' GROUP BY 1), b AS (SELECT DISTINCT o_custkey AS doc_id, NULL AS at, 1 AS kind FROM orders WHERE o_orderstatus = 'P'), c AS (SELECT DISTINCT c_custkey AS doc_id, NULL AS at, 2 AS kind FROM customer),
-u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)) SELECT doc_id, kind, at FROM u WHERE n = 1""", prelude=False)
+@query("""WITH a AS (SELECT user_id AS doc_id, max(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS "at", 0 AS kind FROM events WHERE event_type = 'purchase' GROUP BY 1), b AS (SELECT DISTINCT o_custkey AS doc_id, NULL AS "at", 1 AS kind FROM orders WHERE o_orderstatus = 'P'), c AS (SELECT DISTINCT c_custkey AS doc_id, NULL AS "at", 2 AS kind FROM customer),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)) SELECT doc_id, kind, "at" FROM u WHERE n = 1""", prelude=False)
 def writeback_candidates(s, d):
     audited = A.table(s, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("doc_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"))
     return review.candidate_order(audited, A.table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("doc_id")), A.table(s, d, "customer").select(F.col("c_custkey").alias("doc_id")))
@@ -656,8 +661,9 @@ def _plan(s: SparkSession, d: str) -> DataFrame:
 
 
 PLAN = """pd AS (SELECT id, CASE WHEN page_count < 60 THEN page_count % 4 ELSE page_count END AS page_count FROM active),
-an AS (SELECT doc_id AS id, count(DISTINCT CASE WHEN doc_id % 19 != 0 THEN page END) AS anchor_pages, doc_id % 19 != 0 AND doc_id % 23 != 0 AND doc_id % 3 > 0 AS text_layer, doc_id % 19 = 0 AS anchor_error FROM pages_t WHERE page < 4 GROUP BY doc_id),
-vi AS (SELECT doc_id AS id, count(DISTINCT page) AS vp, max(created_at) AS vision_at FROM pages_t WHERE source = 'vision_ocr' GROUP BY doc_id),
+ex AS (SELECT p.*, page BETWEEN 1 AND CASE WHEN coalesce(page_count, 0) > 0 THEN page_count ELSE 1000000 END AS inside FROM pages_t p LEFT JOIN pd ON pd.id = p.doc_id),
+an AS (SELECT doc_id AS id, count(DISTINCT CASE WHEN doc_id % 19 != 0 AND inside THEN page END) AS anchor_pages, doc_id % 19 != 0 AND doc_id % 23 != 0 AND doc_id % 3 > 0 AS text_layer, doc_id % 19 = 0 AS anchor_error FROM ex WHERE page < 4 GROUP BY doc_id),
+vi AS (SELECT doc_id AS id, count(DISTINCT CASE WHEN inside THEN page END) AS vp, max(created_at) AS vision_at FROM ex WHERE source = 'vision_ocr' GROUP BY doc_id),
 sg AS (SELECT doc_id AS id, bool_or(source = 'text_layer') AS sb, bool_or(source = 'vision_ocr') AS sv, max(processed_at) AS summary_at FROM sugg GROUP BY doc_id),
 f AS (SELECT pd.id, pd.page_count, coalesce(pd.page_count, 0) AS e, anchor_pages, coalesce(text_layer, false) AS tl, coalesce(anchor_error, false) AS ae, coalesce(vp, 0) AS vp, vision_at, coalesce(sb, false) AS sb, coalesce(sv, false) AS sv, summary_at, embedding_source, embedded_at,
   CASE WHEN chunk_count > 1 THEN CASE WHEN pd.id % 2 = 0 THEN embedded_at ELSE '1990-01-01T00:00:00Z' END END AS sim_at,

@@ -44,8 +44,8 @@ def correspondents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bridge (document_id, tag_id): the parts of some lines."""
-    lines = table(spark, sf_dir, "lineitem").where(_every("l_partkey", 3))
+    """Bridge (document_id, tag_id): the parts of all lines."""
+    lines = table(spark, sf_dir, "lineitem")
     return lines.select(F.col("l_orderkey").alias("document_id"), F.col("l_partkey").alias("tag_id")).distinct()
 
 
@@ -111,7 +111,7 @@ docs AS (SELECT o_orderkey AS id, concat('Order ', o_orderstatus, ' ', o_orderke
   CASE WHEN o_orderkey % 17 = 0 THEN '{DELETED_PREFIX} @ 2024-01-01' END AS deleted_at, o_totalprice AS total FROM orders),
 active AS (SELECT * FROM docs WHERE deleted_at IS NULL OR NOT starts_with(deleted_at, '{DELETED_PREFIX}')),
 corr AS (SELECT c_custkey AS id, c_name AS name FROM customer),
-doc_tags AS (SELECT DISTINCT l_orderkey AS document_id, l_partkey AS tag_id FROM lineitem WHERE l_partkey % 3 = 0),
+doc_tags AS (SELECT DISTINCT l_orderkey AS document_id, l_partkey AS tag_id FROM lineitem),
 tags AS (SELECT p_partkey AS id, p_brand || ' ' || p_type AS name FROM part),
 pages_t AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, CASE WHEN l_returnflag = 'R' THEN '{VISION}' ELSE '{BASELINE}' END AS source,
   strftime(l_shipdate, '%Y-%m-%d') || 'T10:00:00Z' AS created_at, 'model-' || l_linestatus AS model_name FROM lineitem),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
@@ -21,8 +23,9 @@ def _get(url: str, token: str) -> dict:
 class PagedList(DataSource):
     """spark.read.format("paged_list"): one partition for each page of a REST list.
 
-    Options: url, token, page_size, schema as DDL.  Equality and range filters on
-    document_date, modified, correspondent and tags go to the server.
+    Options: url, token, page_size, ordering (id by default, so that pages do not shift
+    under writes), schema as DDL.  Equality and range filters on document_date, modified,
+    correspondent and tags go to the server; an equal id reads that row alone.
     """
 
     @classmethod
@@ -40,12 +43,14 @@ class PagedReader(DataSourceReader):
     NAMES = {"correspondent": "correspondent__id", "tags": "tags__id"}
 
     def __init__(self, options: dict[str, str], names: list[str]) -> None:
-        self.options, self.names, self.query = options, names, {}
+        self.options, self.names, self.query, self.row = options, names, {"ordering": options.get("ordering", "id")}, None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             name = f.attribute[0] if getattr(f, "attribute", None) else ""
-            if isinstance(f, EqualTo) and name in self.NAMES:
+            if isinstance(f, EqualTo) and name == "id":
+                self.row = f.value
+            elif isinstance(f, EqualTo) and name in self.NAMES:
                 self.query[self.NAMES[name]] = str(f.value)
             elif isinstance(f, GreaterThanOrEqual) and name in ("modified", "document_date"):
                 self.query[f"{name}__gte"] = str(f.value)
@@ -59,11 +64,22 @@ class PagedReader(DataSourceReader):
         return f"{self.options['url']}?{urllib.parse.urlencode({**self.query, 'page': page, 'page_size': size})}"
 
     def partitions(self) -> list[InputPartition]:
+        if self.row is not None:
+            return [InputPartition(0)]
         count = int(_get(self._url(1), self.options.get("token", "")).get("count", 0))
         size = int(self.options.get("page_size", "100"))
         return [InputPartition(p) for p in range(1, max(1, -(-count // size)) + 1)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if self.row is not None:
+            try:
+                row = _get(f"{self.options['url'].rstrip('/')}/{self.row}/", self.options.get("token", ""))
+            except urllib.error.HTTPError as error:
+                if error.code != 404:
+                    raise
+                return
+            yield tuple(row.get(n) for n in self.names)
+            return
         for row in _get(self._url(partition.value), self.options.get("token", "")).get("results", []):
             yield tuple(row.get(n) for n in self.names)
 
@@ -85,28 +101,47 @@ def coalesce_remote(remote: DataFrame, local: DataFrame, columns: list[str]) ->
 
 
 def send_calls(calls: DataFrame, url: str, token: str, *, dry_run: bool = True) -> DataFrame:
-    """(doc_id, step, ok, detail) after PATCH, POST and DELETE calls; a dry run sends nothing."""
+    """(doc_id, step, ok, detail) after PATCH, POST and DELETE calls with their JSON payloads; a dry run sends nothing.
+
+    The calls of a document go out in order, and after one that fails the rest of it is
+    left out.  Each call carries a key of its content, by which a server can tell a call
+    that a repeated task sends again.
+    """
 
     def send(batches):
+        failed = set()  # documents of this part whose calls have failed
         for batch in batches:
             out = []
-            for doc, step, method, path in zip(batch["doc_id"], batch["step"], batch["method"], batch["path"], strict=True):
+            for doc, step, method, path, payload in zip(batch["doc_id"], batch["step"], batch["method"], batch["path"], batch["payload"], strict=True):
+                if doc in failed:
+                    out.append((doc, step, False, "left out after a failed call"))
+                    continue
                 if dry_run:
                     out.append((doc, step, True, f"{method} {path}"))
                     continue
                 try:
-                    request = urllib.request.Request(url.rstrip("/") + path, method=method, headers={"Authorization": f"Token {token}"})
+                    key = hashlib.sha256(json.dumps([int(doc), int(step), method, path, payload]).encode()).hexdigest()
+                    headers = {"Authorization": f"Token {token}", "Content-Type": "application/json", "Idempotency-Key": key}
+                    request = urllib.request.Request(url.rstrip("/") + path, data=None if method == "DELETE" else (payload or "{}").encode(), method=method, headers=headers)
                     with urllib.request.urlopen(request, timeout=60) as answer:
                         out.append((doc, step, True, str(answer.status)))
                 except OSError as error:
+                    failed.add(doc)
                     out.append((doc, step, False, str(error)))
             yield batch[["doc_id", "step"]].assign(ok=[o[2] for o in out], detail=[o[3] for o in out])
 
     ordered = calls.repartition("doc_id").sortWithinPartitions("doc_id", "step")
-    return ordered.select("doc_id", "step", "method", "path").mapInPandas(send, "doc_id long, step int, ok boolean, detail string")
+    return ordered.select("doc_id", "step", "method", "path", "payload").mapInPandas(send, "doc_id long, step int, ok boolean, detail string")
+
+
+def upsert_points(stored: DataFrame, points: DataFrame) -> DataFrame:
+    """Stored points with new ones in place of those of their document, source and chunk."""
+    keys = ["doc_id", "source", "chunk"]
+    return stored.join(points.select(*keys), keys, "left_anti").unionByName(points.select(*stored.columns))
 
 
 def write_points(points: DataFrame, path: str) -> None:
+    """Write a whole set of points to a new folder, chunks and centroids apart."""
     points.withColumn("kind", F.when(F.col("chunk") < 0, "centroid").otherwise("chunk")).write.mode("overwrite").partitionBy("kind").parquet(path)
 
 

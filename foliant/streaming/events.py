@@ -47,11 +47,8 @@ def upsert_into(path: str, keys: list[str], order: str) -> Callable[[DataFrame,
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         newest = batch.groupBy(*keys).agg(F.max(F.struct(order, *[c for c in batch.columns if c not in (*keys, order)])).alias("x")).select(*keys, "x.*").select(*batch.columns)
-        before = f"{path}/v{number - 1:06d}"
-        try:
-            old = spark.read.schema(batch.schema).parquet(before)
-        except Exception:  # the first batch has nothing to merge with
-            old = spark.createDataFrame([], batch.schema)
+        # Batches are numbered without gaps: only the first has no version before it, and any other that cannot be read is a fault.
+        old = spark.createDataFrame([], batch.schema) if number == 0 else spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1:06d}")
         kept = old.join(newest.select(*keys), keys, "left_anti")
         kept.unionByName(newest).write.mode("overwrite").parquet(f"{path}/v{number:06d}")
 
