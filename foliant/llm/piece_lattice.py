@@ -43,7 +43,7 @@ from foliant.llm.scratch import Scratch, most_frequent
 LIMIT = 62
 MISSING = 0xFFFF
 SLICE_CHARS = 1 << 18
-DISTINCT = 200_000
+DISTINCT = 300_000
 ROWS = 1024
 SPACE, LETTER, NEWLINE = 1, 2, 3
 
@@ -384,40 +384,55 @@ def _first_pass(path: str, frequent, id_kind: pa.DataType):
     return run
 
 
-def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text, with the rare units' ids in their places."""
-    unpack = zstandard.ZstdDecompressor().decompress
+def _fill(path: str, decoded: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, with the rare units' ids in their places."""
+        unpack = zstandard.ZstdDecompressor().decompress
+        table = piece_bytes(path) if decoded else []
+        for row in _rows(batches):
+            ids, sizes = _filled(row, unpack)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            each = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            columns = [row["docs"].values, pa.array(np.frombuffer(unpack(row["crc"].as_py()), "<i8")), pa.array([x.tobytes() for x in each], pa.binary())]
+            if decoded:
+                columns += _decoded(each, table)
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_crc32", "ids", "n_pieces", "ids_crc32", "decoded"][: len(columns)])
+
+    return run
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
-            row = {c: batch[c][k] for c in ("ids", "sizes", "crc", "rare", "docs", "found")}
-            ids, sizes, crc = (np.frombuffer(unpack(row[c].as_py()), kind) for c, kind in (("ids", "<u2"), ("sizes", "<i8"), ("crc", "<i8")))
-            wanted = np.asarray(row["rare"].values, np.int64) if row["rare"].values is not None else np.zeros(0, np.int64)
-            if len(wanted):
-                found = row["found"].values
-                known = Known.of(found.field("key").to_numpy(), found.field("ids").to_pylist())
-                at = known.place(wanted)
-                holes = np.flatnonzero(ids == MISSING)
-                length = np.ones(len(ids), np.int64)
-                length[holes] = known.size[at]
-                begin = np.arange(len(ids)) + len(known.ids)
-                begin[holes] = known.begin[at]
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                sizes = np.bincount(owner, length, len(sizes)).astype(np.int64)
-                ids = np.concatenate([known.ids, ids])[_ranges(begin, length)]
-            ends = np.concatenate([[0], np.cumsum(sizes)]) * 2
-            raw = ids.astype("<u2").tobytes()
-            out = pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([row["docs"].values, pa.array(crc), out], names=["doc_id", "text_crc32", "ids"])
-
-
-def encode(docs: DataFrame, path: str, *, head: int = 1 << 18) -> DataFrame:
+            yield {c: batch[c][k] for c in ("ids", "sizes", "crc", "rare", "docs", "found")}
+
+
+def _filled(row: dict, unpack) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a slice of texts, and their number for each text."""
+    ids, sizes = np.frombuffer(unpack(row["ids"].as_py()), "<u2"), np.frombuffer(unpack(row["sizes"].as_py()), "<i8")
+    if not len(row["rare"]):
+        return ids, sizes
+    wanted, found = row["rare"].values.to_numpy(), row["found"].values
+    known = Known.of(found.field("key").to_numpy(), found.field("ids").to_pylist())
+    at = known.place(wanted)
+    holes = np.flatnonzero(ids == MISSING)
+    length = np.ones(len(ids), np.int64)
+    length[holes] = known.size[at]
+    begin = np.arange(len(ids)) + len(known.ids)
+    begin[holes] = known.begin[at]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.concatenate([known.ids, ids])[_ranges(begin, length)].astype("<u2"), np.bincount(owner, length, len(sizes)).astype(np.int64)
+
+
+def encode(docs: DataFrame, path: str, *, head: int = 1 << 19, decoded: bool = False) -> DataFrame:
     """(doc_id, text_crc32, ids binary) for each row: ids are little-endian uint16, those of the model's own encoding.
 
     The encodings of the `head` most frequent units, a bounded table, go to every
     executor; all other units are joined by hash, to slices of texts that a table
     bucketed by slice keeps in place.  A null text is encoded as ''; an empty text has no
     ids but those of the space in front of it; repeated rows are encoded each; an empty
-    table gives no rows.  Columns other than doc_id and text are not looked at.
+    table gives no rows.  Columns other than doc_id and text are not looked at.  With
+    `decoded` the columns of with_decoded() come from the same task.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pieces")
@@ -436,7 +451,7 @@ def encode(docs: DataFrame, path: str, *, head: int = 1 << 18) -> DataFrame:
     wanted = partial.select("part", F.explode(F.array_distinct("rare")).alias("key"))
     found = wanted.join(known.select("key", "ids"), "key").groupBy("part").agg(F.collect_list(F.struct("key", "ids")).alias("found"))
     joined = partial.join(found, "part", "left").select("ids", "sizes", "crc", "rare", "docs", "found")
-    return joined.mapInArrow(_fill, f"doc_id {id_kind}, text_crc32 long, ids binary")
+    return joined.mapInArrow(_fill(path, decoded), f"doc_id {id_kind}, text_crc32 long, ids binary" + ", n_pieces long, ids_crc32 long, decoded string" * decoded)
 
 
 def piece_bytes(path: str) -> list[bytes]:
@@ -455,6 +470,12 @@ def decode(ids: np.ndarray, table: list[bytes]) -> bytes:
     return b"".join(map(table.__getitem__, ids.tolist()))[1:]
 
 
+def _decoded(ids: list[np.ndarray], table: list[bytes]) -> list[pa.Array]:
+    """n_pieces, ids_crc32 (of uint32 ids) and the decoded text of each text."""
+    texts = [decode(i, table) for i in ids]
+    return [pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
+
+
 def with_decoded(encoded: DataFrame, path: str) -> DataFrame:
     """`encoded` plus n_pieces, ids_crc32 (of uint32 ids) and the decoded text; an empty table gives no rows."""
     names = encoded.columns
@@ -462,9 +483,7 @@ def with_decoded(encoded: DataFrame, path: str) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_bytes(path)
         for batch in batches:
-            ids = [np.frombuffer(b, "<u2") for b in batch["ids"].to_pylist()]
-            texts = [decode(i, table) for i in ids]
-            extra = [pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
+            extra = _decoded([np.frombuffer(b, "<u2") for b in batch["ids"].to_pylist()], table)
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, "n_pieces", "ids_crc32", "decoded"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema)

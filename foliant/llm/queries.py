@@ -12,7 +12,6 @@ from foliant.llm.gru_lm import score_documents
 from foliant.llm.hyperminhash import near_duplicates
 from foliant.llm.line_rules import assess as assess_lines
 from foliant.llm.piece_lattice import encode as encode_pieces
-from foliant.llm.piece_lattice import with_decoded
 from foliant.llm.preference import format_preferences, mismatched_reply_pairs
 from foliant.llm.scratch import Scratch, read
 from foliant.llm.sharding import uniform_shards
@@ -87,7 +86,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def piece_digest(docs: DataFrame) -> DataFrame:
     """doc_id, the pieces of its text, their checksum and whether decoding gives the text back."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = with_decoded(encode_pieces(docs.select("doc_id", "text"), model), model)
+    found = encode_pieces(docs.select("doc_id", "text"), model, decoded=True)
     exact = F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")
     return found.select("doc_id", "n_pieces", "ids_crc32", exact.alias("decoded_exactly"))
 

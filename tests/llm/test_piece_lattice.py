@@ -30,6 +30,8 @@ def test_against_brute_force_library_and_round_trip(spark):
     for head in (1 << 17, 2, 0):
         out = {r.doc_id or 0: r for r in with_decoded(encode(docs, MODEL, head=head), MODEL).collect()}
         assert len(out) == len(texts)
+        at_once = {r.doc_id or 0: r for r in encode(docs, MODEL, head=head, decoded=True).collect()}
+        assert {i: (r.ids, r.decoded, r.n_pieces, r.ids_crc32) for i, r in at_once.items()} == {i: (r.ids, r.decoded, r.n_pieces, r.ids_crc32) for i, r in out.items()}
         for i, text in enumerate(texts):
             ids = np.frombuffer(out[i].ids, "<u2").tolist()
             assert out[i].decoded == (text or "") and out[i].n_pieces == len(ids)
