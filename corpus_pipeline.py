@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.decontaminate import contaminated
 from foliant.llm.hyperminhash import near_duplicates
-from foliant.llm.piece_lattice import encode, with_decoded
+from foliant.llm.piece_lattice import encode
 from foliant.llm.scratch import Scratch, read
 from foliant.llm.suffix_dedup import remove_repeats
 from foliant.llm.toxic_segments import score, train
@@ -78,7 +78,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     table gives no rows.
     """
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = with_decoded(encode(docs.select("doc_id", "text"), model), model)
+    found = encode(docs.select("doc_id", "text"), model, decoded=True)
     exact = F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")
     return found.select("doc_id", "n_pieces", "ids_crc32", exact.alias("decoded_exactly"))
 
