@@ -336,13 +336,17 @@ class Known:
     ids: np.ndarray
 
     @classmethod
-    def of(cls, key: np.ndarray, ids: list[bytes]) -> Known:
+    def of(cls, key: np.ndarray, ids: pa.BinaryArray) -> Known:
+        """From hashes and packed ids, by their buffers: no object for each of them."""
         order = np.argsort(key)
-        size = np.array([len(x) // 2 for x in ids], np.int64)
-        begin = np.cumsum(size) - size
         if (np.diff(key[order]) == 0).any():
             raise RuntimeError("two units share a hash")
-        return cls(key[order], begin[order], size[order], np.frombuffer(b"".join(ids), "<u2"))
+        if not len(ids):
+            return cls(key, np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u2"))
+        _, offsets, data = ids.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        begin = ((offsets[:-1] - offsets[0]) // 2).astype(np.int32)
+        return cls(key[order], begin[order], (np.diff(offsets) // 2).astype(np.int32)[order], np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view("<u2"))
 
     def place(self, key: np.ndarray) -> np.ndarray:
         """Place of each key, -1 where it is not known."""
@@ -413,7 +417,7 @@ def _filled(row: dict, unpack) -> tuple[np.ndarray, np.ndarray]:
     if not len(row["rare"]):
         return ids, sizes
     wanted, found = row["rare"].values.to_numpy(), row["found"].values
-    known = Known.of(found.field("key").to_numpy(), found.field("ids").to_pylist())
+    known = Known.of(found.field("key").to_numpy(), found.field("ids"))
     at = known.place(wanted)
     holes = np.flatnonzero(ids == MISSING)
     length = np.ones(len(ids), np.int64)
@@ -441,8 +445,8 @@ def encode(docs: DataFrame, path: str, *, head: int = 1 << 19, decoded: bool = F
     # Several parts a task: the edges of one are sorted and folded in memory.
     counted = docs.select("text").mapInArrow(_count(path), "unit string, n long").repartition(4 * tasks, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
     known = scratch.save(lattice_fold(counted, path).mapInArrow(_packed(path), "key long, n long, ids binary"), "known")
-    top = most_frequent(known, "n", head).select("key", "ids").toPandas()
-    own = Known.of(top["key"].to_numpy(np.int64).view(np.uint64), [bytes(x) for x in top["ids"]])
+    top = most_frequent(known, "n", head).select("key", "ids").toArrow().combine_chunks()
+    own = Known.of(top["key"].to_numpy().view(np.uint64), top["ids"].combine_chunks().cast(pa.binary()) if top.num_rows else pa.array([], pa.binary()))
     frequent = spark.sparkContext.broadcast((own.key, own.begin, own.size, own.ids))
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
