@@ -463,7 +463,7 @@ def fit(train: DataFrame, lexicon: Lexicon, *, rounds: int = 2, part_bytes: int
             if size:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([size], pa.int64()), pa.array([now], pa.binary())], names=["part", "weight", "packed"])
 
-        done = train.where(F.col("turn") == r).select("text").repartition(parts).mapInArrow(run, "part int, weight long, packed binary")
+        done = train.where(F.col("turn") == r).select("text").repartition(parts).mapInArrow(W.give_back(run), "part int, weight long, packed binary")
         width = parts
         while True:  # no task takes the weights of more than FAN_IN others
             done = done.groupBy(F.expr(f"part div {FAN_IN}").cast("int").alias("group")).applyInArrow(_average, "part int, weight long, packed binary")
@@ -510,7 +510,7 @@ def score_documents(docs: DataFrame, learn: DataFrame) -> tuple[DataFrame, Lexic
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    partial = scratch.save(rows.mapInArrow(run, f"row long, doc_id {id_kind}, n_tokens long, n_known long, base double, model double, rare array<struct<key:long,n:long>>"), "partial")
+    partial = scratch.save(rows.mapInArrow(W.give_back(run), f"row long, doc_id {id_kind}, n_tokens long, n_known long, base double, model double, rare array<struct<key:long,n:long>>"), "partial")
     # A word is known by 64 bits here.
     rare = partial.select("row", F.explode("rare").alias("x")).select("row", "x.key", "x.n")
     more = rare.join(counts.select("key", "c"), "key").groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"))

@@ -230,7 +230,7 @@ def _count(path: str):
                         yield out()
         yield out()
 
-    return run
+    return W.give_back(run)
 
 
 # ---- the lattice ------------------------------------------------------------
@@ -315,7 +315,7 @@ def _packed(path: str):
             packed = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u2").tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch["n"], packed], names=["key", "n", "ids"])
 
-    return run
+    return W.give_back(run)
 
 
 # ---- texts ------------------------------------------------------------------
@@ -385,7 +385,7 @@ def _first_pass(path: str, frequent, id_kind: pa.DataType):
                 yield pa.RecordBatch.from_arrays([*row, docs], names=["part", "ids", "sizes", "crc", "rare", "docs"])
                 part += 1
 
-    return run
+    return W.give_back(run)
 
 
 def _fill(path: str, decoded: bool):
@@ -402,7 +402,7 @@ def _fill(path: str, decoded: bool):
                 columns += _decoded(each, table)
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_crc32", "ids", "n_pieces", "ids_crc32", "decoded"][: len(columns)])
 
-    return run
+    return W.give_back(run)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

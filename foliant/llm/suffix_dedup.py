@@ -234,7 +234,7 @@ def _anchor_rows(buckets: int, length: int):
                 rows = [(chunk, b, _squeeze(k), np.packbits(s).tobytes()) for b, (k, s) in enumerate(zip(np.split(key, cut), np.split(several, cut), strict=True)) if len(k)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "bucket", "keys", "several"])
 
-    return run
+    return W.give_back(run)
 
 
 def _repeated_anchors(table: pa.Table) -> pa.Table:
@@ -282,7 +282,7 @@ def _candidates(buckets: int, length: int):
                 packed = zstandard.ZstdCompressor(level=1).compress(numbers.T.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([packed], pa.binary())], names=["chunk", "pieces"])
 
-    return run
+    return W.give_back(run)
 
 
 def _numbers(packed: bytes) -> np.ndarray:
@@ -306,7 +306,7 @@ def _open_pieces(length: int):
                     names=["gram", "piece", "place", "row", "at", "n"],
                 )
 
-    return run
+    return W.give_back(run)
 
 
 def _gone_pieces(length: int):
@@ -322,7 +322,7 @@ def _gone_pieces(length: int):
                 first, last = np.flatnonzero(head), np.append(np.flatnonzero(head)[1:], len(row)) - 1
                 yield pa.RecordBatch.from_arrays([pa.array((chunk << ROW_BITS) | row[first]), pa.array(lo[first].astype(np.int32)), pa.array(hi[last].astype(np.int32))] if len(row) else [pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], names=["row", "lo", "hi"])
 
-    return run
+    return W.give_back(run)
 
 
 def _bytes_of_pieces(buckets: int, length: int, windows: bool):
@@ -347,7 +347,7 @@ def _bytes_of_pieces(buckets: int, length: int, windows: bool):
                 texts = [data[a:b] for a, b in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(gram % buckets), pa.array(order[local]), pa.array(row), pa.array(at.astype(np.int32)), pa.array(texts, pa.binary())], names=["bucket", "place", "row", "at", "text"])
 
-    return run
+    return W.give_back(run)
 
 
 def _suffix_arrays(length: int):
@@ -393,7 +393,7 @@ def _cut_out(text_at: int | None, kind: pa.DataType | None):
                     names.append("document")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return run
+    return W.give_back(run)
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 50, with_rows: bool = False) -> DataFrame:

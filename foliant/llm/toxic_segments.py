@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from foliant.llm import words as W
 from foliant.llm.scratch import Scratch
 
 PREFIXES = (4, 5, 6, 7)
@@ -247,4 +248,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 found.append([{"start": s, "end": e, "score": v, "p_value": p} for (s, e, v), p in zip(segments, x[3], strict=True)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(result, pa.float64()), pa.array(found, kind)], names=[*batch.schema.names, "_score", "_segments"])
 
-    return docs.mapInArrow(apply, StructType([*docs.schema.fields, *StructType.fromDDL(f"_score double, _segments array<{SEGMENT}>").fields]))
+    return docs.mapInArrow(W.give_back(apply), StructType([*docs.schema.fields, *StructType.fromDDL(f"_score double, _segments array<{SEGMENT}>").fields]))
