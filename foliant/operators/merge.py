@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.ranks import ranked
+
 
 def upsert(base: DataFrame, new: DataFrame, keys: list[str], ordinal: Column | None = None) -> DataFrame:
     """`base` with the rows of `new` in place of those with equal keys.
@@ -52,19 +54,9 @@ def merge_notes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return kept.join(fresh.select("id").distinct(), "id", "left_anti").select("document_id", "id", "note").unionByName(moved).unionByName(fresh)
 
 
-def numbered(rows: DataFrame, key: str, ties: list[str], bins: int = 1024) -> DataFrame:
-    """`rows` plus `n` from 1 in the order of a whole-number key, then of `ties`.
-
-    Rows are numbered within `bins` equal parts of the key's range, and a part starts
-    after the rows of those before it, so no window holds all rows.
-    """
-    ends = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    part = F.floor((F.col(key) - F.col("lo")).cast("double") * bins / (F.col("hi") - F.col("lo") + 1)).cast("int")
-    dealt = rows.crossJoin(F.broadcast(ends)).withColumn("part", part).drop("lo", "hi")  # one row of ends
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("size")).withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")  # `bins` rows
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(key, *ties))
-    return dealt.withColumn("k", inside).join(F.broadcast(starts), "part").withColumn("n", F.col("start") + F.col("k")).drop("part", "start", "k")
+def numbered(rows: DataFrame, key: str, ties: list[str]) -> DataFrame:
+    """`rows` plus `n` from 1 in the order of a key, then of `ties`, without a window over all rows."""
+    return ranked(rows, [], [F.col(c) for c in (key, *ties)], "n")
 
 
 def next_local_id(notes: DataFrame) -> DataFrame:

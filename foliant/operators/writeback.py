@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.ranks import ranked
 from foliant.operators.review import FIELDS, change_plan, tag_set
 
 ACTIONS = ("skip", "use_remote", "use_local")
@@ -177,18 +178,9 @@ def display_value(field: str, value: Column, *, name: Column | None = None) -> C
 
 
 def candidate_positions(ordered: DataFrame) -> DataFrame:
-    """(doc_id, position) of candidate_order() rows, numbered kind by kind.
-
-    Positions are counts of rows before: one of the kind's earlier kinds and one within
-    its stamp day, so no window holds all rows.
-    """
-    day = F.substring(F.coalesce("at", F.lit("")), 1, 10)
-    rows = ordered.withColumn("day", day)
-    sizes = rows.groupBy("kind", "day").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("kind", F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")  # one row a kind and day
-    inside = Window.partitionBy("kind", "day").orderBy(F.desc_nulls_last("at"), "doc_id")
-    return rows.withColumn("k", F.row_number().over(inside) - 1).join(starts, ["kind", "day"]).select("doc_id", (F.col("start") + F.col("k")).alias("position"))
+    """(doc_id, position from 0) of candidate_order() rows, kind by kind, the newest first and those without a stamp last."""
+    placed = ranked(ordered.select("kind", "at", "doc_id"), [], [F.col("kind"), F.desc_nulls_last("at"), F.col("doc_id")], "position")
+    return placed.select("doc_id", (F.col("position") - 1).alias("position"))
 
 
 assert set(FIELDS) == {"title", "issue_date", "correspondent", "tags", "note"}

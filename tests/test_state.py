@@ -163,7 +163,7 @@ def test_nearest_and_numbering(spark):
         order = [i for i in sorted(range(90), key=lambda i: (-scores[i], i)) if i != q][:7]
         assert [got[q, k + 1][0] for k in range(7)] == order
     rows = spark.createDataFrame([(int(k), i) for i, k in enumerate([5, 5, -9, 10**12, 7, 7, 7])], "id long, document_id long")
-    assert [(r.id, r.document_id) for r in merge.numbered(rows, "id", ["document_id"], bins=4).orderBy("n").collect()] == [(-9, 2), (5, 0), (5, 1), (7, 4), (7, 5), (7, 6), (10**12, 3)]
+    assert [(r.id, r.document_id) for r in merge.numbered(rows, "id", ["document_id"]).orderBy("n").collect()] == [(-9, 2), (5, 0), (5, 1), (7, 4), (7, 5), (7, 6), (10**12, 3)]
     assert merge.numbered(rows.limit(0), "id", ["document_id"]).count() == 0
 
     def embed(text):
