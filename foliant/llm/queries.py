@@ -11,6 +11,7 @@ from foliant.llm.decontaminate import contaminated
 from foliant.llm.gru_lm import score_documents
 from foliant.llm.hyperminhash import near_duplicates
 from foliant.llm.line_rules import assess as assess_lines
+from foliant.llm.mixing import mix_sources, word_count
 from foliant.llm.piece_lattice import encode as encode_pieces
 from foliant.llm.preference import format_preferences, mismatched_reply_pairs
 from foliant.llm.scratch import Scratch, read
@@ -55,7 +56,7 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where("crc32(cast(cast(doc_id AS string) AS binary)) % 4 != 2")
     model = train_toxicity(docs.where("NOT held_out"), labels)
     scored = score_toxicity(docs, model)
-    return scored.select("doc_id", "held_out", F.col("_score").alias("score"), (F.lit(model.learned) & (F.col("_score") >= 0.3)).cast("int").alias("predicted"), F.size("_segments").alias("n_segments"))
+    return scored.select("doc_id", "held_out", F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"), F.size("_segments").alias("n_segments"))
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +96,13 @@ def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(read(spark, sf_dir, "documents"))
 
 
+def op13_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    out = mix_sources(docs, F.col("size"), F.col("source"))
+    return out.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies"))
+
+
 QUERIES = {
     "op1_preference_formatting": op1_preference_formatting,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
@@ -106,6 +114,7 @@ QUERIES = {
     "op8_gated_recurrent_lm": op8_gated_recurrent_lm,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_piece_lattice": op10_piece_lattice,
+    "op13_systematic_mix": op13_systematic_mix,
 }
 
 ORACLE = {
@@ -176,4 +185,23 @@ SELECT conv_id AS pair_id, CAST(n AS INTEGER) AS n_prompt_turns,
   CAST(coalesce(list_sum(list_transform(rejected[n+1:], lambda x: CASE WHEN x.role = 'assistant' THEN length(x.text) + 8 ELSE 0 END)), 0) AS BIGINT) AS rejected_trained,
   (len(chosen) > n OR len(rejected) > n) AS differs
 FROM pairs""",
+    "op13_systematic_mix": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS tie FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss FROM d GROUP BY source),
+w AS (SELECT source, ss, 2 * ss AS cap, ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS wt FROM s),
+o AS (SELECT *, (sum(ss) OVER () * 150 / 100.0 - coalesce(sum(cap) OVER (ORDER BY cap / wt, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(wt) OVER (ORDER BY cap / wt, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w),
+l AS (SELECT CAST(coalesce(min_by(lv, cap / wt) FILTER (WHERE cap > lv * wt), 0) AS DOUBLE) AS lv FROM o),
+t AS (SELECT source, ss, least(CAST(cap AS DOUBLE), l.lv * wt) AS target FROM w, l),
+r AS (SELECT *, CAST(CASE WHEN ss > 0 THEN least(floor(target / ss * 268435456), 536870912) ELSE 0 END AS BIGINT) AS rate,
+        CAST('0x' || substr(md5('mix:' || coalesce('s' || source, 'n')), 1, 7) AS BIGINT) AS off FROM t),
+p AS (SELECT d.*, r.ss, r.target, r.rate, r.off, size > 0 AND size * 256 >= ss AS is_long, row_number() OVER (PARTITION BY d.source ORDER BY size DESC, tie) - 1 AS nth
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+h AS (SELECT source, count(*) AS heads, sum(size) AS lng, sum(size * (((nth + 1) * rate + off) // 268435456 - (nth * rate + off) // 268435456)) AS taken FROM p WHERE is_long GROUP BY source),
+q AS (SELECT p.*, coalesce(heads, 0) AS heads,
+        CAST(CASE WHEN ss > coalesce(lng, 0) THEN least(greatest(floor((target - coalesce(taken, 0)) / (ss - coalesce(lng, 0)) * 268435456), 0), 536870912) ELSE rate END AS BIGINT) AS rest
+      FROM p LEFT JOIN h ON p.source IS NOT DISTINCT FROM h.source),
+c AS (SELECT *, least(nth, heads) * rate + greatest(nth - heads, 0) * rest AS a, CASE WHEN nth < heads THEN rate ELSE rest END AS e FROM q),
+n AS (SELECT *, CAST((a + e + off) // 268435456 - (a + off) // 268435456 AS BIGINT) AS copies FROM c)
+SELECT doc_id, size, ss AS source_size, target, size * copies AS taken, copies FROM n""",
 }

@@ -1,64 +1,13 @@
-"""Intermediate tables in the shared folder named by spark.checkpoint.dir."""
+"""Tables that outlive a lost executor, readers of the given tables and a cut by counts."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_roots: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set and there is one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        _roots[app] = "file://" + tempfile.mkdtemp(prefix="foliant-")
-    return _roots[app]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-    except Exception:  # the session has ended: the folder's owner clears it
-        pass
-
-
-class Scratch:
-    """A folder of Parquet tables that cut lineage; each can be read by every executor.
-
-    Tables stay until drop() or the end of the driver, so a lost executor never
-    costs more than the tasks it was running.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(_delete, spark, self.path)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-        """Save `df` in buckets of `key`: a join by that key leaves it where it is."""
-        table = f"foliant_{uuid.uuid4().hex}"
-        df.write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(buckets, key).saveAsTable(table)
-        return self.spark.table(table)
+from foliant.storage import Scratch, shared_dir
 
-    def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.path}/{name}")
+__all__ = ["Scratch", "most_frequent", "read", "shared_dir"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
