@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foliant.llm import token_frames
 from foliant.llm.decontaminate import contaminated
 from foliant.llm.gru_lm import score_documents
+from foliant.llm.hard_negatives import mine_hard_negatives, valid_points
 from foliant.llm.hyperminhash import near_duplicates
 from foliant.llm.line_rules import assess as assess_lines
 from foliant.llm.mixing import mix_sources, word_count
@@ -96,6 +97,12 @@ def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(read(spark, sf_dir, "documents"))
 
 
+def op12_packed_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = valid_points(read(spark, sf_dir, "embeddings"), "embedding", "label", "vec_id")
+    points = points.withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine_hard_negatives(points, F.col("id") % 50 == 0)
+
+
 def op13_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
@@ -114,6 +121,7 @@ QUERIES = {
     "op8_gated_recurrent_lm": op8_gated_recurrent_lm,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_piece_lattice": op10_piece_lattice,
+    "op12_packed_tree_negatives": op12_packed_tree_negatives,
     "op13_systematic_mix": op13_systematic_mix,
 }
 
@@ -185,6 +193,19 @@ SELECT conv_id AS pair_id, CAST(n AS INTEGER) AS n_prompt_turns,
   CAST(coalesce(list_sum(list_transform(rejected[n+1:], lambda x: CASE WHEN x.role = 'assistant' THEN length(x.text) + 8 ELSE 0 END)), 0) AS BIGINT) AS rejected_trained,
   (len(chosen) > n OR len(rejected) > n) AS differs
 FROM pairs""",
+    "op12_packed_tree_negatives": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, a.label AS al, b.vec_id AS id, b.label, b.r AS br, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.r != b.r),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, id) AS j FROM s WHERE label = al) WHERE j <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.ar, p.j ORDER BY s.score DESC, s.id) AS rank
+      FROM p JOIN s ON s.ar = p.ar AND s.label != s.al AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
     "op13_systematic_mix": r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS tie FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss FROM d GROUP BY source),
