@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import token_frames
+from foliant.llm.collocations import collocations
 from foliant.llm.decontaminate import contaminated
 from foliant.llm.gru_lm import score_documents
 from foliant.llm.hard_negatives import mine_hard_negatives, valid_points
@@ -97,6 +98,10 @@ def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(read(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_packed_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = valid_points(read(spark, sf_dir, "embeddings"), "embedding", "label", "vec_id")
     points = points.withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -121,6 +126,7 @@ QUERIES = {
     "op8_gated_recurrent_lm": op8_gated_recurrent_lm,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_piece_lattice": op10_piece_lattice,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_packed_tree_negatives": op12_packed_tree_negatives,
     "op13_systematic_mix": op13_systematic_mix,
 }
@@ -193,6 +199,20 @@ SELECT conv_id AS pair_id, CAST(n AS INTEGER) AS n_prompt_turns,
   CAST(coalesce(list_sum(list_transform(rejected[n+1:], lambda x: CASE WHEN x.role = 'assistant' THEN length(x.text) + 8 ELSE 0 END)), 0) AS BIGINT) AS rejected_trained,
   (len(chosen) > n OR len(rejected) > n) AS differs
 FROM pairs""",
+    "op11_phrase_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+g AS (SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS k))),
+c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY lang),
+s AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM c WHERE k > 1 AND f >= 10),
+u AS (SELECT lang, phrase, a, x AS cut, array_to_string(w[1:x], ' ') AS head, array_to_string(w[x+1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS x FROM s)),
+v AS (SELECT u.*, l.f AS l, r.f AS r, (1000000::HUGEINT * u.a * u.a) // (l.f::HUGEINT * r.f) AS score
+      FROM u JOIN c l ON l.lang = u.lang AND l.phrase = u.head JOIN c r ON r.lang = u.lang AND r.phrase = u.tail),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM v) WHERE o = 1),
+i AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, array_to_string(w[j:j+1], ' ') AS phrase, a FROM (SELECT *, unnest([1, 2]) AS j FROM s WHERE k = 3)) GROUP BY ALL),
+m AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM m JOIN t USING (lang) WHERE rank <= 2000""",
     "op12_packed_tree_negatives": """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
