@@ -6,9 +6,9 @@ cut alike and every phrase of up to three words lies whole in a chunk.  Spark gr
 into a dictionary with parse frequencies, and phrases are counted inside distinct chunks, weighted;
 what lies wholly in the two words that a chunk shares with the next counts there alone.
 
-Only phrases that can reach the least count are spelled out: a first pass adds all phrases up in a
-table of hashed counters of bounded size, whose sums are never too low, and the second pass counts
-exactly, by their text, those whose counter reaches it.
+Only phrases that can reach the least count are spelled out: a first pass adds all phrases up by a
+hash, whose sums are never too low, and keeps a table of bits of those that reach it; the second
+pass counts phrases with a bit exactly, by their text.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ BREAK[[ord(c) for c in ".,;:!?"] + list(range(10, 14))] = True
 SEPARATOR = BREAK.copy()
 SEPARATOR[[9, 32]] = True
 RADIX = np.uint64(0x9FB21C651E98DF25)
-BLOCK = 1 << 16
+#: Phrases are added up by the upper 44 bits of their hash, with their weight, cut at the least count, below.
+HASH_BITS, HASH_SHIFT, WEIGHT_BITS, WEIGHT_MOST = 44, np.uint64(20), np.uint64(8), np.uint64(255)
 PARSED = "lang string, chunk binary"
 COUNTED = "lang string, k int, phrase binary, f long"
 
@@ -156,50 +157,85 @@ def _grams(batch: pa.RecordBatch, slice_bytes: int) -> Iterator[tuple[str, Grams
             yield lang.as_py(), Grams(own, n[part.first_row + row], starts, [W.mix(h + salt) for h in hashes])
 
 
-def _frequent(spark: SparkSession, dictionary: DataFrame, least: int, slots: int, slice_bytes: int) -> np.ndarray:
-    """Bits of the hashed counters that reach `least`: slots/8 bytes, whatever the corpus."""
-    mask = np.uint64(slots - 1)
+def _added(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and their summed weights, of values hash << WEIGHT_BITS | weight."""
+    packed = np.sort(packed)
+    key = packed >> WEIGHT_BITS
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(packed & WEIGHT_MOST, first) if len(first) else first.astype(np.uint64)
+
+
+def _planes(key: np.ndarray, weight: np.ndarray) -> bytes:
+    """Sorted hashes as steps, byte by byte, so that the upper bytes of small steps compress to nothing."""
+    return np.diff(key, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + np.minimum(weight, WEIGHT_MOST).astype(np.uint8).tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(9, -1)
+    key = np.cumsum(np.ascontiguousarray(planes[:8].T).view(np.uint64).ravel(), dtype=np.uint64)
+    return (key << WEIGHT_BITS) | planes[8].astype(np.uint64)
+
+
+def _frequent(spark: SparkSession, dictionary: DataFrame, least: int, slot_bits: int, ranges: int, slice_bytes: int, hold: int) -> np.ndarray:
+    """A table of 2**slot_bits bits: those of the phrases whose hashes add up to `least` or more.
+
+    Tasks send sums of hashes, in `ranges` ranges of them, so a range's task has an
+    equal share of the distinct phrases, however frequent one of them is.
+    """
+    reach = min(least, int(WEIGHT_MOST))  # lower than a count that does not fit: lets more through
+    range_shift, per = np.uint64(HASH_BITS - ranges.bit_length() + 1), (1 << slot_bits) // ranges
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        held: list[np.ndarray] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            key, weight = _added(np.concatenate(held))
+            cuts = np.searchsorted(key >> range_shift, np.arange(ranges + 1, dtype=np.uint64))
+            there = np.flatnonzero(np.diff(cuts))
+            sums = [pack.compress(_planes(key[cuts[r] : cuts[r + 1]], weight[cuts[r] : cuts[r + 1]])) for r in there]
+            return pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(sums, pa.binary())], names=["range", "sums"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(slots, np.uint32)
         for batch in batches:
             for _, g in _grams(batch, slice_bytes):
-                weight = np.minimum(g.weight, least).astype(np.uint32)
+                weight = np.minimum(g.weight, reach).astype(np.uint64)
                 for start, h in zip(g.starts, g.hashes, strict=True):
-                    np.add.at(table, (h[start] & mask).astype(np.int64), weight[start])
-        low = np.minimum(table, least).astype(np.uint8)
-        del table
-        pack = zstandard.ZstdCompressor(level=1)
-        for k in range(0, slots, BLOCK):
-            if low[k : k + BLOCK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int64()), pa.array([pack.compress(low[k : k + BLOCK].tobytes())], pa.binary())], names=["block", "counts"])
+                    held.append(((h[start] >> HASH_SHIFT) << WEIGHT_BITS) | weight[start])
+                    n += len(held[-1])
+                if n >= hold:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
 
     def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, own = zstandard.ZstdDecompressor(), np.zeros(BLOCK, np.uint64)
-        for batch in batches:
-            for counts in batch["counts"].to_pylist():
-                part = np.frombuffer(unpack.decompress(counts), np.uint8)
-                own[: len(part)] += part
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(own >= least).tobytes()], pa.binary())], names=["block", "bits"])
+        unpack = zstandard.ZstdDecompressor()
+        own, weight = _added(np.concatenate([_unplaned(unpack.decompress(x)) for batch in batches for x in batch["sums"].to_pylist()]))
+        bits = np.zeros(per, bool)
+        bits[((own[weight >= reach] >> np.uint64(HASH_BITS - slot_bits)) % np.uint64(per)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["range", "bits"])
 
-    sums = dictionary.mapInArrow(W.give_back(add), "block long, counts binary").groupBy("block").applyInArrow(total, "block long, bits binary")
-    bits = np.zeros(-(-slots // BLOCK) * BLOCK // 8, np.uint8)
-    for r in sums.collect():  # slots / BLOCK rows at most
-        bits[r["block"] * (BLOCK // 8) : (r["block"] + 1) * (BLOCK // 8)] = np.frombuffer(r["bits"], np.uint8)
-    return bits
+    sums = dictionary.select("lang", "chunk", "n").mapInArrow(W.give_back(send), "range long, sums binary").groupBy("range").applyInArrow(total, "range long, bits binary")
+    bits = np.zeros((ranges, per // 8), np.uint8)
+    for r in sums.collect():  # 2**slot_bits bits, at most 2**30
+        bits[r["range"]] = np.frombuffer(r["bits"], np.uint8)
+    return bits.ravel()
 
 
-def phrase_counts(dictionary: DataFrame, least: int, *, max_slots: int = 1 << 25, slice_bytes: int = 1 << 20, hold_bytes: int = 1 << 25) -> DataFrame:
+def phrase_counts(dictionary: DataFrame, least: int, *, max_slot_bits: int = 30, range_bytes: int = 1 << 23, slice_bytes: int = 1 << 20, hold: int = 1 << 22, hold_bytes: int = 1 << 25) -> DataFrame:
     """(lang, k, phrase, f): every phrase of k words, 1 to 3, with f >= least; k = 0 has the number of words.
 
-    `max_slots` bounds the filter: with more phrases than it can tell apart it lets more
-    through to the exact count, and the result is the same.
+    The filter of the first pass has a bit for each 8 bytes of the dictionary, but
+    2**max_slot_bits at most: with more phrases than these tell apart it lets more through
+    to the exact count, and the result is the same.
     """
     spark = dictionary.sparkSession
     size = dictionary.agg(F.sum(F.octet_length("chunk"))).first()[0] or 0
-    slots = 1 << min(max(16, int(size // 16).bit_length()), max_slots.bit_length() - 1)
-    mask = np.uint64(slots - 1)
-    shared = spark.sparkContext.broadcast(_frequent(spark, dictionary, least, slots, slice_bytes))
+    ranges = 1 << max(6, int(size // range_bytes).bit_length())
+    slot_bits = max(min(max(16, int(size // 8).bit_length()), max_slot_bits), ranges.bit_length() + 2)
+    shift = np.uint64(64 - slot_bits)
+    shared = spark.sparkContext.broadcast(_frequent(spark, dictionary, least, slot_bits, ranges, slice_bytes, hold))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -215,13 +251,13 @@ def phrase_counts(dictionary: DataFrame, least: int, *, max_slots: int = 1 << 25
                 held.append(_table(lang, 0, pa.array([b""], pa.binary()), np.array([g.weight[g.starts[0]].sum()])))
                 parts = None
                 for k in range(LONGEST):
-                    slot = g.hashes[k] & mask
+                    slot = g.hashes[k] >> shift
                     passes = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 1
                     # A phrase is no more frequent than those it begins and ends with.
                     both = g.starts[k] & passes if parts is None else g.starts[k] & passes & parts & np.append(parts[1:], False)
                     parts = passes if parts is None else passes & parts & np.append(parts[1:], False)
-                    for shift in range(k + 1):
-                        held.append(_spelled(lang, g, both, k + 1, shift))
+                    for offset in range(k + 1):
+                        held.append(_spelled(lang, g, both, k + 1, offset))
                         held_bytes += held[-1].nbytes
             if held_bytes >= hold_bytes:
                 yield from flush()
