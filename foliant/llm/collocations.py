@@ -279,7 +279,9 @@ def _spelled(lang: str, g: Grams, wanted: np.ndarray, k: int, shift: int) -> pa.
 
     Such phrases lie end to end in the stream, so they are read where they are.
     """
-    n = (len(wanted) - shift) // k
+    n = max(0, (len(wanted) - shift) // k)
+    if not n:
+        return _table(lang, k, pa.array([], pa.binary()), np.zeros(0, np.int64))
     offsets = g.own.starts[shift : shift + n * k + 1 : k]
     phrases = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(g.own.data)])
     use = wanted[shift : shift + n * k : k]

@@ -152,8 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 30_000, max_fea
     count once.  Both bounds are parameters of the classifier; scoring has none.
     Where one label is missing among the rows counted or among those held for the
     calibration, all rows are counted and calibrated by cross-fitting in five parts.
-    Without both labels the model has no weights and scores 0.5 for every text; its
-    `learned` is false, as it is when no feature tells the labels apart.
+    Without both labels, or where no feature tells them apart, the model has no weights
+    and scores the share of toxic labels, (toxic + 0.1) / (labels + 1), for every text;
+    its `learned` is false.  An empty table or one without labels is such a case; rows
+    that repeat a doc_id are texts of their own, and a doc_id labelled both ways is toxic.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxic")
@@ -201,12 +203,17 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 30_000, max_fea
         found = frame.mapInArrow(measure, "toxic int, n long, segments array<double>, growth array<double>").toPandas()
         return found[found["n"] > 0]
 
+    def unlearned() -> Model:
+        n, toxic = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+        share = (toxic + 0.1) / (n + 1)
+        return Model({}, 0.1, coefficients=(math.log(share / (1 - share)), 0.0, 0.0, 0.0))
+
     model = weights_of(texts.where("fold < 7"))
     held = measured(model, texts.where("fold >= 7")) if model else None
     if held is None or held["toxic"].nunique() < 2:
         model = weights_of(texts)
         if not model:
-            return Model({}, 0.1)
+            return unlearned()
         parts = []
         for k in range(5):
             own = F.col("fold") % 5 == k
@@ -220,16 +227,18 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 30_000, max_fea
         best = np.array([max(s) if len(s) else 0.0 for s in clean["segments"]])
         model.log_k = float(np.mean((model.rate * best - np.log(clean["n"]))[best > 0]) - 0.5772) if (best > 0).any() else -3.0
         x = np.array([evidence(n, [(0, 0, v) for v in s], model)[:3] for n, s in zip(held["n"], held["segments"], strict=True)])
-        model.learned = bool(model.weights)
+        if not model.weights:
+            return unlearned()
+        model.learned = True
         model.coefficients = tuple(float(b) for b in _fit_logistic(x, held["toxic"].to_numpy(float)))
-    return model
+    return model if model.learned else unlearned()
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of `docs` plus `_score` and `_segments`, which replace columns of these names.
 
     Null and empty texts have no segment and get the score of a text without
-    evidence.  Segments are token ranges with score and p-value, in text order.
+    evidence; repeated rows are scored each, and an empty table gives no rows.  Segments are token ranges with score and p-value, in text order.
     """
     docs = docs.drop("_score", "_segments")
     at = docs.columns.index("text")
