@@ -31,17 +31,37 @@ def apply_correspondents(edits: DataFrame, known: DataFrame) -> DataFrame:
 def apply_tags(edits: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, tag_ids, pending_names) of edits (doc_id, names): known tags by name in any case, and the others.
 
-    Other names are kept once each in any case, in the order of their lower-case form.
+    Where no name is known tag_ids is null, and the document keeps its tags.  Other names
+    are kept once each in any case, in the order of their lower-case form; without any,
+    no name is left to wait.
     """
     names = edits.select("doc_id", F.explode_outer(F.filter(F.transform("names", lambda n: F.trim(n)), lambda n: n != "")).alias("name"))
     keys = known.groupBy(F.lower(F.trim("name")).alias("k")).agg(F.min("id").alias("id"))
     rows = names.withColumn("k", F.lower("name")).join(keys, "k", "left")
     fresh = rows.where("id IS NULL AND name IS NOT NULL").groupBy("doc_id", "k").agg(F.min("name").alias("name"))
     pending = fresh.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]).alias("pending_names"))
-    ids = rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("id")).alias("tag_ids"))
+    found = F.array_sort(F.collect_set("id"))
+    ids = rows.groupBy("doc_id").agg(F.when(F.count("id") > 0, found).alias("tag_ids"))
     return ids.join(pending, "doc_id", "left").select("doc_id", "tag_ids", F.coalesce("pending_names", F.array().cast("array<string>")).alias("pending_names"))
 
 
+def settle_tags(current: DataFrame, waiting: DataFrame, applied: DataFrame) -> DataFrame:
+    """(doc_id, tag_ids, pending_names, updated) of every document after apply_tags().
+
+    `current` has doc_id and tag_ids, `waiting` the names (doc_id, names) that wait
+    already.  An edited document's names replace those, or take them away where there
+    are none; others keep both.  updated says whether tags or waiting names are new.
+    """
+    none = F.array().cast("array<string>")
+    sort = lambda c: F.transform(F.array_sort(F.transform(F.coalesce(c, none), lambda n: F.struct(F.lower(n).alias("k"), n.alias("n")))), lambda x: x["n"])
+    new = applied.select("doc_id", F.col("tag_ids").alias("_ids"), F.col("pending_names").alias("_names"), F.lit(True).alias("_edited"))
+    j = current.select("doc_id", "tag_ids").join(waiting.select("doc_id", F.col("names").alias("_old")), "doc_id", "left").join(new, "doc_id", "left")
+    edited = F.coalesce("_edited", F.lit(False))
+    names = F.when(edited, F.col("_names")).otherwise(F.coalesce("_old", none))
+    updated = edited & (F.col("_ids").isNotNull() | (sort(F.col("_old")) != sort(F.col("_names"))))
+    return j.select("doc_id", F.coalesce("_ids", "tag_ids").alias("tag_ids"), names.alias("pending_names"), updated.alias("updated"))
+
+
 def latest_meta(stored: DataFrame) -> DataFrame:
     """(doc_id, source, model_name, processed_at) of each document's newest suggestion; undated ones come last, then the lesser source."""
     order = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("processed_at"), "source")
@@ -67,16 +87,25 @@ def summary_note(summary: Column, model: Column, processed_at: Column, marker: s
     return F.concat_ws("\n", F.concat(F.trim(summary), F.lit("\n")), F.nullif(meta, F.lit("")), F.lit(marker))
 
 
+#: Fixed value: how summary notes began before they ended with a marker.
+OLD_MARKER = "AI_SUMMARY v1 -"
+
+
 def apply_notes(edits: DataFrame, notes: DataFrame, stored: DataFrame, marker: str = "AI summary") -> DataFrame:
-    """(doc_id, note_id, note, action): the summary note of each edit, in place of the document's first one or added."""
+    """(doc_id, note_id, note, action): the summary note of each edit, in place of the document's first one or added.
+
+    A summary note ends with the marker, or begins with the one of old.  Blank edits change nothing.
+    """
     asked = edits.where("field = 'note'").select("doc_id", F.trim(F.coalesce("value", F.lit(""))).alias("value")).where("value != ''")
-    own = notes.where(F.col("note").endswith(f"\n{marker}")).groupBy(F.col("document_id").alias("doc_id")).agg(F.min("id").alias("note_id"))
+    own = notes.where(F.col("note").endswith(f"\n{marker}") | F.col("note").startswith(OLD_MARKER)).groupBy(F.col("document_id").alias("doc_id")).agg(F.min("id").alias("note_id"))
     j = asked.join(latest_meta(stored).drop("source"), "doc_id", "left").join(own, "doc_id", "left")
     return j.select("doc_id", "note_id", summary_note(F.col("value"), F.col("model_name"), F.col("processed_at"), marker).alias("note"), F.when(F.col("note_id").isNull(), "add").otherwise("replace").alias("action"))
 
 
 def edit_audit(edits: DataFrame, now: str) -> DataFrame:
-    return edits.select("doc_id", F.concat(F.lit("apply_to_document:"), "field").alias("action"), F.coalesce("source", F.lit("manual")).alias("source"), F.lit(now).alias("created_at"))
+    """An audit row for each edit that changes something; a blank note changes nothing."""
+    blank = (F.col("field") == "note") & (F.trim(F.coalesce("value", F.lit(""))) == "")
+    return edits.where(~blank).select("doc_id", F.concat(F.lit("apply_to_document:"), "field").alias("action"), F.coalesce("source", F.lit("manual")).alias("source"), F.lit(now).alias("created_at"))
 
 
 def _overridden(payload: str | None, field: str, value: str | None) -> dict[str, str | None]:

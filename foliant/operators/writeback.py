@@ -24,6 +24,39 @@ def items(local: DataFrame, remote: DataFrame, *, marker: str = "AI summary") ->
     return plan.join(other, "doc_id")
 
 
+def with_pending(found: DataFrame, correspondents: DataFrame, tags: DataFrame) -> DataFrame:
+    """`found` with the names that still have to be created upstream: pending_correspondent and pending_tags.
+
+    `correspondents` has doc_id and name, `tags` doc_id and names.  A name that waits is
+    a change of its field, whatever the ids; tag names are kept once, in any case's order.
+    """
+    name = correspondents.groupBy("doc_id").agg(F.max(F.nullif(F.trim("name"), F.lit(""))).alias("pending_correspondent"))
+    one = tags.select("doc_id", F.explode("names").alias("n")).select("doc_id", F.trim("n").alias("n")).where("n != ''").distinct()
+    names = one.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.lower("n").alias("k"), "n"))), lambda x: x["n"]).alias("pending_tags"))
+    j = found.join(name, "doc_id", "left").join(names, "doc_id", "left").withColumn("pending_tags", F.coalesce("pending_tags", F.array().cast("array<string>")))
+    waits = {"correspondent": F.col("pending_correspondent").isNotNull(), "tags": F.size("pending_tags") > 0}
+    changed = F.filter(F.array(*[F.when(F.array_contains("changed", f) | waits.get(f, F.lit(False)), F.lit(f)) for f in FIELDS]), lambda f: f.isNotNull())
+    return j.withColumn("changed", changed)
+
+
+def with_created(found: DataFrame, correspondents: DataFrame, tags: DataFrame) -> DataFrame:
+    """with_pending() rows after their names were created: ids (name, id) in place of names, which no longer wait.
+
+    Names meet in any case; a name without an id keeps waiting.
+    """
+    key = lambda c: F.lower(F.trim(c))
+    ids = lambda known, name: known.groupBy(key("name").alias("_k")).agg(F.max("id").alias(name))
+    own = found.withColumn("_k", key("pending_correspondent")).join(ids(correspondents, "_corr"), "_k", "left").drop("_k")
+    each = found.select("doc_id", F.explode("pending_tags").alias("n")).withColumn("_k", key("n")).join(ids(tags, "_tag"), "_k", "left")
+    met = each.groupBy("doc_id").agg(F.collect_list("_tag").alias("_tags"), F.transform(F.array_sort(F.collect_list(F.when(F.col("_tag").isNull(), F.struct("_k", "n")))), lambda x: x["n"]).alias("_left"))
+    j = own.join(met, "doc_id", "left")
+    none = F.array()
+    return j.withColumns({
+        "correspondent_id": F.coalesce("_corr", "correspondent_id"), "pending_correspondent": F.when(F.col("_corr").isNull(), F.col("pending_correspondent")),
+        "tags": tag_set(F.concat("tags", F.coalesce("_tags", none.cast("array<bigint>")))), "pending_tags": F.coalesce("_left", none.cast("array<string>")),
+    }).drop("_corr", "_tags", "_left")
+
+
 def _pair(name: str, value: Column) -> Column:
     """`"name":value` as JSON; nulls are written."""
     whole = F.to_json(F.struct(value.alias(name)), {"ignoreNullFields": "false"})
@@ -33,10 +66,13 @@ def _pair(name: str, value: Column) -> Column:
 def payload_calls(chosen: DataFrame, fields: str = "changed") -> DataFrame:
     """(doc_id, step, method, path, payload): one PATCH of the chosen fields, DELETE of a replaced note, POST of the new one.
 
-    A note that is empty after trimming makes no call.  Payloads are JSON.
+    A note that is empty after trimming makes no call.  Payloads are JSON; those of
+    with_pending() rows name what is to be created beside the ids.
     """
     has = lambda f: F.array_contains(fields, f)
     pairs = (("title", _pair("title", F.col("title"))), ("issue_date", _pair("created", F.col("issue_date"))), ("correspondent", _pair("correspondent", F.col("correspondent_id"))), ("tags", _pair("tags", F.col("tags"))))
+    if "pending_tags" in chosen.columns:
+        pairs += (("correspondent", _pair("pending_correspondent_name", F.col("pending_correspondent"))), ("tags", _pair("pending_tag_names", F.col("pending_tags"))))
     parts = F.filter(F.array(*[F.when(has(f), p) for f, p in pairs]), lambda p: p.isNotNull())
     base, text = F.concat(F.lit("/api/documents/"), F.col("doc_id").cast("string"), F.lit("/")), scalar(F.col("note"))
     noted = has("note") & (text != "")
@@ -154,10 +190,17 @@ def delete_jobs(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
     return j.select("job_id", F.when(F.col("status").isNull(), "absent").when(F.col("status") == "running", "refused").otherwise("removed").alias("outcome"))
 
 
-def audit_rows(calls: DataFrame, remote: DataFrame, now: str) -> DataFrame:
-    """One audit row for each document with a call, stamped with the remote modification time or `now`."""
+def audit_rows(calls: DataFrame, remote: DataFrame, now: str, found: DataFrame | None = None) -> DataFrame:
+    """One audit row for each document with a call, stamped with the remote modification time or `now`.
+
+    With `found`, the items that were chosen, those without a change get a row too: they
+    count as reviewed.
+    """
     stamp = F.coalesce(F.nullif(F.trim("modified"), F.lit("")), F.lit(now))
-    return calls.select("doc_id").distinct().join(remote.select("doc_id", "modified"), "doc_id", "left").select("doc_id", F.lit("apply_to_document:writeback").alias("action"), F.lit("writeback").alias("source"), stamp.alias("created_at"))
+    docs = calls.select("doc_id")
+    if found is not None:
+        docs = docs.union(found.where(F.size("changed") == 0).select("doc_id"))
+    return docs.distinct().join(remote.select("doc_id", "modified"), "doc_id", "left").select("doc_id", F.lit("apply_to_document:writeback").alias("action"), F.lit("writeback").alias("source"), stamp.alias("created_at"))
 
 
 def settle_pending(pending: DataFrame, calls: DataFrame, field: str) -> DataFrame:

@@ -147,9 +147,40 @@ def writeback_job_delete(s, d):
     return writeback.delete_jobs(jobs, jobs.select("job_id").union(jobs.select(F.col("job_id") + 100)))
 
 
-@query(f"WITH {DIFF} SELECT DISTINCT cl.doc_id, 'apply_to_document:writeback' AS action, 'writeback' AS source, modified AS created_at FROM cl JOIN df4 USING (doc_id)")
+@query(f"WITH {DIFF} SELECT doc_id, 'apply_to_document:writeback' AS action, 'writeback' AS source, modified AS created_at FROM df4 WHERE doc_id IN (SELECT doc_id FROM cl) OR len(changed) = 0")
 def writeback_audit(s, d):
-    return writeback.audit_rows(writeback.payload_calls(_items(s, d)), _remote(s, d)[1], "2024-06-01T00:00:00Z")
+    found = _items(s, d)
+    return writeback.audit_rows(writeback.payload_calls(found), _remote(s, d)[1], "2024-06-01T00:00:00Z", found)
+
+
+def _pending(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers' clerks of urgent orders wait as correspondents, those of high ones as tags."""
+    orders = A.table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Clerk"), F.col("o_custkey").cast("string")).alias("clerk"), "o_orderpriority")
+    clerk, high = F.col("clerk"), orders.where("o_orderpriority = '2-HIGH'")
+    return orders.where("o_orderpriority = '1-URGENT'").select("doc_id", F.concat(F.lit(" "), clerk).alias("name")), high.select("doc_id", F.array(F.lower(clerk), F.lit(""), F.concat(F.lit("Z"), clerk), clerk).alias("names"))
+
+
+PENDING = DIFF + """,
+pn AS (SELECT df4.*, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Clerk' || o_custkey END AS pc, CASE WHEN o_orderpriority = '2-HIGH' THEN ['Clerk' || o_custkey, 'clerk' || o_custkey, 'ZClerk' || o_custkey] ELSE [] END AS pt FROM df4 JOIN orders ON o_orderkey = doc_id)"""
+
+
+@query(f"""WITH {PENDING} SELECT doc_id, array_to_string(list_filter([CASE WHEN d_title THEN 'title' END, CASE WHEN d_date THEN 'issue_date' END, CASE WHEN d_corr OR pc IS NOT NULL THEN 'correspondent' END, CASE WHEN d_tags OR len(pt) > 0 THEN 'tags' END, CASE WHEN d_note THEN 'note' END], lambda x: x IS NOT NULL), ',') AS changed,
+  '{{' || array_to_string(list_filter([CASE WHEN d_title THEN '"title":' || to_json(trim(title)) END, CASE WHEN d_date THEN '"created":' || to_json(document_date) END, CASE WHEN d_corr OR pc IS NOT NULL THEN '"correspondent":' || coalesce(CAST(correspondent_id AS VARCHAR), 'null') END, CASE WHEN d_tags OR len(pt) > 0 THEN '"tags":[' || l_tags || ']' END,
+  CASE WHEN d_corr OR pc IS NOT NULL THEN '"pending_correspondent_name":' || coalesce(to_json(pc), 'null') END, CASE WHEN d_tags OR len(pt) > 0 THEN '"pending_tag_names":' || to_json(pt) END], lambda x: x IS NOT NULL), ',') || '}}' AS payload FROM pn WHERE len(patch) > 0 OR pc IS NOT NULL OR len(pt) > 0""")
+def writeback_pending_names(s, d):
+    found = writeback.with_pending(_items(s, d), *_pending(s, d))
+    calls = writeback.payload_calls(found).where("method = 'PATCH'").select("doc_id", "payload")
+    return found.join(calls, "doc_id").select("doc_id", F.array_join("changed", ",").alias("changed"), "payload")
+
+
+@query(f"""WITH {PENDING}, id AS (SELECT 'clerk' || o_custkey AS k, max(o_orderkey) AS id FROM orders GROUP BY 1)
+SELECT doc_id, coalesce((SELECT id FROM id WHERE k = lower(pc)), correspondent_id) AS correspondent_id, CASE WHEN len(pt) > 0 THEN (SELECT string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FROM (SELECT DISTINCT CAST(x AS BIGINT) AS x FROM (SELECT unnest(string_split(l_tags, ',')) AS x UNION ALL SELECT CAST((SELECT id FROM id WHERE k = lower(pt[1])) AS VARCHAR)))) ELSE l_tags END AS tags,
+  CASE WHEN len(pt) > 0 THEN pt[3] ELSE '' END AS waiting FROM pn""")
+def writeback_created_names(s, d):
+    found = writeback.with_pending(_items(s, d), *_pending(s, d))
+    known = A.table(s, d, "orders").select(F.concat(F.lit("Clerk"), F.col("o_custkey").cast("string")).alias("name"), F.col("o_orderkey").alias("id"))
+    out = writeback.with_created(found, known, known)
+    return out.select("doc_id", "correspondent_id", F.array_join("tags", ",").alias("tags"), F.concat_ws("|", "pending_correspondent", F.array_join("pending_tags", "|")).alias("waiting"))
 
 
 @query(f"WITH {DIFF} SELECT doc_id FROM df4 WHERE NOT d_tags")
@@ -389,7 +420,7 @@ def suggestion_audit(s, d):
 
 @query("""WITH w AS (SELECT p_partkey AS doc_id, unnest(['  ' || p_type, lower(p_brand || ' ' || p_type), 'Zeta ' || p_brand, 'zeta ' || p_brand, '']) AS name FROM part), c AS (SELECT doc_id, trim(name) AS name, lower(trim(name)) AS k FROM w WHERE trim(name) != ''),
 t AS (SELECT lower(trim(name)) AS k, min(id) AS id FROM tags GROUP BY 1), r AS (SELECT c.*, t.id FROM c LEFT JOIN t USING (k)), p AS (SELECT doc_id, k, min(name) AS name FROM r WHERE id IS NULL GROUP BY 1, 2)
-SELECT r.doc_id, coalesce((SELECT string_agg(DISTINCT x.id, ',' ORDER BY x.id) FROM r x WHERE x.doc_id = r.doc_id), '') AS tag_ids, coalesce((SELECT string_agg(name, '|' ORDER BY k) FROM p WHERE p.doc_id = r.doc_id), '') AS pending_names FROM (SELECT DISTINCT doc_id FROM r) r""")
+SELECT r.doc_id, (SELECT string_agg(DISTINCT x.id, ',' ORDER BY x.id) FROM r x WHERE x.doc_id = r.doc_id) AS tag_ids, coalesce((SELECT string_agg(name, '|' ORDER BY k) FROM p WHERE p.doc_id = r.doc_id), '') AS pending_names FROM (SELECT DISTINCT doc_id FROM r) r""")
 def suggestion_tags(s, d):
     both = F.concat_ws(" ", "p_brand", "p_type")
     edits = A.table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.array(F.concat(F.lit("  "), "p_type"), F.lower(both), F.concat(F.lit("Zeta "), "p_brand"), F.concat(F.lit("zeta "), "p_brand"), F.lit("")).alias("names"))
