@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+
+from foliant.storage import file_system
 
 
 def _get(url: str, token: str) -> dict:
@@ -84,6 +87,93 @@ class PagedReader(DataSourceReader):
             yield tuple(row.get(n) for n in self.names)
 
 
+class ModifiedStream(DataSource):
+    """spark.readStream.format("modified_list"): rows of a REST list as they are modified.
+
+    The offset is the place (modified, id) of the newest row read.  A micro-batch has the
+    rows after it, up to the newest at its start; a row that is modified meanwhile moves
+    on and comes with the next batch, so none is lost, and none comes twice as it was.
+    Options: url, token, page_size, schema as DDL with id and modified, partitions: equal
+    parts of a batch's time that are read side by side.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "modified_list"
+
+    def schema(self) -> str:
+        return self.options.get("schema", "id long, title string, modified string")
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return ModifiedReader(dict(self.options), schema.fieldNames())
+
+
+class TimeRange(InputPartition):
+    """Rows after one place and up to another; both are (modified, id)."""
+
+    def __init__(self, after: tuple[str, int], to: tuple[str, int]) -> None:
+        self.after, self.to = after, to
+
+
+class ModifiedReader(DataSourceStreamReader):
+    def __init__(self, options: dict[str, str], names: list[str]) -> None:
+        self.options, self.names, self.newest = options, names, None
+
+    def _page(self, **query: str | int) -> dict:
+        size = self.options.get("page_size", "100")
+        return _get(f"{self.options['url']}?{urllib.parse.urlencode({'page_size': size, **query})}", self.options.get("token", ""))
+
+    def initialOffset(self) -> dict:
+        return {"modified": "", "id": -1}
+
+    def latestOffset(self) -> dict:
+        rows = self._page(ordering="-modified,-id", page=1, page_size=1).get("results", [])
+        if rows and (self.newest is None or (rows[0]["modified"], rows[0]["id"]) > (self.newest["modified"], self.newest["id"])):
+            self.newest = {"modified": rows[0]["modified"], "id": rows[0]["id"]}
+        return self.newest or self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        after, to = (start["modified"], start["id"]), (end["modified"], end["id"])
+        if after >= to:
+            return []
+        n = int(self.options.get("partitions", "4"))
+        first = after[0]
+        if not first:  # the first batch begins with the oldest row
+            rows = self._page(ordering="modified,id", page=1, page_size=1).get("results", [])
+            first = rows[0]["modified"] if rows else to[0]
+        cuts = [after, *[(c, -1) for c in _between(first, to[0], n)], to]
+        return [TimeRange(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+    def read(self, partition: TimeRange) -> Iterator[tuple]:
+        """Page by page from the last row seen, so that rows which leave the range shift no page."""
+        at, page = partition.after, 1
+        while True:
+            asked = {"modified__gte": at[0]} if at[0] else {}
+            rows = self._page(ordering="modified,id", page=page, modified__lte=partition.to[0], **asked).get("results", [])
+            fresh = [r for r in rows if at < (r["modified"], r["id"]) <= partition.to]
+            for row in fresh:
+                yield tuple(row.get(n) for n in self.names)
+            if len(rows) < int(self.options.get("page_size", "100")):
+                return
+            if fresh:
+                at, page = (fresh[-1]["modified"], fresh[-1]["id"]), 1
+            else:  # a whole page of rows that were read with the same time: its next page
+                page += 1
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def _between(first: str, last: str, n: int) -> list[str]:
+    """n - 1 times that cut a range of ISO times in equal parts; none where these cannot be told."""
+    try:
+        a, b = (datetime.datetime.fromisoformat(t) for t in (first, last))
+        found = [(a + (b - a) * k / n).isoformat() for k in range(1, n)]
+        return sorted({t for t in found if first < t < last})
+    except (ValueError, TypeError):
+        return []
+
+
 def binary_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length", "content")
 
@@ -100,12 +190,20 @@ def coalesce_remote(remote: DataFrame, local: DataFrame, columns: list[str]) ->
     return r.join(l, "id", "full").select("id", *pick)
 
 
-def send_calls(calls: DataFrame, url: str, token: str, *, dry_run: bool = True) -> DataFrame:
+def _has_note(url: str, token: str, payload: str) -> bool:
+    """Does the server show a document's note already?"""
+    there = _get(url, token)
+    there = there.get("results", there.get("notes", [])) if isinstance(there, dict) else there
+    return any(str(n.get("note") or "").strip() == str(json.loads(payload).get("note") or "").strip() for n in there)
+
+
+def send_calls(calls: DataFrame, url: str, token: str, *, dry_run: bool = True, look: bool = False) -> DataFrame:
     """(doc_id, step, ok, detail) after PATCH, POST and DELETE calls with their JSON payloads; a dry run sends nothing.
 
     The calls of a document go out in order, and after one that fails the rest of it is
     left out.  Each call carries a key of its content, by which a server can tell a call
-    that a repeated task sends again.
+    that a repeated task sends again; with `look` a note is posted only where the server
+    does not show it, which needs no help of the server's.
     """
 
     def send(batches):
@@ -120,6 +218,9 @@ def send_calls(calls: DataFrame, url: str, token: str, *, dry_run: bool = True)
                     out.append((doc, step, True, f"{method} {path}"))
                     continue
                 try:
+                    if look and method == "POST" and path.endswith("/notes/") and _has_note(url.rstrip("/") + path, token, payload):
+                        out.append((doc, step, True, "there already"))
+                        continue
                     key = hashlib.sha256(json.dumps([int(doc), int(step), method, path, payload]).encode()).hexdigest()
                     headers = {"Authorization": f"Token {token}", "Content-Type": "application/json", "Idempotency-Key": key}
                     request = urllib.request.Request(url.rstrip("/") + path, data=None if method == "DELETE" else (payload or "{}").encode(), method=method, headers=headers)
@@ -134,6 +235,46 @@ def send_calls(calls: DataFrame, url: str, token: str, *, dry_run: bool = True)
     return ordered.select("doc_id", "step", "method", "path", "payload").mapInPandas(send, "doc_id long, step int, ok boolean, detail string")
 
 
+def call_key() -> Column:
+    """What makes a call the same one: its document, place, method, path and payload."""
+    return F.sha2(F.to_json(F.struct("doc_id", "step", "method", "path", "payload"), {"ignoreNullFields": "false"}), 256)
+
+
+def send_once(calls: DataFrame, sent: str, url: str, token: str) -> DataFrame:
+    """send_calls() of what the log at `sent` does not have yet; returns the log's rows of `calls`.
+
+    The log has key, doc_id, step, ok and detail of every call, and its rows appear when a
+    whole run has ended.  Calls that went through are not sent again.  A run that was cut
+    down has left none in the log, and its tasks may have sent some: repeating a PATCH or
+    DELETE changes nothing more, and a note is posted only where the server does not show
+    it already, so no note comes twice.  Calls that failed are tried again.
+    """
+    spark = calls.sparkSession
+    keyed = calls.withColumn("key", call_key())
+    fs, target = file_system(spark, sent)
+    schema = "key string, doc_id long, step int, ok boolean, detail string"
+    log = spark.read.schema(schema).parquet(sent) if fs.exists(target) else spark.createDataFrame([], schema)
+    # A document's later calls follow from its first one that has not gone through.
+    done = keyed.join(log.where("ok").select("key").distinct().withColumn("_sent", F.lit(True)), "key", "left")
+    first = done.where("_sent IS NULL").groupBy("doc_id").agg(F.min("step").alias("_from"))
+    open_calls = done.join(first, "doc_id").where("_sent IS NULL AND step >= _from")
+    results = send_calls(open_calls, url, token, dry_run=False, look=True)
+    open_keys = open_calls.select("key", F.col("doc_id").alias("_doc"), F.col("step").alias("_step"))
+    rows = results.join(open_keys, (F.col("doc_id") == F.col("_doc")) & (F.col("step") == F.col("_step"))).select("key", "doc_id", "step", "ok", "detail")
+    rows.write.mode("append").parquet(sent)
+    mine = spark.read.schema(schema).parquet(sent).join(keyed.select("key").distinct(), "key", "left_semi")
+    return mine.groupBy("key", "doc_id", "step").agg(F.max("ok").alias("ok"), F.max_by("detail", "ok").alias("detail"))
+
+
+def sending(sent: str, url: str, token: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a stream of calls that are sent once, whatever batches are run again."""
+
+    def send(batch: DataFrame, number: int) -> None:
+        send_once(batch, sent, url, token)
+
+    return send
+
+
 def upsert_points(stored: DataFrame, points: DataFrame) -> DataFrame:
     """Stored points with new ones in place of those of their document, source and chunk."""
     keys = ["doc_id", "source", "chunk"]

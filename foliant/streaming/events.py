@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from foliant.sources.versioned import VersionedTable
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -41,16 +43,14 @@ def incremental_sync(stream: DataFrame, merge: Callable[[DataFrame, int], None],
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_into(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A merge that keeps, for each key, the newest row by `order`; each batch writes a new version."""
+def upsert_into(table: VersionedTable, order: str) -> Callable[[DataFrame, int], None]:
+    """A merge that keeps, for each key of `table`, the newest row by `order`.
+
+    What a batch writes follows its own rows, and a batch that is run again is written once.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.groupBy(*keys).agg(F.max(F.struct(order, *[c for c in batch.columns if c not in (*keys, order)])).alias("x")).select(*keys, "x.*").select(*batch.columns)
-        # Batches are numbered without gaps: only the first has no version before it, and any other that cannot be read is a fault.
-        old = spark.createDataFrame([], batch.schema) if number == 0 else spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1:06d}")
-        kept = old.join(newest.select(*keys), keys, "left_anti")
-        kept.unionByName(newest).write.mode("overwrite").parquet(f"{path}/v{number:06d}")
+        table.upsert(batch, order=F.col(order), batch=number)
 
     return merge
 

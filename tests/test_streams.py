@@ -1,6 +1,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from foliant.sources.versioned import VersionedTable
 from foliant.streaming import events
 
 
@@ -14,12 +15,15 @@ def test_incremental_sync_keeps_the_newest_row(spark, tmp_path):
     source, target, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
     _rows(spark, source, [(1, at(1), 7, "view", 1.0, "{}"), (2, at(5), 7, "view", 2.0, "{}")])
     stream = events.event_stream(spark, source).select("user_id", "ts", "value")
-    merge = events.upsert_into(target, ["user_id"], "ts")
+    table = VersionedTable(spark, target, ["user_id"], buckets=4)
+    merge = events.upsert_into(table, "ts")
     events.incremental_sync(stream, merge, mark).awaitTermination()
-    assert [r.value for r in spark.read.parquet(target + "/v000000").collect()] == [2.0]
+    assert [r.value for r in table.read().collect()] == [2.0]
     _rows(spark, source, [(3, at(9), 7, "view", 3.0, "{}"), (4, at(9), 8, "view", 4.0, "{}")])
     events.incremental_sync(stream, merge, mark).awaitTermination()
-    assert sorted(r.value for r in spark.read.parquet(target + "/v000001").collect()) == [3.0, 4.0]
+    assert sorted(r.value for r in table.read().collect()) == [3.0, 4.0] and [r.value for r in table.read(0).collect()] == [2.0]
+    merge(spark.createDataFrame([(7, at(59), 9.0)], "user_id long, ts timestamp, value double"), 1)  # a batch that was written already
+    assert table.manifest()["version"] == 1
 
 
 def test_stream_and_batch_windows_agree(spark, tmp_path):
