@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.plans import catalogue as C
 from foliant.sources import adapters as A
+from foliant.sources.versioned import VersionedTable
 from foliant.storage import Scratch
 from foliant.streaming import queue
 
@@ -70,3 +71,18 @@ def queue_stream(s, d):
     started.awaitTermination()
     last = A.table(s, d, "events").agg(F.unix_micros(F.max(F.col("ts").cast("timestamp")))).first()[0]
     return queue.queue_state(s.read.schema(queue.CHANGES).parquet(out), F.lit(last or 0))
+
+
+# ---- versioned tables ----
+
+
+@query("""WITH n AS (SELECT user_id, max_by(struct_pack(t := event_type, v := value, e := event_id), ts) AS x FROM events GROUP BY user_id)
+SELECT user_id, x.t AS event_type, x.v AS value, x.e AS event_id FROM n WHERE x.t != 'error'""", prelude=False)
+def versioned_newest(s, d):
+    """Each user's newest event after four upserts of a week each; an error takes the user away."""
+    rows = A.table(s, d, "events").select("user_id", "event_type", "value", "event_id", "ts")
+    table = VersionedTable(s, f"{Scratch(s, 'newest').path}/t", ["user_id"], buckets=16, max_layers=2)
+    week = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
+    for k in range(4):
+        table.upsert(rows.where(week == k), order=F.col("ts"), gone=F.col("event_type") == "error", batch=k)
+    return table.read().drop("ts")
