@@ -30,7 +30,7 @@ def lexical_scores(chunks: DataFrame, query: str, width: int = 64) -> DataFrame:
     weights = F.array(*[F.lit(x) for x in hashed_embedding(query, width)])
     digits = F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.conv(F.substring(F.md5(t), 1, 5), 16, 10).cast("int"))
     # Twice the bucket, plus one for a negative sign.
-    coded = F.array_sort(F.transform(digits, lambda n: F.shiftright(n, 4) % width * 2 + n.bitwiseAND(1)))
+    coded = F.sort_array(F.transform(digits, lambda n: F.shiftright(n, 4) % width * 2 + n.bitwiseAND(1)))
     zero = F.struct(F.lit(-1).alias("at"), F.lit(0.0).alias("run"), F.lit(0.0).alias("dot"), F.lit(0.0).alias("norm"))
 
     def closed(s: Column) -> tuple[Column, Column]:
@@ -46,8 +46,8 @@ def lexical_scores(chunks: DataFrame, query: str, width: int = 64) -> DataFrame:
         dot, norm = closed(s)
         return F.when(norm > 0, F.round(dot / F.sqrt(norm), 6)).otherwise(0.0)
 
-    scored = chunks.withColumn("score", F.when(F.size(coded) > 0, F.aggregate(coded, zero, add, score)))
-    return scored.where("score IS NOT NULL")
+    # The pattern says which chunks have a token, so nothing filters on the score and it is evaluated once.
+    return chunks.where(F.lower("text").rlike("[a-z0-9]")).withColumn("score", F.aggregate(coded, zero, add, score))
 
 
 def hybrid_search(hits: DataFrame, query: str, *, quality: DataFrame | None = None, top_k: int = 10, min_quality: int | None = None, source: str | None = None, rerank: bool = True, dedupe: bool = True) -> DataFrame:
