@@ -27,6 +27,8 @@ from foliant.llm import words as W
 from foliant.llm.scratch import Scratch
 
 PREFIXES = (4, 5, 6, 7)
+#: Texts that are looked at together, and features that are counted before they go on: bounds on a task's memory.
+SLICE_ROWS, HELD_FEATURES = 256, 100_000
 TRIM = " \t\n\r\x0b\x0c.,!?;:\"'()[]{}|#$%&*<>-_/\\"
 LAMBDAS = np.exp(np.linspace(math.log(0.02), math.log(4.0), 60))
 SEGMENT = "struct<start:int,end:int,score:double,p_value:double>"
@@ -61,7 +63,7 @@ class Model:
 class WordScores(dict):
     """Score of a word, computed when first met; forgets all when it grows large."""
 
-    def __init__(self, model: Model, limit: int = 300_000) -> None:
+    def __init__(self, model: Model, limit: int = 200_000) -> None:
         super().__init__()
         self.model, self.limit = model, limit
 
@@ -168,15 +170,26 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 30_000, max_fea
     texts = scratch.save(texts.withColumn("fold", F.pmod("_h", F.lit(10))), "texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = (Counter(), Counter())
-            for label, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                seen[label].update({f for w in set(tokens(text)) for f in features(w)})
+        seen = (Counter(), Counter())
+
+        def counted() -> pa.RecordBatch:
             both = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_pydict({"feature": pa.array(both, pa.string()), "clean": pa.array([seen[0][f] for f in both], pa.int64()), "toxic": pa.array([seen[1][f] for f in both], pa.int64())})
+            out = pa.RecordBatch.from_pydict({"feature": pa.array(both, pa.string()), "clean": pa.array([seen[0][f] for f in both], pa.int64()), "toxic": pa.array([seen[1][f] for f in both], pa.int64())})
+            for own in seen:
+                own.clear()
+            return out
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                for label, text in zip(part["toxic"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    seen[label].update({f for w in set(tokens(text)) for f in features(w)})
+                if len(seen[0]) + len(seen[1]) >= HELD_FEATURES:
+                    yield counted()
+        yield counted()
 
     def weights_of(counted: DataFrame) -> Model | None:
-        sums = counted.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+        sums = counted.mapInArrow(W.give_back(count), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
         size = {r["toxic"]: r["n"] for r in counted.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not size.get(0) or not size.get(1):
             return None
@@ -192,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 30_000, max_fea
     def measured(model: Model, frame: DataFrame) -> pd.DataFrame:
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scores = WordScores(model)
-            for batch in batches:
+            for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
                 rows = []
                 for label, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist(), strict=True):
                     n, values, segments = scan(text, scores)
@@ -200,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 30_000, max_fea
                     rows.append((label, n, [s[2] for s in segments], growth))
                 yield pa.RecordBatch.from_pylist([dict(zip(("toxic", "n", "segments", "growth"), r, strict=True)) for r in rows], schema=pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("segments", pa.list_(pa.float64())), ("growth", pa.list_(pa.float64()))]))
 
-        found = frame.mapInArrow(measure, "toxic int, n long, segments array<double>, growth array<double>").toPandas()
+        found = frame.mapInArrow(W.give_back(measure), "toxic int, n long, segments array<double>, growth array<double>").toPandas()
         return found[found["n"] > 0]
 
     def unlearned() -> Model:
@@ -248,7 +261,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         own = shared.value
         scores = WordScores(own)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("p_value", pa.float64())]))
-        for batch in batches:
+        for batch in (b.slice(first, SLICE_ROWS) for b in batches for first in range(0, b.num_rows, SLICE_ROWS)):
             result, found = [], []
             for text in batch.column(at).to_pylist():
                 n, _, segments = scan(text, scores)
