@@ -65,3 +65,15 @@ def test_run_against_brute_force(spark, tmp_path, label):
     assert set(got) == set(want) and all(r.decoded_exactly for r in got.values())
     frame = spark.createDataFrame(list(want.items()), "doc_id long, text string")
     assert {r.doc_id: r.ids_crc32 for r in corpus_pipeline.encode_pieces(spark, frame, "").collect()} == {i: r.ids_crc32 for i, r in got.items()}
+
+
+def test_toxic_rows_go_and_clean_rows_stay(spark, tmp_path):
+    rng = random.Random(12)
+    plain = lambda: [f"word{rng.randrange(300)}" for _ in range(40)]
+    toxic = {i for i in range(500) if i % 7 == 0}
+    texts = {i: " ".join(plain() + ["scum", "grobian", "scum"] * (i in toxic)) for i in range(500)}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()] + [(900, None, "x"), (901, "", "x")], "doc_id long, text string, _score string")
+    spark.createDataFrame([(i, int(i in toxic)) for i in range(400)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == (set(range(500)) - toxic) | {900, 901}
