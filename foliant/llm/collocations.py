@@ -35,8 +35,8 @@ BREAK[[ord(c) for c in ".,;:!?"] + list(range(10, 14))] = True
 SEPARATOR = BREAK.copy()
 SEPARATOR[[9, 32]] = True
 RADIX = np.uint64(0x9FB21C651E98DF25)
-#: Phrases are added up by the upper 44 bits of their hash, with their weight, cut at the least count, below.
-HASH_BITS, HASH_SHIFT, WEIGHT_BITS, WEIGHT_MOST = 44, np.uint64(20), np.uint64(8), np.uint64(255)
+#: Phrases are added up by the upper 40 bits of their hash, with their weight, cut at the least count, below.
+HASH_BITS, HASH_SHIFT, WEIGHT_BITS, WEIGHT_MOST = 40, np.uint64(24), np.uint64(8), np.uint64(255)
 PARSED = "lang string, chunk binary"
 COUNTED = "lang string, k int, phrase binary, f long"
 
