@@ -223,7 +223,7 @@ def _frequent(spark: SparkSession, dictionary: DataFrame, least: int, slot_bits:
     return bits.ravel()
 
 
-def phrase_counts(dictionary: DataFrame, least: int, *, max_slot_bits: int = 30, range_bytes: int = 1 << 23, slice_bytes: int = 1 << 20, hold: int = 1 << 22, hold_bytes: int = 1 << 25) -> DataFrame:
+def phrase_counts(dictionary: DataFrame, least: int, *, max_slot_bits: int = 30, range_bytes: int = 1 << 23, slice_bytes: int = 1 << 20, hold: int = 1 << 22, hold_bytes: int = 1 << 26) -> DataFrame:
     """(lang, k, phrase, f): every phrase of k words, 1 to 3, with f >= least; k = 0 has the number of words.
 
     The filter of the first pass has a bit for each 8 bytes of the dictionary, but
