@@ -121,6 +121,12 @@ def valid_bbox(box: Column) -> Column:
     return F.coalesce((F.size(box) == 4) & (at(2) > at(0)) & (at(3) > at(1)) & ~F.exists(box, lambda v: v.isNull()), F.lit(False))
 
 
+def evidence_error(doc_id: Column, page: Column, bbox: Column, snippet: Column) -> Column:
+    """What is wrong with a citation, null if nothing is; a right bbox needs no snippet."""
+    good, blank = valid_bbox(bbox), F.trim(F.coalesce(snippet, F.lit(""))) == ""
+    return F.when((doc_id <= 0) | (page <= 0), "invalid_doc_or_page").when(good, F.lit(None)).when(bbox.isNotNull(), "invalid_bbox").when(blank, "empty_snippet")
+
+
 def evidence_status(citations: DataFrame, *, max_pages: int = 3) -> DataFrame:
     """Status of each citation (ordinal, doc_id, page, snippet, bbox) within the page budget.
 
@@ -132,9 +138,8 @@ def evidence_status(citations: DataFrame, *, max_pages: int = 3) -> DataFrame:
     # A list of citations is bounded by the request that made it, and pages by it.
     pages = c.groupBy("doc_id", "page").agg(F.min("ordinal").alias("first")).orderBy("first").limit(limit)
     kept = c.join(F.broadcast(pages), ["doc_id", "page"], "left_semi")
-    good, given, blank = valid_bbox(F.col("bbox")), F.col("bbox").isNotNull(), F.trim(F.coalesce("snippet", F.lit(""))) == ""
-    error = F.when((F.col("doc_id") <= 0) | (F.col("page") <= 0), "invalid_doc_or_page").when(good, F.lit(None)).when(given, "invalid_bbox").when(blank, "empty_snippet")
-    status = F.when(error.isNotNull(), "error").when(good, "ok").otherwise("no_match")
+    error = evidence_error(F.col("doc_id"), F.col("page"), F.col("bbox"), F.col("snippet"))
+    status = F.when(error.isNotNull(), "error").when(valid_bbox(F.col("bbox")), "ok").otherwise("no_match")
     return kept.select("ordinal", F.greatest("doc_id", F.lit(0)).alias("doc_id"), F.greatest("page", F.lit(0)).alias("page"), status.alias("status"), error.alias("error"), F.when(status == "ok", 1.0).otherwise(0.0).alias("confidence"))
 
 

@@ -130,6 +130,40 @@ def integrity(expected: DataFrame, stored: DataFrame) -> DataFrame:
     return per.where("found < expected").select("doc_id", "expected", "found", F.when(F.col("found") == 0, "fully_missing").otherwise("partially_missing").alias("state"))
 
 
+#: The layers that each kind of embedding has vectors of.
+LAYERS = {"both": ("text_layer", "vision_ocr"), "baseline": ("text_layer",), "text_layer": ("text_layer",), "vision": ("vision_ocr",), "vision_ocr": ("vision_ocr",)}
+
+
+def audited(embedded: DataFrame, stored: DataFrame, titles: DataFrame) -> DataFrame:
+    """Expected and found vectors of every embedded document, layer by layer.
+
+    `embedded` has doc_id, embedding_source, chunk_count and embedded_at, `stored` has
+    doc_id, source, chunk and embedding, `titles` has doc_id and title.  Documents without
+    chunks, of an unknown kind or without a row in titles are not scanned.  An embedding of
+    both layers expects each chunk twice.  A null or empty vector, one beyond the last chunk
+    or of another layer, and a second one at a place are not counted.
+    """
+    known = F.create_map(*[x for k, v in LAYERS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    layers = F.try_element_at(known, F.lower(F.trim("embedding_source")))
+    docs = embedded.where("chunk_count > 0").withColumn("layers", layers).where("layers IS NOT NULL").join(titles, "doc_id")
+    need = docs.select("doc_id", "layers", "chunk_count")
+    there = stored.where(F.size("embedding") > 0).select("doc_id", "source", "chunk").join(need, "doc_id").where((F.col("chunk") >= 0) & (F.col("chunk") < F.col("chunk_count")) & F.array_contains("layers", F.col("source")))
+    found = there.groupBy("doc_id").agg(F.count_distinct("source", "chunk").alias("found_vectors"))
+    out = docs.join(found, "doc_id", "left").withColumn("found_vectors", F.coalesce("found_vectors", F.lit(0)).cast("long"))
+    out = out.withColumn("expected_vectors", F.size("layers") * F.col("chunk_count").cast("long"))
+    return out.select("doc_id", "title", "embedding_source", "chunk_count", "expected_vectors", "found_vectors", (F.col("found_vectors") == 0).alias("fully_missing"), "embedded_at")
+
+
+def audit_report(rows: DataFrame, *, limit: int = 100, provider: str = "unknown") -> DataFrame:
+    """One row over audited() rows; items are the first `limit` (1 at least) affected documents by id."""
+    limit = max(1, limit)
+    bad = F.col("found_vectors") < F.col("expected_vectors")
+    totals = rows.agg(F.count(F.lit(1)).alias("scanned_docs"), F.count_if(bad).alias("affected_docs"), F.count_if(bad & F.col("fully_missing")).alias("fully_missing_docs"), F.count_if(bad & ~F.col("fully_missing")).alias("partial_missing_docs"))
+    first = rows.where(bad).orderBy("doc_id").limit(limit)
+    items = first.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("items"))
+    return totals.crossJoin(items).select(F.lit(provider).alias("provider"), "scanned_docs", "affected_docs", "fully_missing_docs", "partial_missing_docs", F.lit(limit).alias("limit"), (F.col("affected_docs") > limit).alias("truncated"), "items")
+
+
 #: The place of each layer in a point id.
 SOURCE_OFFSETS = {"text_layer": 1, "baseline": 1, "vision_ocr": 2, "vision": 2}
 

@@ -10,11 +10,14 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.types import StructType
 
-from foliant.storage import file_system
+from foliant.sources.versioned import VersionedTable
+from foliant.storage import Scratch, file_system
 
 
 def _get(url: str, token: str) -> dict:
@@ -183,6 +186,54 @@ def fetch_many(ids: DataFrame, remote: DataFrame) -> DataFrame:
     return remote.join(ids.where(F.col("id") > 0).select("id").distinct(), "id", "left_semi")
 
 
+def fetch_missing(wanted: DataFrame, local: DataFrame, url: str, token: str, schema: str, *, partitions: int = 8) -> DataFrame:
+    """(id, state, detail, row) of every wanted id that `local` does not have, each asked for once.
+
+    state is `found` (row has the fields of `schema`), `missing` where the server does not
+    know it, `invalid` where the answer is of another id or no object, or `failed` where it
+    could not be read.  The executors ask, row by row, over `partitions` connections at a time.
+    """
+    names = StructType.fromDDL(schema).fieldNames()
+    absent = wanted.select(F.col("id").cast("long").alias("id")).where("id IS NOT NULL").distinct().join(local.select(F.col("id").cast("long").alias("id")), "id", "left_anti")
+
+    def fetch(number: int) -> tuple[str, str | None, str | None]:
+        try:
+            row = _get(f"{url.rstrip('/')}/{number}/", token)
+        except urllib.error.HTTPError as error:
+            return ("missing" if error.code == 404 else "failed"), str(error)[:1000], None
+        except (OSError, ValueError) as error:
+            return "failed", str(error)[:1000], None
+        if not isinstance(row, dict) or row.get("id") != number:
+            return "invalid", "the answer is of another document", None
+        return "found", None, json.dumps({n: row.get(n) for n in names})
+
+    def ask(batches):
+        for batch in batches:
+            numbers = batch.column("id").to_pylist()
+            states, details, rows = zip(*map(fetch, numbers), strict=True) if numbers else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *[pa.array(c, pa.string()) for c in (states, details, rows)]], ["id", "state", "detail", "row"])
+
+    said = absent.repartition(partitions, "id").mapInArrow(ask, "id long, state string, detail string, row string")
+    return said.withColumn("row", F.from_json("row", schema))
+
+
+def sync_missing(wanted: DataFrame, table: VersionedTable, url: str, token: str, schema: str) -> DataFrame:
+    """Put wanted documents that the table does not have into it; (id, state) of each wanted id.
+
+    state is `local`, `synced`, or why it is not there.  Answers are saved before they are
+    merged, so no row is asked for twice in one call; a call that was killed asks again.
+    """
+    spark = wanted.sparkSession
+    local = table.read() if table.versions() else spark.createDataFrame([], schema)
+    answers = Scratch(spark, "missing").save(fetch_missing(wanted, local, url, token, schema), "answers")
+    found = answers.where("state = 'found'").select("row.*")
+    if not found.isEmpty():
+        table.upsert(found)
+    state = F.when(F.col("state") == "found", "synced").otherwise(F.coalesce("state", F.lit("local")))
+    ids = wanted.select(F.col("id").cast("long").alias("id")).where("id IS NOT NULL").distinct()
+    return ids.join(answers.select("id", "state"), "id", "left").select("id", state.alias("state"))
+
+
 def coalesce_remote(remote: DataFrame, local: DataFrame, columns: list[str]) -> DataFrame:
     """Columns of documents with the remote value, or the local one where that is blank."""
     r, l = remote.alias("r"), local.alias("l")  # noqa: E741
