@@ -162,6 +162,11 @@ class Summaries:
         line = F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(": "), F.col("text"))
         return inside.groupBy("doc_id", "source", "section_key").agg(_joined("page", line))
 
+    def _sections(self, items: DataFrame) -> DataFrame:
+        """section_items of the notes there are, saved: the next levels read both more than once."""
+        scratch = Scratch(items.sparkSession, "sections")
+        return scratch.save(self.section_items(scratch.save(self.good_notes(items), "notes")), "sections")
+
     def document_items(self, sections: DataFrame, results: DataFrame) -> DataFrame:
         """Good section summaries of a document in page order; a document without one is not summarised."""
         good = results.where("status = 'ok'").select("doc_id", "source", "section_key", _strip(F.coalesce("result", F.lit(""))).alias("text")).where("text != ''")
@@ -183,14 +188,14 @@ class Summaries:
             there = self.notes.results(own).where("status = 'ok'").select("doc_id")
             if not self.notes.run(items.where(F.col("source") == self.fallback).join(there, "doc_id", "left_anti"), note, stop=stop):
                 return False
-        sections = self.section_items(self.good_notes(items))
+        sections = self._sections(items)
         if not self.sections.run(sections, section, stop=stop):
             return False
         return self.documents.run(self.document_items(sections, self.sections.results(sections)), document, stop=stop)
 
     def summaries(self, docs: DataFrame, pages: DataFrame) -> DataFrame:
         """(doc_id, source, summary, confidence_note): a model's error leaves an empty summary and says so in the note."""
-        sections = self.section_items(self.good_notes(self.page_items(docs, pages)))
+        sections = self._sections(self.page_items(docs, pages))
         found = self.documents.results(self.document_items(sections, self.sections.results(sections)))
         note = F.when(F.col("status") == "error", F.concat(F.lit("global_summary_error:"), F.left("error", F.lit(200))))
         return found.select("doc_id", "source", F.coalesce("result", F.lit("")).alias("summary"), note.alias("confidence_note"))
