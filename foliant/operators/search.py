@@ -21,6 +21,12 @@ def pages_of(docs: DataFrame, size: int = 1500) -> DataFrame:
     return paged.select("doc_id", "source", "page", F.substring("text", (F.col("page") - 1) * size + 1, F.lit(size)).alias("text"))
 
 
+def coded_tokens(text: Column, width: int = 64) -> Column:
+    """The hashed tokens of a text in order: twice the bucket, plus one for a negative sign."""
+    digits = F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.conv(F.substring(F.md5(t), 1, 5), 16, 10).cast("int"))
+    return F.sort_array(F.transform(digits, lambda n: F.shiftright(n, 4) % width * 2 + n.bitwiseAND(1)))
+
+
 def lexical_scores(chunks: DataFrame, query: str, width: int = 64) -> DataFrame:
     """`chunks` plus `score`: cosine with the query under the hashed-token embedder; chunks without a token go.
 
@@ -28,9 +34,7 @@ def lexical_scores(chunks: DataFrame, query: str, width: int = 64) -> DataFrame:
     md5 digest, and one fold over the sorted buckets adds up norm and product.
     """
     weights = F.array(*[F.lit(x) for x in hashed_embedding(query, width)])
-    digits = F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.conv(F.substring(F.md5(t), 1, 5), 16, 10).cast("int"))
-    # Twice the bucket, plus one for a negative sign.
-    coded = F.sort_array(F.transform(digits, lambda n: F.shiftright(n, 4) % width * 2 + n.bitwiseAND(1)))
+    coded = coded_tokens(F.col("text"), width)
     zero = F.struct(F.lit(-1).alias("at"), F.lit(0.0).alias("run"), F.lit(0.0).alias("dot"), F.lit(0.0).alias("norm"))
 
     def closed(s: Column) -> tuple[Column, Column]:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import answers, reset, vectors
+from foliant.operators import answers, reset, search, vectors
+from foliant.operators.postings import Postings
 from foliant.operators.stages import Summaries, resume_from
 from foliant.plans import catalogue as C
 from foliant.plans import state
@@ -155,6 +156,17 @@ def answers_with_evidence(s, d):
     return c.select("question_id", "answer", "c.id", "c.page", F.col("c.evidence_status").alias("status"), F.col("c.evidence_confidence").alias("confidence"), F.col("c.evidence_error").alias("error"), "c.cited")
 
 
+# ---- the index of words ----
+
+
+@query(C.ORACLE["hybrid_search"], prelude=False)
+def indexed_search(s, d):
+    """hybrid_search over an index: only the buckets of the query's words are read."""
+    index = Postings(s, f"{Scratch(s, 'postings').path}/i")
+    index.build(search.pages_of(A.table(s, d, "documents")))
+    return search.hybrid_search(index.top(C.QUERY, 60), C.QUERY, quality=C._quality(s, d), top_k=10, min_quality=50)
+
+
 # ---- vectors, layer by layer ----
 
 
