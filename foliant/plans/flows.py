@@ -11,7 +11,6 @@ from foliant.operators import answers, reset, search, vectors
 from foliant.operators.postings import Postings
 from foliant.operators.stages import Summaries, resume_from
 from foliant.plans import catalogue as C
-from foliant.plans import state
 from foliant.sources import adapters as A
 from foliant.sources.versioned import VersionedTable
 from foliant.storage import Scratch
@@ -133,7 +132,7 @@ def summary_levels(s, d):
 # ---- answers ----
 
 
-@query(r"""WITH w AS (SELECT conv_id, turn, role, text, array_to_string(list_filter(string_split(text, ' '), lambda x: x != '')[3:8], ' ') AS snippet FROM conversations),
+@query(r"""WITH w AS (SELECT conv_id, turn, role, text, array_to_string(list_filter(regexp_split_to_array(text, '[\x09-\x0D\x20]+'), lambda x: x != '')[3:8], ' ') AS snippet FROM conversations),
 q AS (SELECT conv_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS id FROM w JOIN q USING (conv_id)), s AS (SELECT * FROM r WHERE id <= 5),
 b AS (SELECT *, length(trim(snippet)) >= 20 AS looked, count(*) FILTER (WHERE length(trim(snippet)) >= 20) OVER (PARTITION BY conv_id ORDER BY id) AS pages FROM s),
@@ -145,13 +144,15 @@ def answers_with_evidence(s, d):
     turns = A.table(s, d, "conversations")
     questions = turns.where("role = 'user'").groupBy(F.col("conv_id").alias("question_id")).agg(F.min_by("text", "turn").alias("question"), F.lit(None).cast("string").alias("history"), F.lit("").alias("conversation_id"))
     turn = F.col("turn").cast("int")
-    words = F.filter(F.split("text", " "), lambda x: x != "")
+    words = F.filter(F.split("text", r"[\x09-\x0D\x20]+"), lambda x: x != "")
+    at = lambda i, more: (i + more).cast("double")
+    anchors = turns.select(F.col("conv_id").alias("doc_id"), turn.alias("page"), F.transform(words, lambda w, i: F.struct(w.alias("text"), F.array(at(i, 0.0), F.lit(0.0), at(i, 0.9), F.lit(1.0)).alias("bbox"))).alias("words"))
     box = F.when(turn % 4 == 1, F.array(*map(F.lit, (0.0, 0.0, 1.0, 1.0)))).when(turn % 4 == 2, F.array(*map(F.lit, (1.0, 0.0, 0.0, 1.0))))
     hits = turns.select(
         F.col("conv_id").alias("question_id"), turn.alias("hit_rank"), F.col("conv_id").alias("doc_id"), turn.alias("page"), F.when(turn % 2 == 0, "text_layer").otherwise("vision_ocr").alias("source"),
         F.when(turn % 5 != 0, 60).alias("quality"), (1 / (1 + turn)).alias("score"), F.array_join(F.slice(words, 3, 6), " ").alias("text"), F.lit(None).cast("string").alias("doc_date"), box.alias("bbox"),
     )
-    found = answers.answered(questions, hits, state._boxed(s, d), lambda p: "see [2]: " + p[:50], template="{question}", top_k=5, min_quality=50)
+    found = answers.answered(questions, hits, anchors, lambda p: "see [2]: " + p[:50], template="{question}", top_k=5, min_quality=50)
     c = found.select("question_id", "answer", F.explode("citations").alias("c"))
     return c.select("question_id", "answer", "c.id", "c.page", F.col("c.evidence_status").alias("status"), F.col("c.evidence_confidence").alias("confidence"), F.col("c.evidence_error").alias("error"), "c.cited")
 
