@@ -46,33 +46,21 @@ def knn(points: DataFrame, query: list[float], k: int, *, least: float | None =
     return scored.drop("embedding").orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def _unit_rows(lists: pa.ChunkedArray) -> np.ndarray:
-    values = lists.combine_chunks()
+def unit_rows(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    values = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     x = values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(values), -1)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, *, least: float | None = None, block_rows: int = 2048) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k nearest points of every query row.
-
-    Both sides are dealt into blocks of about block_rows rows, as many as their row
-    counts ask for, and each pair of blocks is one task of matrix products that keeps k
-    rows a query: a task holds two blocks at most and no side is broadcast.  Ties go to
-    the lesser vec_id, and a query's own row is left out.  All vectors have one width.
-    """
-    sides = [f.where(F.size("embedding") > 0).select("vec_id", "embedding") for f in (queries, points)]
-    q_blocks, p_blocks = (max(1, -(-f.count() // block_rows)) for f in sides)
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = sides[0].select("vec_id", "embedding", deal(q_blocks).alias("qb"), every(p_blocks).alias("pb"))
-    p = sides[1].select("vec_id", "embedding", deal(p_blocks).alias("pb"), every(q_blocks).alias("qb"))
+def block_best(k: int, least: float | None):
+    """Of two blocks of (vec_id, embedding), queries and points, the k best points of each query, its own row aside."""
     kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            y, ids, owners = _unit_rows(right["embedding"]).T, right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
-            x = _unit_rows(left["embedding"])
+            y, ids, owners = unit_rows(right["embedding"]).T, right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
+            x = unit_rows(left["embedding"])
             for at in range(0, len(x), 512):
                 scores = np.round(x[at : at + 512] @ y, 6)
                 scores[owners[at : at + 512, None] == ids[None, :]] = -np.inf
@@ -85,7 +73,24 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, least: float | Non
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
 
-    pairs = q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInArrow(best, "query_id long, vec_id long, score double")
+    return best
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, *, least: float | None = None, block_rows: int = 2048) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k nearest points of every query row.
+
+    Both sides are dealt into blocks of about block_rows rows, as many as their row
+    counts ask for, and each pair of blocks is one task of matrix products that keeps k
+    rows a query: a task holds two blocks at most and no side is broadcast.  Ties go to
+    the lesser vec_id, and a query's own row is left out.  All vectors have one width.
+    """
+    sides = [f.where(F.size("embedding") > 0).select("vec_id", "embedding") for f in (queries, points)]
+    q_blocks, p_blocks = (max(1, -(-f.count() // block_rows)) for f in sides)
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = sides[0].select("vec_id", "embedding", deal(q_blocks).alias("qb"), every(p_blocks).alias("pb"))
+    p = sides[1].select("vec_id", "embedding", deal(p_blocks).alias("pb"), every(q_blocks).alias("qb"))
+    pairs = q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInArrow(block_best(k, least), "query_id long, vec_id long, score double")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators import answers, reset, search, vectors
+from foliant.operators.cells import VectorCells
 from foliant.operators.postings import Postings
 from foliant.operators.stages import Summaries, resume_from
 from foliant.plans import catalogue as C
@@ -168,6 +169,27 @@ def indexed_search(s, d):
     return search.hybrid_search(index.top(C.QUERY, 60), C.QUERY, quality=C._quality(s, d), top_k=10, min_quality=50)
 
 
+# ---- the index of vectors ----
+
+
+def _cells(s: SparkSession, d: str) -> VectorCells:
+    index = VectorCells(s, f"{Scratch(s, 'cells').path}/i")
+    index.build(A.table(s, d, "embeddings"))
+    return index
+
+
+@query(C.ORACLE["similar_docs"], prelude=False)
+def indexed_similar(s, d):
+    """similar_docs over cells: a query's nearest cells first, then those that its tenth score leaves room for."""
+    return _cells(s, d).nearest(A.table(s, d, "embeddings").where("vec_id % 20 = 0"), 10)
+
+
+@query(C.ORACLE["duplicate_candidates"], prelude=False)
+def indexed_duplicates(s, d):
+    """duplicate_candidates over cells: cells out of reach of a score of 0.3 are not read."""
+    return _cells(s, d).nearest(A.table(s, d, "embeddings").where("vec_id % 20 = 0"), 5, least=0.3).drop("rank")
+
+
 # ---- vectors, layer by layer ----
 
 
