@@ -1,9 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits in lower case.  All n-grams of the test items
-are seeds, however often documents hold them.  Seeds join passages of documents to
-items, equal passages once, and local alignment of the words decides, so that copies
-with replaced, dropped or added words are found too.
+Words are runs of letters and digits in lower case.  Rare n-grams of the test items, by
+the number of different passages that hold them, join passages to items at once.  An
+n-gram of many passages, such as a stock phrase, joins a passage to an item only where a
+word of the item that is rare beside that n-gram stands in the passage too; a passage
+that lacks them all has too few of the item's words for the threshold, so nothing is
+lost.  Local alignment of the words decides, equal passages once, so that copies with
+replaced, dropped or added words are found too.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm import words as W
@@ -133,13 +136,40 @@ def _alignments(threshold: float):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, n: int = 3, threshold: float = 0.5, min_words: int = 8) -> DataFrame:
+def _candidates(passages: DataFrame, known: DataFrame, seeds: DataFrame, threshold: float, rare: int, scratch: Scratch) -> DataFrame:
+    """(a, b, item_id): the passages and items that share a rare seed, or a frequent one and a word that is rare beside it."""
+    hits = passages.select("a", "b", F.explode(F.array_distinct("seeds")).alias("gram")).join(seeds.select("gram").distinct(), "gram")
+    hits = scratch.save(hits, "hits")
+    often = hits.groupBy("gram").count().where(F.col("count") > rare).select("gram")
+    often = scratch.save(often, "often")
+    direct = hits.join(often, "gram", "left_anti").join(seeds, "gram").select("a", "b", "item_id")
+
+    # Word by word, with its number of places in the item.
+    words = known.select("item_id", F.size("keys").alias("size"), F.explode("keys").alias("word")).groupBy("item_id", "size", "word").agg(F.count(F.lit(1)).alias("places"))
+    wanted = seeds.join(often, "gram").join(words, "item_id")
+    # A passage's words are spelled out once, and not for each of its n-grams.
+    spelled = passages.select("a", "b", F.explode(F.array_distinct("keys")).alias("word")).join(wanted.select("word").distinct(), "word")
+    beside = hits.join(wanted.select("gram", "word").distinct(), "gram").join(spelled, ["a", "b", "word"])
+    beside = scratch.save(beside.select("a", "b", "gram", "word"), "beside")
+    counts = beside.groupBy("gram", "word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = wanted.join(counts, ["gram", "word"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # An alignment from the threshold on has this many of the item's words, so of the
+    # others and one more, whichever they are, the passage holds at least one.
+    need = F.ceil(F.col("size") * threshold - 1e-9)
+    before = F.sum("places").over(Window.partitionBy("item_id", "gram").orderBy("n", "word")) - F.col("places")
+    second = ranked.withColumn("before", before).where((F.col("before") <= F.col("size") - need) & (F.col("n") > 0)).select("gram", "word", "item_id")
+    return direct.unionByName(beside.join(second, ["gram", "word"]).select("a", "b", "item_id")).distinct()
+
+
+def contaminated(docs: DataFrame, items: DataFrame, *, n: int = 3, threshold: float = 0.5, min_words: int = 8, rare: int = 16) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) of each document that holds an item.
 
-    Every n-gram of an item is a seed.  `score` is the best local alignment over that
+    Every n-gram of an item is a seed; those in more than `rare` different passages need a
+    second, rare word, which changes the work and not the result.  `score` is the best local alignment over that
     of the whole item; pairs from `threshold` on that span min_words words, or the
     whole item, are returned, one row for each doc_id and item.  Passages of equal words
-    are aligned once.  Null texts and items under n words match nothing.
+    are aligned once.  Null texts and items under n words match nothing, empty tables give
+    no rows, repeated rows of a doc_id give one; equal scores go to the least first_word.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "bench")
@@ -155,7 +185,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, n: int = 3, threshold: fl
     found = scratch.save(found.select("*", F.xxhash64("keys").alias("a"), F.xxhash64(F.lit(1), "keys").alias("b")), "passages")
     # 128 bits stand for a word sequence, which also fixes its seeds.
     passages = scratch.save(found.select("a", "b", "keys", "seeds").dropDuplicates(["a", "b"]), "distinct")
-    pairs = passages.select("a", "b", F.explode("seeds").alias("gram")).join(seeds, "gram").select("a", "b", "item_id").distinct()
+    pairs = _candidates(passages, known, seeds, threshold, rare, scratch)
     item_words = known.select("item_id", F.col("keys").alias("item_keys"), F.size("keys").alias("size"))
     both = pairs.join(passages.drop("seeds"), ["a", "b"]).join(item_words, "item_id")
     aligned = both.select("a", "b", "item_id", "size", "keys", "item_keys").mapInArrow(_alignments(threshold), f"a long, b long, item_id {item_kind}, size int, score double, first int, last int, item_words int")

@@ -1,5 +1,6 @@
 import random
 
+from foliant.llm import decontaminate
 from foliant.llm.decontaminate import contaminated
 
 
@@ -66,3 +67,29 @@ def test_spread_copy_is_aligned_whole(spark):
     got = contaminated(docs, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()
     assert [r.score for r in got] == [brute_force(item, spread) / 40]
     assert brute_force(item, spread) >= 20
+
+
+def test_stock_phrases_join_few_passages_and_lose_no_copy(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    stock = ["all", "rights", "are", "reserved"]
+    items = [[word() for _ in range(13)] + stock + [word() for _ in range(13)] for _ in range(3)]
+    docs = [(i, " ".join([word() for _ in range(40)] + stock + [word() for _ in range(40)])) for i in range(600)]
+    # Copies of which nothing but the stock phrase stands three words in a row, and half of the words are left.
+    for n in range(40):
+        item = items[n % 3]
+        kept = [w for i, w in enumerate(item) if w in stock or i % 3 != 2]
+        gaps = [x for i, w in enumerate(kept) for x in ([word(), w] if w not in stock and i % 2 == 0 and n % 2 else [w])]
+        docs.append((1000 + n, " ".join([word() for _ in range(30)] + gaps + [word() for _ in range(30)])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    made, inner = [], decontaminate._candidates
+    monkeypatch.setattr(decontaminate, "_candidates", lambda *given: made.append(inner(*given)) or made[-1])
+    rows = lambda f: {(r.doc_id, r.item_id, r.score, r.first_word, r.last_word) for r in f.collect()}
+    few = rows(contaminated(d, b))
+    every = rows(contaminated(d, b, rare=1 << 40))
+    assert few == every
+    expected = {(i, k) for i, t in docs for k, item in enumerate(items) if brute_force(item, t.split()) >= 30}
+    assert {r[:2] for r in few} == expected and len(expected) >= 20
+    pairs, all_pairs = (m.count() for m in made)
+    assert all_pairs >= 3 * 600 and pairs <= 100
