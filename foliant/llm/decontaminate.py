@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits in lower case.  Rare n-grams of the test items, by
-the number of different passages that hold them, join passages to items at once.  An
-n-gram of many passages, such as a stock phrase, joins a passage to an item only where a
+the number of different passages that hold them against the item's other n-grams, join
+passages to items at once.  An n-gram that stands out, as a stock phrase does, joins a passage to an item only where a
 word of the item that is rare beside that n-gram stands in the passage too; a passage
 that lacks them all has too few of the item's words for the threshold, so nothing is
 lost.  Local alignment of the words decides, equal passages once, so that copies with
@@ -140,13 +140,17 @@ def _candidates(passages: DataFrame, known: DataFrame, seeds: DataFrame, thresho
     """(a, b, item_id): the passages and items that share a rare seed, or a frequent one and a word that is rare beside it."""
     hits = passages.select("a", "b", F.explode(F.array_distinct("seeds")).alias("gram")).join(seeds.select("gram").distinct(), "gram")
     hits = scratch.save(hits, "hits")
-    often = hits.groupBy("gram").count().where(F.col("count") > rare).select("gram")
-    often = scratch.save(often, "often")
-    direct = hits.join(often, "gram", "left_anti").join(seeds, "gram").select("a", "b", "item_id")
+    # Copies of an item bring all its n-grams, so one that stands out among them is a stock phrase.
+    counted = seeds.join(hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    usual = counted.groupBy("item_id").agg(F.percentile("n", F.lit(0.5)).alias("usual"))
+    judged = counted.join(usual, "item_id").select("item_id", "gram", (F.col("n") > rare * F.greatest(F.lit(1.0), F.col("usual"))).alias("frequent"))
+    judged = scratch.save(judged, "judged")
+    often = judged.where("frequent").select("item_id", "gram")
+    direct = hits.join(judged.where("NOT frequent"), "gram").select("a", "b", "item_id")
 
     # Word by word, with its number of places in the item.
     words = known.select("item_id", F.size("keys").alias("size"), F.explode("keys").alias("word")).groupBy("item_id", "size", "word").agg(F.count(F.lit(1)).alias("places"))
-    wanted = seeds.join(often, "gram").join(words, "item_id")
+    wanted = often.join(words, "item_id")
     # A passage's words are spelled out once, and not for each of its n-grams.
     spelled = passages.select("a", "b", F.explode(F.array_distinct("keys")).alias("word")).join(wanted.select("word").distinct(), "word")
     beside = hits.join(wanted.select("gram", "word").distinct(), "gram").join(spelled, ["a", "b", "word"])
@@ -164,8 +168,9 @@ def _candidates(passages: DataFrame, known: DataFrame, seeds: DataFrame, thresho
 def contaminated(docs: DataFrame, items: DataFrame, *, n: int = 3, threshold: float = 0.5, min_words: int = 8, rare: int = 16) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) of each document that holds an item.
 
-    Every n-gram of an item is a seed; those in more than `rare` different passages need a
-    second, rare word, which changes the work and not the result.  `score` is the best local alignment over that
+    Every n-gram of an item is a seed; those in more than `rare` times as many different
+    passages as the item's median n-gram (taken as 1 at least) need a second, rare word,
+    which changes the work and not the result.  `score` is the best local alignment over that
     of the whole item; pairs from `threshold` on that span min_words words, or the
     whole item, are returned, one row for each doc_id and item.  Passages of equal words
     are aligned once.  Null texts and items under n words match nothing, empty tables give
