@@ -277,7 +277,9 @@ def lattice_fold(units: DataFrame, path: str) -> DataFrame:
         ends = _bit(start).bitwiseOR(_bit(end))
         return F.when((F.bit_count(inside) == 1) & (path.bitwiseAND(ends) == ends), path - inside).otherwise(path)
 
-    return grouped.select("unit", "n", "edges", "single", F.aggregate("edges", _bit(size + 1) - 1, fold).alias("path"))
+    # Bits 0 to size, without the bit above them: at 62 characters that is the sign, and taking 1 from it overflows.
+    borders = (_bit(size) - 1).bitwiseOR(_bit(size))
+    return grouped.select("unit", "n", "edges", "single", F.aggregate("edges", borders, fold).alias("path"))
 
 
 def _packed(path: str):

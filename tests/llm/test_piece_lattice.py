@@ -41,6 +41,22 @@ def test_against_brute_force_library_and_round_trip(spark):
     assert with_decoded(encode(docs.limit(0), MODEL), MODEL).count() == 0
 
 
+def test_units_as_long_as_a_path_has_bits(spark):
+    rng = random.Random(5)
+    # The space in front belongs to the unit: 61 characters behind it make one of 62, whose path takes all 63 bits.
+    texts = [s for n in range(59, 65) for s in ("x" * n, "=" * n, " " * n, "ation" * 12 + "s" * (n - 60), "".join(rng.choice("estain") for _ in range(n)))]
+    model, library = load(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    lengths = {len(units[k]) for units in (units_of([t], model) for t in texts) for k in range(len(units.start))}
+    assert {61, 62, 63} <= lengths
+    out = {r.doc_id: r for r in encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), MODEL, decoded=True).collect()}
+    assert len(out) == len(texts)
+    for i, text in enumerate(texts):
+        ids = np.frombuffer(out[i].ids, "<u2").tolist()
+        assert out[i].decoded == text and ids == brute_force(" " + text), text
+        if text.strip(" "):
+            assert ids == library.encode(text)
+
+
 def test_units_cover_the_text_and_long_runs_merge_as_the_library_does():
     model, library = load(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     for text in ("a" * 100_000, "abc" * 9_000 + " " + "日本" * 9_000, "x" * 63 + " " * 200 + "end"):
