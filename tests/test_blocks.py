@@ -24,7 +24,7 @@ def points(spark, tmp_path_factory):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-@pytest.mark.parametrize("name", ["duplicate_candidates", "similar_docs", "similar_metadata"])
+@pytest.mark.parametrize("name", ["duplicate_candidates", "similar_docs", "similar_metadata", "similar_titles"])
 def test_equal_to_sql(spark, points, name):
     with duckdb.connect() as db:
         for table in NAMES:
