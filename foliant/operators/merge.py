@@ -74,12 +74,17 @@ def best_name_match(wanted: DataFrame, known: DataFrame, *, gram: int = 3) -> Da
 
     A contained name shares its first `gram` characters with some window of the other,
     so windows equi-join before the texts are compared; shorter names match exactly only.
+    Of known names with one text the least id is taken first.  Windows that no wanted
+    name begins with go before the join, and the join is never a broadcast: Spark sizes
+    windows by the names that they were made from, and would send all of them to the driver.
     """
     w = wanted.select("name", F.lower(F.trim("name")).alias("w")).where("w != ''").distinct()
-    k = known.select("id", F.lower(F.trim("name")).alias("k"))
-    exact = w.join(k, F.col("w") == F.col("k")).select("name", "id", F.lit(0).alias("tier"), F.length("k").alias("size"))
-    keyed = w.where(F.length("w") >= gram).withColumn("g", F.substring("w", 1, gram))
-    spots = k.where(F.length("k") >= gram).select("id", "k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("k") - gram + 1), lambda i: F.substring(F.col("k"), i, F.lit(gram))))).alias("g"))
-    inside = keyed.join(spots, "g").where(F.col("k").contains(F.col("w"))).select("name", "id", F.lit(1).alias("tier"), F.length("k").alias("size"))
-    best = exact.unionByName(inside).groupBy("name").agg(F.min(F.struct("tier", "size", "id")).alias("x"))
+    k = known.groupBy(F.lower(F.trim("name")).alias("k")).agg(F.min("id").alias("id"))
+    keyed = w.withColumn("g", F.left("w", F.lit(gram)))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("k") - gram + 1)), lambda i: F.substring(F.col("k"), i, F.lit(gram)))
+    spots = k.select("id", "k", F.explode(F.array_distinct(windows)).alias("g")).join(keyed.select("g").distinct(), "g", "left_semi")
+    inside = keyed.join(spots.hint("merge"), "g").where(F.col("k").contains(F.col("w")))
+    # A name under `gram` characters is a window of its own, and so meets only its equals.
+    tier = F.when(F.col("k") == F.col("w"), 0).otherwise(1)
+    best = inside.groupBy("name").agg(F.min(F.struct(tier.alias("tier"), F.length("k").alias("size"), "id")).alias("x"))
     return best.select("name", "x.id")
